@@ -1,5 +1,5 @@
 """Queries over the test tables with independent SQL oracles."""
 
-from checks import tables
+from checks import models, statistics, tables
 
-REGISTERED = [tables]
+REGISTERED = [tables, statistics, models]

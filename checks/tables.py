@@ -18,7 +18,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def filter_regex(spark, sf):
-    return relational.filter_contains(table(spark, sf, "part"), "p_type", "^(promo|small).*brass").select(
+    return relational.filter_contains(table(spark, sf, "part"), "p_type", "^(promo|large)").select(
         "p_partkey", "p_type"
     )
 
@@ -114,7 +114,7 @@ SEMI_SQL = """
 SELECT c_mktsegment AS segment, count(*) AS customers FROM customer
 WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY c_mktsegment"""
 ANTI_SQL = """
-SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"""
+SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')"""
 
 
 def _sql(text: str, *names: str):
@@ -170,9 +170,7 @@ def issues(spark, sf):
 
 
 def outliers_by_quartiles(spark, sf):
-    df = table(spark, sf, "events").select("value").unionByName(
-        table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("value"))
-    )
+    df = table(spark, sf, "events").select("value")
     return clean.outlier_issues(df).select("column", "count", "severity")
 
 
@@ -337,7 +335,7 @@ ORACLES = {
 WITH s AS (SELECT p_brand AS label, sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
 r AS (SELECT *, sum(value) OVER (ORDER BY value DESC, label ROWS UNBOUNDED PRECEDING) AS run, sum(value) OVER () AS total FROM s)
 SELECT label, round(value, 2) AS value, round(value/total*100, 6) AS pct, round(run/total*100, 6) AS cumulative_pct, (run - value)/total*100 < 80 AS in_80 FROM r""",
-    "filter_contains_regex": "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^(promo|small).*brass', 'i')",
+    "filter_contains_regex": "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^(promo|large)', 'i')",
     "filter_contains_number": "SELECT o_orderkey FROM orders WHERE CAST(o_custkey AS VARCHAR) LIKE '%9'",
     "project_numeric_role": "SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, round(c_acctbal, 6) AS c_acctbal FROM customer",
     "select_template_columns": "SELECT o_orderstatus, o_orderkey FROM orders",
@@ -365,7 +363,7 @@ SELECT label, round(value, 2) AS value, round(value/total*100, 6) AS pct, round(
  round((1 - m/(4.0::DOUBLE*n))*100*0.7::DOUBLE + (1 - d/n::DOUBLE)*100*0.3::DOUBLE, 1) AS quality_score, m AS total_missing,
  round(m*100.0::DOUBLE/(4*n), 1) AS total_missing_pct, d AS duplicate_rows, 3 AS numeric_columns, 1 AS categorical_columns FROM t, u""",
     "detect_issues": ISSUES_SQL,
-    "outliers_iqr": """WITH e AS (SELECT value FROM events UNION ALL SELECT l_extendedprice FROM lineitem),
+    "outliers_iqr": """WITH e AS (SELECT value FROM events),
  q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM e)
  SELECT 'value' AS "column", count(*) AS count, 'low' AS severity FROM e, q WHERE value < a - 1.5*(b-a) OR value > b + 1.5*(b-a) HAVING count(*) > 0""",
     "drop_duplicate_rows": f"WITH {DIRTY_SQL} SELECT DISTINCT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM dirty",

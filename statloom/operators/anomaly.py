@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statloom.operators.describe import _binned
 from statloom.roles import number, quoted
+from statloom.session import spread
 
 Z_LIMIT = 3.0
 # Isolation forest settings (fixed values).
@@ -101,8 +102,6 @@ def isolation_trees(vectors: DataFrame, seed: int = 42, trees: int = TREES) -> D
         .orderBy("_u")
         .limit(trees * TREE_ROWS)
     )
-    from pyspark.sql import Window
-
     slots = pool.select("features", "_u", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     line = Window.partitionBy("tree").orderBy(F.xxhash64("_u", "tree", F.lit(seed)))
     drawn = slots.withColumn("_rank", F.row_number().over(line)).where(f"_rank <= {TREE_ROWS}")
@@ -166,7 +165,7 @@ def isolation_scores(df: DataFrame, columns: list[str], keep: list[str], seed: i
             yield part
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name != "features"])
-    scored = vectors.mapInPandas(score, f"{schema}, score double" if schema else "score double")
+    scored = spread(vectors).mapInPandas(score, f"{schema}, score double" if schema else "score double")
     return scored.withColumn("decision", SCORE_LIMIT - F.col("score")).withColumn(
         "is_anomaly", F.col("score") > SCORE_LIMIT
     )

@@ -66,7 +66,7 @@ def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENC
     equi-joins of the itemset table with itself.
     """
     known = itemsets.select("items", "support")
-    masks = F.sequence(F.lit(1), (F.shiftleft(F.lit(1), F.col("length")) - 2))
+    masks = F.expr("sequence(1L, shiftleft(1L, length) - 2)")
     split = itemsets.where("length > 1").select("items", "support", F.explode(masks).alias("mask"))
     taken = lambda bit: F.filter("items", lambda x, i: F.getbit("mask", i) == bit)
     sides = split.select("support", taken(1).alias("antecedent"), taken(0).alias("consequent"))

@@ -76,3 +76,9 @@ def fits_one_task(df: DataFrame) -> bool:
     """True when the input is proven small, so that a plain window beats value ranges."""
     limit = int(df.sparkSession.conf.get(ONE_TASK_CONF, str(ONE_TASK_BYTES)))
     return estimated_bytes(df) <= limit
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a costly per-row step every core when the scan has fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
