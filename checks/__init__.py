@@ -1,5 +1,5 @@
 """Queries over the test tables with independent SQL oracles."""
 
-from checks import models, statistics, tables
+from checks import models, statistics, tables, workflow
 
-REGISTERED = [tables, statistics, models]
+REGISTERED = [tables, statistics, models, workflow]

@@ -94,20 +94,28 @@ def _grow(values: np.ndarray, seed: int) -> list[tuple[int, int, float, float]]:
 def isolation_trees(vectors: DataFrame, seed: int = 42, trees: int = TREES) -> DataFrame:
     """(tree, node, feature, threshold, depth) of a forest over a ``features`` array column.
 
-    A hash-ordered pool of at most trees × 256 rows is drawn with a distributed top-k; every tree
-    takes its own 256 rows of the pool, so a group of the grouped map never exceeds 256 rows.
+    A random pool of at most trees × 256 rows is drawn with a distributed top-k and laid out in
+    random order. Slot s of trees × 256 slots takes pool row s modulo the pool size and belongs to
+    tree s div 256, so each tree sees up to 256 different rows and no group is larger than that.
     """
-    pool = (
-        vectors.select("features", F.rand(seed).alias("_u"))
-        .orderBy("_u")
-        .limit(trees * TREE_ROWS)
+    slots = trees * TREE_ROWS
+    pool = vectors.select("features", F.rand(seed).alias("_u")).orderBy("_u").limit(slots)
+    # The pool is bounded by the forest's size, so one task may number it.
+    placed = pool.select(
+        "features",
+        (F.row_number().over(Window.orderBy("_u")) - 1).alias("_place"),
+        F.count("*").over(Window.partitionBy()).alias("_size"),
+    )
+    per_tree = F.least(F.col("_size"), F.lit(TREE_ROWS))
+    laps = F.sequence(F.lit(0), F.floor((F.lit(trees) * per_tree - 1 - F.col("_place")) / F.col("_size")).cast("int"))
+    drawn = (
+        placed.withColumn("_lap", F.explode(laps))
+        .withColumn("_slot", F.col("_place") + F.col("_lap") * F.col("_size"))
+        .select("features", "_slot", F.floor(F.col("_slot") / per_tree).cast("int").alias("tree"))
     )
-    slots = pool.select("features", "_u", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    line = Window.partitionBy("tree").orderBy(F.xxhash64("_u", "tree", F.lit(seed)))
-    drawn = slots.withColumn("_rank", F.row_number().over(line)).where(f"_rank <= {TREE_ROWS}")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_rank")
+        part = part.sort_values("_slot")
         tree = int(part["tree"].iloc[0])
         grown = _grow(np.array(part["features"].tolist(), dtype=float), seed * 1000 + tree)
         out = pd.DataFrame(grown, columns=["node", "feature", "threshold", "depth"])

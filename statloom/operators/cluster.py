@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -14,6 +16,7 @@ from statloom.roles import number, quoted
 SEED = 42
 MICRO_CLUSTERS = 200
 WARD_CLUSTERS = 4
+PARALLEL_FITS = 9
 
 
 def standardised(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -58,9 +61,14 @@ def elbow_k(inertias: list[float], k_max: int) -> int:
     return max(2, min(bend, k_max - 1))
 
 
-def _fit(vectors: DataFrame, k: int, inits: int = 1):
-    models = [KMeans(k=k, seed=SEED + i, featuresCol="features").fit(vectors) for i in range(inits)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+def _fit(vectors: DataFrame, k: int, seed: int = SEED):
+    return KMeans(k=k, seed=seed, featuresCol="features").fit(vectors)
+
+
+def _fit_all(vectors: DataFrame, tasks: list[tuple[int, int]]) -> list:
+    """Independent fits over the same cached rows, submitted together."""
+    with ThreadPoolExecutor(max_workers=max(1, min(PARALLEL_FITS, len(tasks)))) as pool:
+        return list(pool.map(lambda task: _fit(vectors, *task), tasks))
 
 
 def kmeans(df: DataFrame, columns: list[str], keep: list[str] | None = None, k: int | None = None) -> dict[str, DataFrame]:
@@ -73,9 +81,9 @@ def kmeans(df: DataFrame, columns: list[str], keep: list[str] | None = None, k:
     vectors = _vectors(standardised(df, columns, keep)).persist()
     n = vectors.count()
     ks = list(range(2, min(11, n))) if k is None else []
-    inertias = [float(_fit(vectors, i).summary.trainingCost) for i in ks]
+    inertias = [float(m.summary.trainingCost) for m in _fit_all(vectors, [(i, SEED) for i in ks])]
     best = k or elbow_k(inertias, ks[-1] if ks else 2)
-    model = _fit(vectors, best, 2)
+    model = min(_fit_all(vectors, [(best, SEED), (best, SEED + 1)]), key=lambda m: m.summary.trainingCost)
     labelled = model.transform(vectors).withColumnRenamed("prediction", "cluster")
     distinct = labelled.select("cluster").distinct().count()
     silhouette = (

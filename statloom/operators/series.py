@@ -64,7 +64,7 @@ def peak_and_low(months: DataFrame) -> DataFrame:
 def _days(ts: Column) -> Column:
     """Days since 1970 as a double, fractions kept."""
     day = F.to_date(ts)
-    clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts).cast("double")
     return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("double") + clock / 86400.0
 
 
