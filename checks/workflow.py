@@ -102,11 +102,11 @@ def _dump(spark, sf) -> str:
     path = scratch_path(spark, "dump")
     value = F.regexp_replace(F.regexp_replace("text", r"\\", r"\\\\\\\\"), "'", "''")
     insert = F.concat(
-        F.lit("INSERT INTO `documents` VALUES ("), F.col("doc_id"), F.lit(",'"), value, F.lit("','"), F.col("lang"), F.lit("',"), F.col("n_chars"), F.lit(");\n")
+        F.lit("INSERT INTO `documents` VALUES ("), F.col("doc_id"), F.lit(",'"), value, F.lit("','"), F.col("lang"), F.lit("',"), F.col("n_chars"), F.lit(");")
     )
     head = "-- dump\nSET NAMES utf8;\nCREATE TABLE `documents` (\n  `doc_id` bigint unsigned NOT NULL,\n  `text` longtext,\n  `lang` enum('en','fr') DEFAULT 'en',\n  `n_chars` int(11),\n  PRIMARY KEY (`doc_id`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8;\n"
     lines = table(spark, sf, "documents").repartition(4).select(insert.alias("value"))
-    lines.mapInPandas(_with_header(head), "value string").write.option("lineSep", "").text(path)
+    lines.mapInPandas(_with_header(head), "value string").write.text(path)
     return path
 
 

@@ -22,18 +22,16 @@ SCORE_LIMIT = 0.5
 def z_scores(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns plus ``z_<c>``: |z| with the population deviation, and ``max_z``.
 
-    Means and deviations come from one aggregation and enter the second pass as a scalar.
+    Means and deviations come from one aggregation: two numbers per column, used as literals.
     """
-    facts = []
-    for i, c in enumerate(columns):
-        facts += [F.avg(number(c)).alias(f"m{i}"), F.stddev_pop(number(c)).alias(f"s{i}")]
-    stats = df.agg(*facts).select(F.struct(*[F.col(f"{x}{i}") for i in range(len(columns)) for x in "ms"]))
-    tagged = df.withColumn("_st", stats.scalar())
+    facts = [f for c in columns for f in (F.avg(number(c)), F.stddev_pop(number(c)))]
+    stats = df.agg(*facts).first()
     zs: list[Column] = []
     for i, c in enumerate(columns):
-        s = F.col(f"_st.s{i}")
-        zs.append(F.when(s > 0, F.abs(number(c) - F.col(f"_st.m{i}")) / s).alias(f"z_{c}"))
-    scored = tagged.select(*[quoted(k) for k in (keep or [])], *zs)
+        mean, deviation = stats[2 * i], stats[2 * i + 1]
+        z = F.abs(number(c) - mean) / deviation if deviation else F.lit(None).cast("double")
+        zs.append(z.alias(f"z_{c}"))
+    scored = df.select(*[quoted(k) for k in (keep or [])], *zs)
     names = [quoted(f"z_{c}") for c in columns]
     return scored.withColumn("max_z", F.greatest(*names) if len(names) > 1 else names[0])
 

@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from statloom.roles import number, quoted
+from statloom.session import cut_lineage
 
 SEED = 42
 MICRO_CLUSTERS = 200
@@ -24,23 +25,18 @@ def standardised(df: DataFrame, columns: list[str], keep: list[str] | None = Non
 
     Listwise deletion comes first; a constant column keeps its centred zeros.
     """
-    names = [f"x{i}" for i in range(len(columns))]
-    rows = df.select(*[quoted(k) for k in (keep or [])], *[number(c).alias(n) for c, n in zip(columns, names)])
-    rows = rows.dropna(subset=names)
-    facts = rows.agg(
-        F.struct(
-            F.array(*[F.avg(n) for n in names]).alias("m"), F.array(*[F.stddev_pop(n) for n in names]).alias("s")
-        ).alias("f")
-    )
-    tagged = rows.withColumn("_f", facts.scalar())
-
-    def scaled(i: int, n: str) -> Column:
-        sd = F.col("_f.s")[i]
-        return (F.col(n) - F.col("_f.m")[i]) / F.when(sd > 0, sd).otherwise(1.0)
-
-    return tagged.select(
-        *[quoted(k) for k in (keep or [])], F.array(*[scaled(i, n) for i, n in enumerate(names)]).alias("xs")
-    )
+    raw = F.array(*[number(c) for c in columns]).alias("raw")
+    # The chosen numbers are written once: every caller reads them many times, and a filter on the
+    # stored array keeps Catalyst's constraints small where a filter on many expressions would not.
+    stored = cut_lineage(df.select(*[quoted(k) for k in (keep or [])], raw))
+    rows = stored.where(F.forall("raw", lambda x: x.isNotNull()))
+    # Two numbers per column as literals, and one array column: the plan stays short for wide tables.
+    each = range(len(columns))
+    facts = rows.agg(*[F.avg(F.col("raw")[i]) for i in each], *[F.stddev_pop(F.col("raw")[i]) for i in each]).first()
+    means = F.array(*[F.lit(float(v or 0.0)) for v in facts[: len(columns)]])
+    deviations = F.array(*[F.lit(float(v or 0.0) or 1.0) for v in facts[len(columns) :]])
+    scaled = F.transform("raw", lambda x, i: (x - F.get(means, i)) / F.get(deviations, i))
+    return rows.select(*[quoted(k) for k in (keep or [])], scaled.alias("xs"))
 
 
 def expand_array(df: DataFrame, column: str, width: int, prefix: str = "d") -> DataFrame:

@@ -47,9 +47,8 @@ def neighbor_graph(rows: DataFrame, d: int, k: int, seed: int = SEED) -> DataFra
         "_range", range_bucket(F.col("_bounds"), F.struct(*order), buckets)
     )
     ahead = Window.partitionBy("t", "_range").orderBy("s", "id").rowsBetween(1, WINDOW)
-    met = placed.select(
-        "id", "xs", F.explode(F.collect_list(F.struct(F.col("id").alias("o"), F.col("xs").alias("ys"))).over(ahead)).alias("m")
-    ).select("id", "xs", "m.o", "m.ys")
+    followers = F.collect_list(F.struct(F.col("id").alias("o"), F.col("xs").alias("ys"))).over(ahead)
+    met = placed.select("id", "xs", followers.alias("_f")).select("id", "xs", F.inline("_f"))
     pairs = met.select("id", "o", F.sqrt(_square("xs", "ys", d)).alias("dist")).groupBy("id", "o").agg(F.min("dist").alias("dist"))
     both = pairs.unionByName(pairs.select(F.col("o").alias("id"), F.col("id").alias("o"), "dist")).distinct()
     rank = Window.partitionBy("id").orderBy("dist", "o")

@@ -89,6 +89,8 @@ def read_robust(
     read = rows.schema(", ".join([*typed, "_corrupt string"])).csv(path)
     wide = ", ".join([*[f"c{i} string" for i in range(len(names))], "_extra string"])
     extra = F.from_csv("_corrupt", wide, {"sep": delimiter, "quote": '"', "escape": '"'})["_extra"]
-    flagged = read.withColumn("_long", F.col("_corrupt").isNotNull() & extra.isNotNull())
+    # The reader refuses a query on the corrupt column alone, so the flag touches a data column too.
+    touched = F.xxhash64(F.col("`" + names[0] + "`")) >= F.lit(-(2**63))
+    flagged = read.withColumn("_long", F.col("_corrupt").isNotNull() & extra.isNotNull() & touched)
     good = flagged.where(~F.col("_long")).drop("_long", "_corrupt")
     return good, flagged.where("_long").select(F.col("_corrupt").alias("line"))
