@@ -85,7 +85,8 @@ def read_robust(
     head = base.option("inferSchema", True).csv(path)
     names = [f.name.lstrip("﻿") for f in head.schema.fields]
     typed = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, head.schema.fields)]
-    rows = base.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    # With column pruning the parser would not see surplus fields.
+    rows = base.option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     read = rows.schema(", ".join([*typed, "_corrupt string"])).csv(path)
     wide = ", ".join([*[f"c{i} string" for i in range(len(names))], "_extra string"])
     extra = F.from_csv("_corrupt", wide, {"sep": delimiter, "quote": '"', "escape": '"'})["_extra"]
