@@ -29,8 +29,15 @@ def pearson_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def spearman_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(col1, col2, spearman) with average ranks on ties, ranks taken within each pair's complete rows."""
+    """(col1, col2, spearman) with average ranks on ties, ranks taken within each pair's complete rows.
+
+    Without missing values (one cheap aggregation tells) a column has the same ranks in all its
+    pairs, so each column is ranked once; otherwise ranks are taken per pair.
+    """
     columns = columns or roles(df).numeric
+    missing = df.agg(*[F.count_if(number(c).isNull()) for c in columns]).first()
+    if not any(missing):
+        return _shared_ranks(df, columns)
     pairs = list(combinations(columns, 2))
     values = df.select(*[(number(c) + F.lit(0.0)).alias(c) for c in columns])
     packed = F.array(
@@ -71,6 +78,25 @@ def spearman_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return named.select("k.col1", "k.col2", "spearman")
 
 
+def _shared_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Spearman of complete columns: one rank table per column, joined to the rows by value."""
+    rows = df.select(*[(number(c) + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(columns)])
+    ranked = rows
+    for i in range(len(columns)):
+        counts = rows.groupBy(f"v{i}").agg(F.count("*").alias("_c"))
+        table = prefix_sum(counts, [f"v{i}"], {"_upto": "_c"}).select(
+            f"v{i}", (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(f"r{i}")
+        )
+        ranked = ranked.join(table, f"v{i}").drop(f"v{i}")
+    pairs = list(combinations(range(len(columns)), 2))
+    facts = [
+        F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), F.corr(f"r{i}", f"r{j}").alias("spearman"))
+        for i, j in pairs
+    ]
+    one = ranked.agg(*[f.alias(f"p{i}") for i, f in enumerate(facts)])
+    return one.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(facts))])))
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Both coefficients, a row per pair of columns."""
     return pearson_pairs(df, columns).join(F.broadcast(spearman_pairs(df, columns)), ["col1", "col2"], "left")

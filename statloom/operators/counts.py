@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from statloom.functions.ordered import weighted_quantiles
-from statloom.roles import quoted, roles
+from statloom.roles import number, quoted, roles
+from statloom.session import fits_one_task
 
 DOUBLE_TYPES = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)
 
@@ -77,7 +78,15 @@ def number_counts(df: DataFrame, columns: list[str], keys: list[str] | None = No
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles of many columns, a row per column."""
+    """Exact quantiles of many columns, a row per column, with the present rows as ``_n``."""
+    if fits_one_task(df):
+        wanted = F.array(*[F.lit(p) for p in probabilities.values()])
+        facts = [
+            F.struct(F.lit(c).alias("column"), F.percentile(number(c), wanted).alias("q"), F.count(number(c)).alias("_n")).alias(f"q{i}")
+            for i, c in enumerate(columns)
+        ]
+        one = df.agg(*facts).select(F.inline(F.array(*[F.col(f"q{i}") for i in range(len(columns))])))
+        return one.select("column", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(probabilities)], "_n").where("_n > 0")
     return weighted_quantiles(number_counts(df, columns), "number", probabilities, ["column"])
 
 
