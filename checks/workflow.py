@@ -250,7 +250,10 @@ def key_findings(spark, sf):
         F.col("o_orderkey").alias("position"),
         F.col("o_orderpriority").alias("analysis_name"),
         F.lit("").alias("interpretation"),
-        F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("customer"), F.col("o_custkey").cast("string"), F.lit("key"), F.col("o_orderkey").cast("string"), F.lit("more"), F.lit("x")).alias("summary"),
+        F.expr(
+            "array(named_struct('metric', 'status', 'value', o_orderstatus), named_struct('metric', 'customer', 'value', string(o_custkey)),"
+            " named_struct('metric', 'key', 'value', string(o_orderkey)), named_struct('metric', 'more', 'value', 'x'))"
+        ).alias("summary"),
     )
     return results.key_findings(rows)
 
@@ -265,7 +268,7 @@ def results_log(spark, sf):
         log.save_result(session, catalogue.run_analysis(df, "descriptive_stats"))
         kept.append(session)
     log.delete_session(kept[1])
-    parts = [log.results(s).select("analysis_id", "success", F.col("summary")["rows"].cast("long").alias("rows")) for s in kept]
+    parts = [log.results(s).select("analysis_id", "success", F.filter("summary", lambda m: m["metric"] == "rows")[0]["value"].cast("long").alias("rows")) for s in kept]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -146,4 +146,4 @@ def neighbor_layout_2d(
             (F.col("y") + F.coalesce(clip(F.col("fy")), F.lit(0.0))).alias("y"),
         )
         place = cut_lineage(place)
-    return rows.select(F.col("_key").alias(key), "id").join(place, "id").select(key, "x", "y")
+    return rows.select("_key", "id").join(place, "id").select(F.col("_key").alias(key), "x", "y")

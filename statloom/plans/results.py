@@ -77,7 +77,7 @@ class ResultsLog:
     SESSIONS = "session_id string, file_path string, file_name string, created_at timestamp, row_count long, col_count int, engine string"
     RESULTS = (
         "result_id string, session_id string, analysis_id string, analysis_name string, success boolean, "
-        "summary map<string,string>, interpretation string, created_at timestamp, position long"
+        "summary array<struct<metric:string,value:string>>, interpretation string, created_at timestamp, position long"
     )
     DELETED = "session_id string, deleted_at timestamp"
 
@@ -110,7 +110,7 @@ class ResultsLog:
             outcome.analysis_id,
             NAMES.get(outcome.analysis_id, outcome.analysis_id),
             outcome.success,
-            {r["metric"]: r["value"] for r in metrics} if outcome.success else {"error": outcome.error},
+            [(r["metric"], r["value"]) for r in metrics] if outcome.success else [("error", outcome.error)],
             interpretation,
             now,
             int(now.timestamp() * 1e6),
@@ -145,8 +145,8 @@ class ResultsLog:
 
 def key_findings(results: DataFrame, last: int = 5, metrics: int = 3) -> DataFrame:
     """(analysis_name, finding) of the last results: the interpretation's head, else the first metrics."""
-    entries = F.slice(F.map_entries("summary"), 1, metrics)
-    text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "; ")
+    first = F.slice("summary", 1, metrics)
+    text = F.array_join(F.transform(first, lambda e: F.concat(e["metric"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "; ")
     finding = (
         F.when(F.length(F.coalesce("interpretation", F.lit(""))) > 0, F.substring("interpretation", 1, 200))
         .when(F.size("summary") > 0, text)

@@ -34,8 +34,8 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     for mark, name in BYTE_ORDER_MARKS:
         if head.startswith(mark):
             return name
-    # Invalid bytes decode to the replacement character; one scan answers for the whole text.
-    broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1).count()
+    # One scan answers for the whole text.
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if broken else "UTF-8"
 
 
