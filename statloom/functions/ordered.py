@@ -109,11 +109,6 @@ def weighted_quantiles(
     over distinct values, so no group is ever held in one task's memory.
     """
     keys = keys or []
-    if fits_one_task(counts):
-        picks = F.percentile(F.col(value), F.array(*[F.lit(p) for p in probabilities.values()]), F.col(weight))
-        grouped = counts.groupBy(*keys).agg(picks.alias("_q"), F.sum(weight).alias("_n"))
-        named = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probabilities)]
-        return grouped.select(*keys, *named, "_n")
     ranked = prefix_sum(counts.select(*keys, value, weight), [value], {"_upto": weight}, keys, {"_n": weight})
     aggregates: list[Column] = []
     for name, p in probabilities.items():
