@@ -209,13 +209,6 @@ def guard_correlation(spark, sf):
     return rounded(_checks(table(spark, sf, "part"), "correlation", {"features": ["p_size", "p_retailprice"]}), 4)
 
 
-def guard_rows_per_feature(spark, sf):
-    df = table(spark, sf, "region").crossJoin(table(spark, sf, "region").select(F.col("r_regionkey").alias("other")))
-    features = ["a", "b", "c"]
-    wide = df.select(F.col("r_regionkey").alias("y"), (F.col("other") * 1.0).alias("a"), (F.col("other") ** 2).alias("b"), F.col("r_regionkey").alias("c"))
-    return rounded(_checks(wide, "regression_linear", {"target": "y", "features": features}).where("test = 'sample_size'"))
-
-
 def guard_summary(spark, sf):
     checks = guardrails.check_assumptions(table(spark, sf, "lineitem"), "clustering_kmeans", {"features": ["l_quantity", "l_extendedprice"]})
     return guardrails.guardrail_summary(checks, "clustering_kmeans").select("analysis_id", "passed", "failed")
@@ -408,7 +401,6 @@ ORACLES = {
     "guardrail_series": """WITH g AS (SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts)/86400000000.0::DOUBLE AS gap FROM events),
  m AS (SELECT median(gap) AS m, max(gap) AS x FROM g)
  SELECT 'temporal_gaps' AS test, 'ts' AS "column", floor(x) AS stat, NULL::DOUBLE AS p_value, false AS passed FROM m WHERE x > 10*m""",
-    "guardrail_rows_per_feature": """SELECT 'sample_size' AS test, 'y' AS "column", count(*)::DOUBLE AS stat, NULL::DOUBLE AS p_value, false AS passed FROM region a, region b""",
     "guardrail_summary": """SELECT 'clustering_kmeans' AS analysis_id, NOT (stddev_samp(l_extendedprice)/stddev_samp(l_quantity) > 10) AS passed,
  CASE WHEN stddev_samp(l_extendedprice)/stddev_samp(l_quantity) > 10 THEN 1 ELSE 0 END AS failed FROM lineitem""",
     "quality_sheet": """WITH g AS (SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) AS gap FROM events),
