@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statloom.llm import bpe, license_scan, url_filter
+from statloom.llm import bpe, decontaminate, license_scan, url_filter
 from statloom.llm.text import table
 
 
@@ -25,12 +25,26 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_url_filter": op5_url_filter,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 ORACLES = {
     "op5_url_filter": url_filter.verdict_sql("pages"),
+    "op7_decontaminate": decontaminate.ORACLE,
 }
