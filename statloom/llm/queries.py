@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statloom.llm import bpe, decontaminate, license_scan, url_filter
-from statloom.llm.text import table
+from statloom.llm import bpe, crf_langid, decontaminate, license_scan, pu_toxicity, topk, url_filter
+from statloom.llm.text import held_out, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,14 +37,39 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = crf_langid.train(docs.where(~held_out(F.col("doc_id"))))
+    labelled = crf_langid.label_texts(docs.select("doc_id", "text"), model)
+    return labelled.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learnable = ~held_out(F.col("doc_id"))
+    model = pu_toxicity.train(docs.where(learnable), labels.where(learnable))
+    scored = pu_toxicity.score_texts(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_toxicity": op3_toxicity,
     "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
+    "op8_top_k": op8_top_k,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
     "op5_url_filter": url_filter.verdict_sql("pages"),
     "op7_decontaminate": decontaminate.ORACLE,
+    "op8_top_k": topk.ORACLE,
 }
