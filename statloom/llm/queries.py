@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statloom.llm import bpe, crf_langid, decontaminate, license_scan, pu_toxicity, topk, url_filter
+from statloom.llm import bpe, crf_langid, decontaminate, html_extract, license_scan, pu_toxicity, topk, url_filter
 from statloom.llm.text import held_out, table
 
 
@@ -37,6 +37,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.train(pages)).drop("blocks")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = crf_langid.train(docs.where(~held_out(F.col("doc_id"))))
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
     "op8_top_k": op8_top_k,
+    "op9_html_extract": op9_html_extract,
     "op10_language_id": op10_language_id,
 }
 
