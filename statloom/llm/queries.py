@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statloom.llm import bpe, crf_langid, decontaminate, html_extract, license_scan, pu_toxicity, topk, url_filter
+from statloom.llm import bpe, crf_langid, decontaminate, html_extract, license_scan, line_dedup, pu_toxicity, topk, url_filter
 from statloom.llm.text import held_out, table
 
 
@@ -25,6 +25,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = line_dedup.dedup_lines(docs)
+    return done.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select(
@@ -68,6 +74,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_top_k": op8_top_k,
     "op9_html_extract": op9_html_extract,
@@ -76,6 +83,7 @@ QUERIES = {
 
 ORACLES = {
     "op5_url_filter": url_filter.verdict_sql("pages"),
+    "op6_line_dedup": line_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_top_k": topk.ORACLE,
 }
