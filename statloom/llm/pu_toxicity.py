@@ -51,7 +51,7 @@ def sample_ids(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: i
 
 
 def words_by_text(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, positive, words, mark): the distinct words of each text, and the least hash of its word pairs.
+    """(id, positive, words, mark): the distinct words of each text, and the least hash of its five-word runs.
 
     Copies and most near copies have the same mark; unrelated texts seldom do.
     """
@@ -62,7 +62,7 @@ def words_by_text(docs: DataFrame, id_column: str, text_column: str) -> DataFram
             for data in byte_texts(batch, text_column):
                 own = ascii_words(data)
                 words.append(sorted({w.decode("utf-8", "replace") for w in own}))
-                marks.append(min((zlib.crc32(b + b" " + a) for a, b in zip(own, own[1:])), default=zlib.crc32(data)))
+                marks.append(min(zlib.crc32(b" ".join(own[i : i + 5])) for i in range(max(1, len(own) - 4))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(marks, pa.int64())],
                 names=[id_column, "positive", "words", "mark"],
