@@ -114,7 +114,7 @@ def gaps(spark, sf):
 
 
 def months(spark, sf):
-    return rounded(series.month_summary(_daily(spark, sf), "y"), 2)
+    return rounded(series.month_summary(_daily(spark, sf), "y"), 4)
 
 
 def peak_low(spark, sf):
@@ -316,7 +316,7 @@ ORACLES = {
     "daily_mean": "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ds, round(avg(value), 6) AS y FROM events GROUP BY 1",
     "date_gaps": """WITH g AS (SELECT date_diff('day', lag(l_shipdate) OVER (ORDER BY l_shipdate), l_shipdate)::DOUBLE AS gap FROM lineitem)
  SELECT count(*) AS n, round(median(gap), 6) AS median_gap, round(max(gap), 6) AS max_gap FROM g""",
-    "month_summary": f"WITH {DAILY_SQL} SELECT month(day) AS month, round(avg(total_price), 2) AS mean_value FROM daily GROUP BY 1",
+    "month_summary": f"WITH {DAILY_SQL} SELECT month(day) AS month, round(avg(total_price), 4) AS mean_value FROM daily GROUP BY 1",
     "peak_and_low_month": f"""WITH {DAILY_SQL}, m AS (SELECT month(day) AS month, avg(total_price) AS v FROM daily GROUP BY 1)
  SELECT arg_max(month, v) AS peak_month, arg_min(month, v) AS low_month FROM m""",
     "adf_lag_1": f"""WITH {DAILY_SQL}, l AS (SELECT total_price AS y0, lag(total_price, 1) OVER o AS y1, lag(total_price, 2) OVER o AS y2 FROM daily WINDOW o AS (ORDER BY day)),

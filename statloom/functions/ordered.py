@@ -4,15 +4,14 @@ Ranks, running sums, exact quantiles and lags all need a total order. The order
 ranges whose bounds come from a hash-chosen sample; the bounds only balance the work, results do
 not depend on them. Inside a range a window computes local sums, and per-range totals (one row per
 key and range) give the offsets. A bound is a pure function of the data, so a recomputed task puts
-a row into the same range. Only when Catalyst's size estimate of the input is below a fixed limit
-(``fits_one_task``) a plain window is used, which then saves stages.
+a row into the same range. Inputs of every size take this one path.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from statloom.session import bucket_count, fits_one_task
+from statloom.session import bucket_count
 
 ROWS_PER_BOUND = 24
 
@@ -60,14 +59,6 @@ def prefix_sum(
     totals = totals or {}
     first = -F.col(order[0]) if descending_first else F.col(order[0])
     sort = [first] + [F.col(c) for c in order[1:]]
-    if fits_one_task(df):
-        upto = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*keys)
-        return df.select(
-            "*",
-            *[F.sum(c).over(upto).alias(out) for out, c in sums.items()],
-            *[F.sum(c).over(whole).alias(out) for out, c in totals.items()],
-        )
     buckets = bucket_count(df.sparkSession)
     order_key = [first.alias("_o0")] + [F.col(c).alias(f"_o{i}") for i, c in enumerate(order[1:], 1)]
     bounds = order_bounds(df, order_key, df.columns, buckets)
@@ -137,13 +128,6 @@ def lagged(df: DataFrame, order: list[str], columns: list[str], lags: int, keep:
     shuffle on the position brings a row and its lags together.
     """
     keep = keep or []
-    if fits_one_task(df):
-        line = Window.orderBy(*order)
-        back = [
-            (F.lag(c, j).over(line) if j else F.col(c)).alias(f"{c}_l{j}") for c in columns for j in range(lags + 1)
-        ]
-        own = [F.col(c) for c in dict.fromkeys([*order, *keep])]
-        return df.select(*own, *back, F.row_number().over(line).cast("long").alias("_pos"))
     placed = positions(df.select(*dict.fromkeys([*order, *keep, *columns])), order)
     sent = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("_lag")).withColumn(
         "_at", F.col("_pos") + F.col("_lag")

@@ -195,3 +195,26 @@ def t_quantile(p_two_sided: float, df: Column) -> Column:
         return let({"mid": (acc["lo"] + acc["hi"]) / 2, "lo": acc["lo"], "hi": acc["hi"]}, body)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+
+
+# Acklam's rational approximation of the normal quantile, constant term last (fixed values).
+QUANTILE_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+QUANTILE_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+QUANTILE_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
+def normal_quantile(p: Column) -> Column:
+    """z with P(Z < z) = p, to nine digits, for 0 < p < 1."""
+
+    def poly(coefficients: tuple[float, ...], x: Column) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    r = (p - 0.5) * (p - 0.5)
+    middle = poly(QUANTILE_A, r) * (p - 0.5) / poly(QUANTILE_B, r)
+    q = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = poly(QUANTILE_C, q) / poly(QUANTILE_D, q)
+    return F.when(p < 0.02425, tail).when(p > 0.97575, -tail).otherwise(middle)

@@ -97,7 +97,9 @@ def isolation_trees(vectors: DataFrame, seed: int = 42, trees: int = TREES) -> D
     tree s div 256, so each tree sees up to 256 different rows and no group is larger than that.
     """
     slots = trees * TREE_ROWS
-    pool = vectors.select("features", F.rand(seed).alias("_u")).orderBy("_u").limit(slots)
+    # a hash of the row, so that a recomputed task draws the same pool
+    drawn_by = F.xxhash64(F.lit(seed), *[quoted(c) for c in vectors.columns])
+    pool = vectors.select("features", drawn_by.alias("_u")).orderBy("_u").limit(slots)
     # The pool is bounded by the forest's size, so one task may number it.
     placed = pool.select(
         "features",

@@ -23,13 +23,15 @@ def pareto(df: DataFrame, category: str, value: str) -> DataFrame:
         .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("value"))
     )
     run = prefix_sum(sums, ["value", "label"], {"_run": "value"}, [], {"_all": "value"}, descending_first=True)
-    before = (F.col("_run") - F.col("value")) / F.col("_all") * 100
+    # a total of zero has no shares: they are null, and no item is in the 80 % group
+    share = lambda c: F.try_divide(c, F.col("_all")) * 100
+    before = share(F.col("_run") - F.col("value"))
     return run.select(
         "label",
         "value",
-        (F.col("value") / F.col("_all") * 100).alias("pct"),
-        (F.col("_run") / F.col("_all") * 100).alias("cumulative_pct"),
-        (before < SHARE).alias("in_80"),
+        share(F.col("value")).alias("pct"),
+        share(F.col("_run")).alias("cumulative_pct"),
+        F.coalesce(before < SHARE, F.lit(False)).alias("in_80"),
     )
 
 

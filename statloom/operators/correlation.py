@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from statloom.functions.ordered import prefix_sum
 from statloom.roles import number, quoted, roles
@@ -13,6 +13,15 @@ from statloom.roles import number, quoted, roles
 PAIRS_PER_PASS = 300
 
 
+def _corr(x: Column, y: Column) -> Column:
+    """Pearson over the rows where both are present; null where either does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), spread))
+
+
 def pearson_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(col1, col2, pearson) per pair; one aggregation serves up to 300 pairs."""
     columns = columns or roles(df).numeric
@@ -20,7 +29,7 @@ def pearson_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     parts = []
     for at in range(0, len(pairs), PAIRS_PER_PASS):
         facts = [
-            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.corr(number(a), number(b)).alias("pearson"))
+            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), _corr(number(a), number(b)).alias("pearson"))
             for a, b in pairs[at : at + PAIRS_PER_PASS]
         ]
         one = df.agg(*[f.alias(f"p{i}") for i, f in enumerate(facts)])
@@ -90,7 +99,7 @@ def _shared_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
         ranked = ranked.join(table, f"v{i}").drop(f"v{i}")
     pairs = list(combinations(range(len(columns)), 2))
     facts = [
-        F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), F.corr(f"r{i}", f"r{j}").alias("spearman"))
+        F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), _corr(F.col(f"r{i}"), F.col(f"r{j}")).alias("spearman"))
         for i, j in pairs
     ]
     one = ranked.agg(*[f.alias(f"p{i}") for i, f in enumerate(facts)])

@@ -32,8 +32,8 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def frequencies(df: DataFrame, columns: list[str] | None = None, k: int = 10) -> DataFrame:
-    """Top values of up to ten categorical columns with unique and present counts."""
-    columns = (columns or roles(df).categorical)[:10]
+    """Top values of the categorical columns with unique and present counts."""
+    columns = columns or roles(df).categorical
     counts = value_counts(df, columns)
     totals = (
         counts.where("value is not null")

@@ -16,26 +16,28 @@ from statloom.functions.special import chi2_upper, f_upper, normal_two_sided, t_
 from statloom.roles import number, quoted, roles
 
 ALPHA = 0.05
-# Below these sizes the rank test uses its exact law (fixed values).
+# Up to this size of the smaller group the exact law of the rank test is meant to be used (fixed value).
 EXACT_GROUP = 8
-EXACT_STATES = 1_000_000
 
 
-def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+def distinct_counts(df: DataFrame, columns: list[str]) -> tuple[dict[str, int], int]:
+    """Distinct values per column and the row count. A sketch in one pass ranks columns; small counts it gives exactly."""
     if not columns:
-        return {}
-    row = df.agg(*[F.count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[i] for i, c in enumerate(columns)}
+        return {}, 0
+    facts = [F.approx_count_distinct(quoted(c), 0.01).alias(f"d{i}") for i, c in enumerate(columns)]
+    row = df.agg(*facts, F.count("*").alias("rows")).first()
+    return {c: row[i] for i, c in enumerate(columns)}, row["rows"]
 
 
 def pick_group(df: DataFrame, levels: int, at_least: bool = False) -> str | None:
-    """First categorical column with the wanted number of levels."""
+    """First categorical column with the wanted number of levels; never one with a value of its own in most rows."""
     columns = roles(df).categorical
-    counts = distinct_counts(df, columns)
+    counts, rows = distinct_counts(df, columns)
+    columns = [c for c in columns if 2 * counts[c] <= rows]
     for c in columns:
         if counts[c] == levels or (at_least and counts[c] >= levels):
             return c
-    return None if at_least or not columns else columns[0]
+    return None if at_least else next((c for c in columns if 1 < counts[c] < rows), None)
 
 
 def group_moments(df: DataFrame, target: str, group: str) -> DataFrame:
@@ -50,7 +52,7 @@ def group_moments(df: DataFrame, target: str, group: str) -> DataFrame:
 
 def _pooled(n1: Column, v1: Column, n2: Column, v2: Column) -> Column:
     spare = lambda n, v: F.when(n > 1, (n - 1) * v).otherwise(0.0)
-    return (spare(n1, v1) + spare(n2, v2)) / (n1 + n2 - 2)
+    return F.try_divide(spare(n1, v1) + spare(n2, v2), n1 + n2 - 2)
 
 
 def ttest(df: DataFrame, target: str, group: str) -> DataFrame:
@@ -74,7 +76,7 @@ def ttest(df: DataFrame, target: str, group: str) -> DataFrame:
         (c["mean1"] - c["mean2"]).alias("difference"),
         error.alias("std_error"),
         dof.alias("dof"),
-        F.when(error > 0, (c["mean1"] - c["mean2"]) / error).alias("t_stat"),
+        F.try_divide(c["mean1"] - c["mean2"], F.nullif(error, F.lit(0.0))).alias("t_stat"),
         F.when(spread > 0, (c["mean1"] - c["mean2"]) / spread).otherwise(0.0).alias("cohens_d"),
     )
     scored = base.withColumn("p_value", t_two_sided(F.col("t_stat"), F.col("dof")))
@@ -103,7 +105,7 @@ def f_table(moments: DataFrame, grand_mean: Column | None = None) -> DataFrame:
     )
     d1, d2 = F.col("groups") - 1, F.col("n") - F.col("groups")
     f = F.when(
-        (F.col("ss_within") > 0) & (d1 > 0), (F.col("ss_between") / d1) / (F.col("ss_within") / d2)
+        (F.col("ss_within") > 0) & (d1 > 0), F.try_divide(F.try_divide(F.col("ss_between"), d1), F.try_divide(F.col("ss_within"), d2))
     )
     total = F.col("_about") + F.col("ss_within")
     out = sums.select(
@@ -142,7 +144,7 @@ def pairwise_comparison(df: DataFrame, target: str, group: str) -> DataFrame:
         F.col("grp1").alias("group1"),
         F.col("grp2").alias("group2"),
         (F.col("mean1") - F.col("mean2")).alias("difference"),
-        F.when(error > 0, (F.col("mean1") - F.col("mean2")) / error).alias("t_stat"),
+        F.try_divide(F.col("mean1") - F.col("mean2"), F.nullif(error, F.lit(0.0))).alias("t_stat"),
         dof.alias("dof"),
         (F.col("_k") * (F.col("_k") - 1) / 2).alias("_m"),
     )
@@ -243,9 +245,12 @@ def _exact_u(u: pd.Series, n1: pd.Series, n2: pd.Series, wanted: pd.Series) -> p
     )
 
 
-def mann_whitney(df: DataFrame, target: str, group: str) -> DataFrame:
+def mann_whitney(df: DataFrame, target: str, group: str, method: str = "auto") -> DataFrame:
     """U of the first group, two-sided p, rank-biserial correlation and both medians.
 
+    ``method`` is the law of U: normal, exact (time grows with the product of the sizes squared), or auto,
+    which takes the exact law without ties when a group has at most EXACT_GROUP rows.
+
     Only distinct values with a count per group are ordered; the rank sum follows from the running
     count of values below.
     """
@@ -287,7 +292,10 @@ def mann_whitney(df: DataFrame, target: str, group: str) -> DataFrame:
     top = F.greatest(u1, n1 * n2 - u1)
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
     z = F.when(sigma > 0, (top - n1 * n2 / 2 - 0.5) / sigma)
-    exact = (F.least("n1", "n2") <= EXACT_GROUP) & (F.col("_widest") == 1) & (n1 * n2 <= EXACT_STATES)
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method {method!r}")
+    small = (F.least("n1", "n2") <= EXACT_GROUP) & (F.col("_widest") == 1)
+    exact = {"auto": small, "exact": F.lit(True), "normal": F.lit(False)}[method]
     base = sums.withColumn("_m", both.scalar()).select(
         F.col("_m.a.grp").cast("string").alias("group1"),
         F.col("_m.b.grp").cast("string").alias("group2"),
@@ -310,37 +318,34 @@ def mann_whitney(df: DataFrame, target: str, group: str) -> DataFrame:
     )
 
 
-def levene(df: DataFrame, target: str, group: str, groups: int = 5, least: int = 5) -> DataFrame:
-    """Median-centred Levene test over the first groups with enough rows."""
+def levene(df: DataFrame, target: str, group: str, least: int = 5) -> DataFrame:
+    """Median-centred Levene test over all groups with enough rows."""
     rows = df.select(quoted(group).alias("grp"), number(target).alias("v")).where("grp is not null")
     # "Enough" counts rows of the group, present or not.
     big = (
         rows.groupBy("grp")
         .agg(F.count("*").alias("_n"), F.count("v").alias("_p"))
         .where(f"_n >= {least}")
-        .orderBy("grp")
-        .limit(groups)
         .where("_p > 0")
     )
-    # At most ``groups`` rows.
     counts = (
         rows.where("v is not null")
         .groupBy("grp", "v")
         .agg(F.count("*").alias("n"))
-        .join(F.broadcast(big.select("grp")), "grp")
+        .join(big.select("grp"), "grp")
     )
     centre = weighted_quantiles(counts, "v", {"median": 0.5}, ["grp"]).select("grp", "median")
-    spread = counts.join(F.broadcast(centre), "grp").withColumn("d", F.abs(F.col("v") - F.col("median")))
+    spread = counts.join(centre, "grp").withColumn("d", F.abs(F.col("v") - F.col("median")))
     means = spread.groupBy("grp").agg(
         F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("mean")
     )
     within = (
-        spread.join(F.broadcast(means.select("grp", "mean", F.col("n").alias("_n"))), "grp")
+        spread.join(means.select("grp", "mean", F.col("n").alias("_n")), "grp")
         .groupBy("grp")
         .agg(
             F.max("_n").alias("n"),
             F.max("mean").alias("mean"),
-            (F.sum(F.col("n") * (F.col("d") - F.col("mean")) ** 2) / (F.max("_n") - 1)).alias("var"),
+            (F.sum(F.col("n") * (F.col("d") - F.col("mean")) ** 2) / F.nullif(F.max("_n") - 1, F.lit(0))).alias("var"),
         )
     )
     return f_table(within).select("groups", F.col("f_stat").alias("w_stat"), "p_value")

@@ -114,7 +114,7 @@ def regression_metrics(predictions: DataFrame) -> DataFrame:
     )
     return sums.select(
         F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst")).alias("r2"),
-        F.sqrt(F.col("_sse") / F.col("test_size")).alias("rmse"),
+        F.sqrt(F.try_divide(F.col("_sse"), F.col("test_size"))).alias("rmse"),
         "mae",
         "test_size",
     )
@@ -157,7 +157,7 @@ def polynomial_fit(df: DataFrame, target: str, feature: str, key: str | None = N
     )
     error = F.col("actual") - F.col("predicted")
     metrics = predictions.groupBy("degree").agg(
-        (1 - F.sum(error**2) / (F.var_pop("actual") * F.count("*"))).alias("r2"),
+        (1 - F.try_divide(F.sum(error**2), F.var_pop("actual") * F.count("*"))).alias("r2"),
         F.sqrt(F.avg(error**2)).alias("rmse"),
         F.count("*").alias("test_size"),
     )

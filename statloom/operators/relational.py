@@ -59,15 +59,18 @@ def as_timestamp(df: DataFrame, column: str) -> Column:
 
 
 def date_like_strings(df: DataFrame) -> DataFrame:
-    """(column, date_like): do the first 20 present values of a text column all parse as dates?"""
-    checks = []
-    for name in roles(df).categorical:
-        head = df.select(quoted(name).alias("v")).where("v is not null").limit(20)
-        ok = F.coalesce(F.bool_and(parse_date(F.col("v")).isNotNull()), F.lit(False))
-        checks.append(head.agg(ok.alias("date_like")).select(F.lit(name).alias("column"), "date_like"))
-    if not checks:
+    """(column, date_like): do all present values of a text column parse as dates? One scan for all columns."""
+    names = roles(df).categorical
+    if not names:
         return df.sparkSession.createDataFrame([], "column string, date_like boolean")
-    return reduce(DataFrame.unionByName, checks)
+    facts = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.coalesce(F.bool_and(F.when(quoted(c).isNotNull(), parse_date(quoted(c)).isNotNull())), F.lit(False)).alias("date_like"),
+        ).alias(f"d{i}")
+        for i, c in enumerate(names)
+    ]
+    return df.agg(*facts).select(F.inline(F.array(*[F.col(f"d{i}") for i in range(len(names))])))
 
 
 def date_columns(df: DataFrame) -> list[str]:

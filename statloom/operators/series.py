@@ -39,10 +39,17 @@ def is_summed(target: str) -> bool:
     return any(w in target.lower() for w in SUM_WORDS)
 
 
-def aggregate_by_date(df: DataFrame, date: str, target: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, ds, y): the sum per date for revenue-like names, else the mean."""
+def aggregate_by_date(
+    df: DataFrame, date: str, target: str, keys: list[str] | None = None, grain: str | None = None
+) -> DataFrame:
+    """(keys, ds, y): the sum per date for revenue-like names, else the mean.
+
+    ``grain`` (day, week, month, ...) folds timestamps first; without it equal timestamps are folded.
+    """
+    ds = as_timestamp(df, date)
+    ds = F.date_trunc(grain, ds).cast("timestamp_ntz") if grain else ds
     rows = df.select(
-        *[quoted(k) for k in (keys or [])], as_timestamp(df, date).alias("ds"), number(target).alias("y")
+        *[quoted(k) for k in (keys or [])], ds.alias("ds"), number(target).alias("y")
     ).where("ds is not null and y is not null")
     fold = F.sum("y") if is_summed(target) else F.avg("y")
     return rows.groupBy(*(keys or []), "ds").agg(fold.alias("y"))

@@ -12,7 +12,7 @@ from statloom.operators.relational import select_columns
 from statloom.plans.catalogue import ANALYSES, Outcome, run_analysis
 from statloom.plans.confidence import confidence
 from statloom.plans.guardrails import check_assumptions, guardrail_summary
-from statloom.plans.templates import Template
+from statloom.plans.saved import SavedPlans
 
 FALLBACK = "descriptive_stats"
 
@@ -44,8 +44,11 @@ def run_batch(
         if outcome.success and outcome.metrics:
             metrics = outcome.tables[outcome.metrics]
             wanted = [c for c in fit if c in metrics.columns]
-            if wanted:
-                fit.update(metrics.select(*wanted).first().asDict())
+            try:  # tables are lazy: an unusable input may show only here
+                if wanted:
+                    fit.update(metrics.select(*wanted).first().asDict())
+            except Exception as e:
+                outcome = Outcome(analysis_id, error=f"{type(e).__name__}: {e}")
         return outcome, checks, (analysis_id, failed, fit["r2"], fit["silhouette"])
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
@@ -60,7 +63,7 @@ def run_batch(
     return BatchResult([o for o, _, _ in done], {row[0]: c for _, c, row in done}, confidence(sized))
 
 
-def run_template(df: DataFrame, template: Template, parallel: int = 4) -> BatchResult:
-    """A template's columns override the table's; null means all columns."""
-    steps = [(i, template.params.get(i, {})) for i in template.analyses]
-    return run_batch(df, steps, template.selected_columns, parallel)
+def run_saved(df: DataFrame, plans: SavedPlans, name: str, parallel: int = 4) -> BatchResult:
+    """Run a saved plan; its columns override the table's, and null means all columns."""
+    steps, columns = plans.steps(name)
+    return run_batch(df, steps, columns, parallel)

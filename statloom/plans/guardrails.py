@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
-from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from statloom.functions.ordered import prefix_sum
+from statloom.functions.special import normal_quantile, normal_two_sided
 from statloom.operators.anomaly import Z_LIMIT
 from statloom.operators.hypothesis import levene
 from statloom.operators.regression import vif
@@ -21,7 +19,6 @@ COLUMNS = ["test", "column", "stat", "p_value", "passed", "message"]
 
 # Limits (fixed values).
 ALPHA = 0.05
-NORMALITY_ROWS = 5000
 VIF_LIMIT = 10
 ROWS_PER_FEATURE = 10
 IMBALANCE_LIMIT = 10
@@ -32,77 +29,39 @@ SERIES_ROWS = 30
 GAP_FACTOR = 10
 FOREST_ROWS = 50
 
-# Royston (1995) polynomials, lowest power first (fixed values).
-END_WEIGHT = [0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056]
-NEXT_WEIGHT = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
-SMALL_GAMMA = [-2.273, 0.459]
-SMALL_MEAN = [0.544, -0.39978, 0.025054, -0.0006714]
-SMALL_SD = [1.3822, -0.77857, 0.062767, -0.0020322]
-LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
-LARGE_SD = [-0.4803, -0.082676, 0.0030302]
-
-
-def _poly(c: list[float], x: float) -> float:
-    return float(np.polynomial.polynomial.polyval(x, c))
-
-
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and p of at most 5,000 values."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n < 3 or x[0] == x[-1]:
-        return 1.0, 1.0
-    normal = NormalDist()
-    m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    ss = float(m @ m)
-    a = m / math.sqrt(ss)
-    if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        root = 1 / math.sqrt(n)
-        last = _poly(END_WEIGHT, root) + a[-1]
-        ends = {0: -last, n - 1: last}
-        if n > 5:
-            near = _poly(NEXT_WEIGHT, root) + a[-2]
-            ends.update({1: -near, n - 2: near})
-        rest = 1 - sum(v * v for v in ends.values())
-        inner = ss - sum(m[i] ** 2 for i in ends)
-        a = m * math.sqrt(rest / inner)
-        for i, v in ends.items():
-            a[i] = v
-    w = min(1.0, float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()))
-    if n == 3:
-        p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, min(1.0, max(0.0, p))
-    y = math.log(max(1 - w, 1e-300))
-    if n <= 11:
-        gamma = _poly(SMALL_GAMMA, n)
-        if y >= gamma:
-            return w, 0.0
-        y, mean, sd = -math.log(gamma - y), _poly(SMALL_MEAN, n), math.exp(_poly(SMALL_SD, n))
-    else:
-        size = math.log(n)
-        mean, sd = _poly(LARGE_MEAN, size), math.exp(_poly(LARGE_SD, size))
-    return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
+# Royston (1993): mean and spread of log(1 - W') by log n (fixed values).
+LOG_MEAN = (-1.2725, 1.0521)
+LOG_SPREAD = (1.0308, -0.26758)
 
 
 def normality(values: DataFrame) -> DataFrame:
-    """(column, w_stat, p_value, n) of (column, v) rows; a random 5,000 of longer columns."""
-    line = Window.partitionBy("column").orderBy("_u")
-    # row_number with a limit is cut to the limit in every task before the shuffle.
-    sample = (
-        values.where("v is not null")
-        .withColumn("_u", F.rand(42))
-        .withColumn("_k", F.row_number().over(line))
-        .where(f"_k <= {NORMALITY_ROWS}")
+    """(column, w_stat, p_value, n) of (column, v) rows by the Shapiro-Francia test over all rows.
+
+    W' is the squared correlation of the ordered values with normal scores. Distinct values get their
+    ranks by a distributed prefix sum, each rank its score, and sums per column are all that is
+    shuffled after that. Below five values or without spread nothing speaks against normality.
+    """
+    counts = values.where("v is not null").groupBy("column", "v").agg(F.count("*").alias("n"))
+    ranked = prefix_sum(counts, ["v"], {"_upto": "n"}, ["column"], {"_all": "n"})
+    rank = F.explode(F.sequence(F.col("_upto") - F.col("n") + 1, F.col("_upto")))
+    scored = ranked.select("column", "v", "_all", rank.alias("_rank")).withColumn(
+        "m", normal_quantile((F.col("_rank") - 0.375) / (F.col("_all") + 0.25))
     )
-
-    def test(part: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(part["v"].to_numpy())
-        return pd.DataFrame({"column": [part["column"].iloc[0]], "w_stat": [w], "p_value": [p], "n": [len(part)]})
-
-    return (
-        sample.select("column", "v").groupBy("column").applyInPandas(test, "column string, w_stat double, p_value double, n long")
+    sums = scored.groupBy("column").agg(
+        F.max("_all").alias("n"),
+        F.covar_pop("v", "m").alias("_vm"),
+        F.var_pop("v").alias("_vv"),
+        F.var_pop("m").alias("_mm"),
+    )
+    w = F.coalesce(F.try_divide(F.col("_vm") ** 2, F.nullif(F.col("_vv") * F.col("_mm"), F.lit(0.0))), F.lit(1.0))
+    size = F.log(F.col("n").cast("double"))
+    mean = LOG_MEAN[0] + LOG_MEAN[1] * (F.log(size) - size)
+    spread = LOG_SPREAD[0] + LOG_SPREAD[1] * (F.log(size) + 2 / size)
+    z = (F.log(F.greatest(1 - F.col("w_stat"), F.lit(1e-300))) - mean) / spread
+    upper = F.when(z > 0, normal_two_sided(z) / 2).otherwise(1 - normal_two_sided(z) / 2)
+    tested = (F.col("n") >= 5) & (F.col("w_stat") < 1)
+    return sums.withColumn("w_stat", F.least(w, F.lit(1.0))).select(
+        "column", "w_stat", F.when(tested, upper).otherwise(1.0).alias("p_value"), "n"
     )
 
 
@@ -127,7 +86,7 @@ def _normality_check(df: DataFrame, columns: list[str], only_failed: bool) -> Da
     ok = F.col("p_value") >= ALPHA
     rows = _check(
         found,
-        "shapiro_wilk",
+        "shapiro_francia",
         F.col("column"),
         F.round("w_stat", 4),
         F.round("p_value", 4),
@@ -142,7 +101,7 @@ def check_linear(df: DataFrame, p: dict) -> list[DataFrame]:
     target = p.get("target_column") or (numeric[-1] if numeric else None)
     if not target:
         return []
-    features = [f for f in (p.get("feature_columns") or numeric[:5]) if f != target]
+    features = [f for f in (p.get("feature_columns") or numeric) if f != target]
     out = [_normality_check(df, [target], False)]
     if len(features) >= 2:
         high = vif(df, features).where(F.col("vif") > VIF_LIMIT)
@@ -183,20 +142,20 @@ def check_logistic(df: DataFrame, p: dict) -> list[DataFrame]:
     ]
 
 
-def check_anova(df: DataFrame, p: dict, groups: int = 5, least: int = 5) -> list[DataFrame]:
+def check_anova(df: DataFrame, p: dict, least: int = 5) -> list[DataFrame]:
     numeric = roles(df).numeric
     group, value = p.get("group_column"), p.get("target_column") or (numeric[-1] if numeric else None)
     if not group or not value:
         return []
     sizes = df.where(quoted(group).isNotNull()).groupBy(quoted(group).alias("g")).agg(F.count("*").alias("n"))
-    chosen = sizes.where(F.col("n") >= least).orderBy("g").limit(groups)
-    rows = df.select(quoted(group).alias("g"), number(value).alias("v")).join(F.broadcast(chosen.select("g")), "g")
+    chosen = sizes.where(F.col("n") >= least).select("g")
+    rows = df.select(quoted(group).alias("g"), number(value).alias("v")).join(chosen, "g")
     tests = normality(rows.select(F.col("g").cast("string").alias("column"), "v"))
     bad = tests.agg(F.count("*").alias("k"), F.count_if(F.col("p_value") < ALPHA).alias("bad")).where("k >= 2 and bad > 0")
-    spread = levene(df, value, group, groups, least).where("groups >= 2 and p_value is not null")
+    spread = levene(df, value, group, least).where("groups >= 2 and p_value is not null")
     return [
         _check(
-            bad, "shapiro_wilk", value, F.col("bad"), None, False,
+            bad, "shapiro_francia", value, F.col("bad"), None, False,
             F.format_string("%d of %d groups are not normal; consider a rank test", "bad", "k"),
         ),
         _check(
@@ -207,12 +166,12 @@ def check_anova(df: DataFrame, p: dict, groups: int = 5, least: int = 5) -> list
 
 
 def check_correlation(df: DataFrame, p: dict) -> list[DataFrame]:
-    columns = (p.get("feature_columns") or roles(df).numeric)[:2]
+    columns = p.get("feature_columns") or roles(df).numeric
     return [_normality_check(df, columns, True)] if columns else []
 
 
 def check_kmeans(df: DataFrame, p: dict) -> list[DataFrame]:
-    columns = p.get("feature_columns") or roles(df).numeric[:5]
+    columns = p.get("feature_columns") or roles(df).numeric
     if not columns:
         return []
     facts = []
@@ -230,7 +189,7 @@ def check_kmeans(df: DataFrame, p: dict) -> list[DataFrame]:
     ]
     tagged = df.withColumn("_f", one.select(F.struct("*")).scalar())
     shares = []
-    for i, c in enumerate(columns[:3]):
+    for i, c in enumerate(columns):
         z = F.abs(number(c) - F.col(f"_f.m{i}")) / F.nullif(F.col(f"_f.q{i}"), F.lit(0.0))
         shares.append(
             F.struct(

@@ -11,11 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from statloom.operators.profile import profile_report
 from statloom.plans.catalogue import NAMES, Outcome, metric_rows
 
-DETAIL_ROWS = 5000
 
-
-def detail_table(outcome: Outcome, rows: int | None = DETAIL_ROWS) -> DataFrame | None:
-    """The main table of an outcome; bounded for reports, whole with ``rows=None``."""
+def detail_table(outcome: Outcome, rows: int | None = None) -> DataFrame | None:
+    """The main table of an outcome, whole unless a report asks for ``rows`` of it."""
     if not outcome.success or outcome.detail not in outcome.tables:
         return None
     table = outcome.tables[outcome.detail]
@@ -30,13 +28,23 @@ def _flat(table: DataFrame, format: str) -> DataFrame:
     return table.select(*[F.to_json(F.col(c)).alias(c) if c in nested else F.col(c) for c in table.columns])
 
 
-def write_results(outcomes: list[Outcome], path: str, format: str = "parquet", mode: str = "overwrite") -> None:
-    """Every table of every successful outcome under ``path/analysis_id=.../table``, written in parallel by Spark."""
+def write_results(
+    outcomes: list[Outcome], path: str, format: str = "parquet", mode: str = "overwrite"
+) -> list[tuple[str, str, str]]:
+    """Every table of every successful outcome under ``path/analysis_id=.../table``, written in parallel by Spark.
+
+    Returns (analysis, table, error) of those that could not be made; the others are written all the same.
+    """
+    failed = []
     for outcome in outcomes:
         for name, table in outcome.tables.items():
-            _flat(table, format).write.mode(mode).option("header", True).format(format).save(
-                f"{path}/analysis_id={outcome.analysis_id}/{name}"
-            )
+            try:
+                _flat(table, format).write.mode(mode).option("header", True).format(format).save(
+                    f"{path}/analysis_id={outcome.analysis_id}/{name}"
+                )
+            except Exception as e:
+                failed.append((outcome.analysis_id, name, f"{type(e).__name__}: {e}"))
+    return failed
 
 
 def write_profile(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
@@ -102,7 +110,10 @@ class ResultsLog:
     def save_result(self, session_id: str, outcome: Outcome, interpretation: str = "") -> str:
         """Log the headline numbers of an outcome; its tables go to ``write_results``."""
         result_id = str(uuid.uuid4())
-        metrics = metric_rows(self.spark, outcome).orderBy("position").collect()
+        try:  # the tables are lazy, so they may fail only now
+            metrics = metric_rows(self.spark, outcome).orderBy("position").collect()
+        except Exception as e:
+            outcome, metrics = Outcome(outcome.analysis_id, error=f"{type(e).__name__}: {e}"), []
         now = datetime.now(timezone.utc)
         row = (
             result_id,

@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs whose scan Catalyst sizes at most this large may be ordered by one task.
-ONE_TASK_BYTES = 32 * 1024 * 1024
-ONE_TASK_CONF = "spark.statloom.oneTaskBytes"
-
 
 def local_session(app: str = "statloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -31,8 +27,8 @@ def local_session(app: str = "statloom", cores: str = "*", shuffle_partitions: i
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local runs) a
-    temporary folder is made and set as the checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir``; without it a run on a cluster stops here, since
+    its executors would write to different disks. Only a local run gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -40,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="statloom-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")
@@ -66,20 +64,6 @@ def bucket_count(spark: SparkSession) -> int:
     return max(2, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan; unknown sizes count as huge."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
-        return 1 << 62
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """True when the input is proven small, so that a plain window beats value ranges."""
-    limit = int(df.sparkSession.conf.get(ONE_TASK_CONF, str(ONE_TASK_BYTES)))
-    return estimated_bytes(df) <= limit
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give a costly per-row step every core when the scan has fewer splits than cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Candidate delimiters, prefix size of the reader, byte-order marks.
+# Candidate delimiters and byte-order marks.
 DELIMITERS = [",", ";", "\t", "|"]
-PREFIX_BYTES = 8192
 BYTE_ORDER_MARKS = [(b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16"), (b"\xfe\xff", "UTF-16")]
 
 
-def _prefix(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of the first file below the path, on any file system Spark can reach."""
+def _mark(spark: SparkSession, path: str) -> bytes:
+    """The first three bytes of the first file below the path, on any file system Spark can reach."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(conf)
@@ -20,7 +19,7 @@ def _prefix(spark: SparkSession, path: str) -> bytes:
             str(s.getPath()) for s in fs.listStatus(target) if s.isFile() and s.getPath().getName()[0] not in "._"
         )
         target = jvm.org.apache.hadoop.fs.Path(names[0])
-    size = min(PREFIX_BYTES, fs.getFileStatus(target).getLen())
+    size = min(3, fs.getFileStatus(target).getLen())
     stream = fs.open(target)
     try:
         return bytes(stream.readNBytes(int(size)))
@@ -30,7 +29,7 @@ def _prefix(spark: SparkSession, path: str) -> bytes:
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """By byte-order mark; else UTF-8 if the whole text is valid; else Latin-1."""
-    head = _prefix(spark, path)
+    head = _mark(spark, path)
     for mark, name in BYTE_ORDER_MARKS:
         if head.startswith(mark):
             return name
@@ -40,26 +39,23 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """The delimiter that splits the head of the file most evenly into most fields."""
-    text = _prefix(spark, path).decode("utf-16" if encoding.startswith("UTF-16") else encoding, errors="ignore")
-    lines = [line.lstrip("﻿") for line in text.splitlines() if line.strip()]
-    lines = lines[:-1] if len(lines) > 1 else lines
-    if not lines:
-        return ","
-    rows = spark.createDataFrame([(line,) for line in lines], "value string")
+    """The delimiter that splits the most lines into the same number of fields, then into most fields.
+
+    One aggregation over all lines of all files; ``,`` if none splits any line.
+    """
+    if encoding.startswith("UTF-16"):
+        # a line break is two bytes there, which only the whole-file reader cuts right
+        text = spark.read.option("encoding", encoding).option("multiLine", True).option("sep", "\x01").option("quote", "").csv(path)
+        rows = text.select(F.col(text.columns[0]).alias("value"))
+    else:
+        rows = spark.read.text(path)
     # Quoted text may hold any delimiter.
-    bare = rows.select(F.regexp_replace("value", '"[^"]*"', "").alias("value"))
-    counted = bare.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("d"), (F.size(F.split("value", "\\Q" + d + "\\E", -1)) - 1).alias("n"))
-                    for i, d in enumerate(DELIMITERS)
-                ]
-            )
-        )
-    )
-    usual = counted.groupBy("d", "n").agg(F.count("*").alias("lines")).where("n > 0")
+    bare = rows.where(F.trim("value") != "").select(F.regexp_replace("value", '"[^"]*"', "").alias("value"))
+    places = [
+        F.struct(F.lit(i).alias("d"), (F.size(F.split("value", "\\Q" + d + "\\E", -1)) - 1).alias("n"))
+        for i, d in enumerate(DELIMITERS)
+    ]
+    usual = bare.select(F.inline(F.array(*places))).groupBy("d", "n").agg(F.count("*").alias("lines")).where("n > 0")
     best = usual.orderBy(F.desc("lines"), F.desc("n"), "d").first()
     return DELIMITERS[best["d"]] if best else ","
 

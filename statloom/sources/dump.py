@@ -1,8 +1,8 @@
 """SQL dumps (INSERT statements) as tables.
 
-A dump is cut into statements at ``;`` + line break by the text source, so a large file is read by
-many tasks. One aggregation then checks that no statement was cut inside a quoted value; if one was,
-each file is split by one task that follows the quotes.
+A dump is cut into pieces at ``;`` + line break by the text source, so a large file is read by many
+tasks. Running counts along each file then tell which pieces are COPY data and which belong to one
+statement; statements that share a line are split where they are.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from statloom.functions.ordered import prefix_sum
+from statloom.session import cut_lineage
+
 # Dump type to Spark type, by the leading word (fixed values).
 COLUMN_TYPES = {
     "TINYINT": "smallint", "SMALLINT": "smallint", "MEDIUMINT": "int", "INT": "bigint", "INTEGER": "bigint",
@@ -26,18 +29,14 @@ NAME = r"(?:[`\"]?\w+[`\"]?\.)?[`\"]?(\w+)[`\"]?"
 CREATE = re.compile(rf"(?is)^\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\((.*)\)[^)]*$")
 INSERT_PATTERN = r"(?is)^\s*INSERT\s+(?:IGNORE\s+)?INTO\s"
 CREATE_PATTERN = r"(?is)^\s*CREATE\s+TABLE\s"
+COPY_PATTERN = r"(?ims)^\s*COPY\s[^;]*\sFROM\s+stdin\s*\z"
+COPY_END = r"(?m)^\\\.[ \t\r]*$"
 
 
 def clean_statement(c: Column) -> Column:
-    """A statement without comments at its head, settings, locks, table options and back-quotes.
-
-    Values of INSERT statements are left alone.
-    """
+    """A statement without comments, settings, locks and COPY heads before it; the rest is left alone."""
     head = F.regexp_replace(c, r"(?s)\A(?:\s|--[^\n]*(?:\n|\z)|#[^\n]*(?:\n|\z)|/\*.*?\*/;?)+", "")
-    head = F.regexp_replace(head, r"(?is)\A(?:SET|LOCK\s+TABLES|UNLOCK\s+TABLES|DROP\s+TABLE|COPY)\s.*", "")
-    options = r"(?i)\b(?:ENGINE|DEFAULT\s+CHARSET|CHARSET|COLLATE|AUTO_INCREMENT|ROW_FORMAT|KEY_BLOCK_SIZE|COMMENT)\s*=\s*\S+"
-    ddl = F.regexp_replace(F.regexp_replace(head, options, ""), "`([^`]+)`", '"$1"')
-    return F.when(head.rlike(CREATE_PATTERN), F.trim(ddl)).otherwise(F.rtrim(head))
+    return F.rtrim(F.regexp_replace(head, r"(?is)\A(?:SET|LOCK\s+TABLES|UNLOCK\s+TABLES|DROP\s+TABLE|COPY)\s.*", ""))
 
 
 def _split(text: str) -> Iterator[str]:
@@ -68,19 +67,61 @@ def _split(text: str) -> Iterator[str]:
     yield text[start:]
 
 
+def _quotes(text: Column) -> Column:
+    """Single quotes in a text, without escaped ones and those of comment lines."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r"(?m)^\s*--[^\n]*$", "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit("'")))
+
+
+def _ordered_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, line, value): what lies between two ``;`` + line break, in the order of each file."""
+    read = spark.read.option("lineSep", ";\n").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    # ids rise along a task, and a task reads its blocks from front to back
+    return read.select(
+        F.col("file_path").alias("file"),
+        F.col("file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+
+
+def _stitched(pieces: DataFrame) -> DataFrame:
+    """Pieces without COPY data, and pieces that a quoted value was cut into joined again."""
+    order = ["block", "line"]
+    begins = F.col("value").rlike(COPY_PATTERN).cast("int")
+    ends = F.col("value").rlike(COPY_END).cast("int")
+    counted = prefix_sum(pieces.withColumn("ends", ends).withColumn("step", begins - F.col("ends")), order, {"upto": "step"}, ["file"])
+    inside = F.col("upto") - F.col("step") > 0
+    after = F.regexp_replace("value", r"(?s)\A.*?" + COPY_END + r"\n?", "")
+    over = F.col("ends") == 1
+    kept = counted.where(~inside | over).withColumn("value", F.when(over, after).otherwise(F.col("value")))
+    kept = cut_lineage(kept.select("file", *order, "value", _quotes(F.col("value")).alias("quotes")))
+    # a statement is over where the quotes so far are even; the number of such places before a piece names it
+    running = prefix_sum(kept, order, {"so_far": "quotes"}, ["file"]).withColumn("over", (F.col("so_far") % 2 == 0).cast("int"))
+    named = prefix_sum(running, order, {"closed": "over"}, ["file"])
+    return (
+        named.groupBy("file", (F.col("closed") - F.col("over")).alias("statement"))
+        .agg(F.array_sort(F.collect_list(F.struct(*order, "value"))).alias("parts"))
+        .select(F.array_join(F.transform("parts", lambda p: p["value"]), ";\n").alias("value"))
+    )
+
+
 def statements(spark: SparkSession, path: str) -> DataFrame:
-    """(statement) rows, cleaned; empty ones dropped."""
-    pieces = spark.read.option("lineSep", ";\n").text(path)
-    bare = F.regexp_replace(F.regexp_replace("value", r"\\.", ""), r"(?m)^\s*--[^\n]*$", "")
-    odd = F.length(F.regexp_replace(bare, "[^']", "")) % 2 == 1
-    if pieces.where(odd).limit(1).count():
-        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                for text in part["value"]:
-                    yield pd.DataFrame({"value": list(_split(text))})
-
-        pieces = spark.read.text(path, wholetext=True).mapInPandas(cut, "value string")
-    cleaned = pieces.select(F.regexp_replace(clean_statement(F.col("value")), r";\s*\z", "").alias("statement"))
+    """(statement) rows, cleaned; empty ones dropped.
+
+    COPY blocks are passed over. Text that holds ``;`` + line break inside quotes is put together by
+    running counts of quotes along each file, so a file is never read by one task alone.
+    """
+    pieces = _ordered_pieces(spark, path)
+    special = F.col("value").rlike(COPY_PATTERN) | F.col("value").rlike(COPY_END) | (_quotes(F.col("value")) % 2 == 1)
+    whole = _stitched(pieces) if pieces.where(special).limit(1).count() else pieces.select("value")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"value": [s for text in part["value"] for s in _split(text)]}, dtype=object)
+
+    split = whole.mapInPandas(cut, "value string")
+    cleaned = split.select(F.regexp_replace(clean_statement(F.col("value")), r";\s*\z", "").alias("statement"))
     return cleaned.where("statement <> ''")
 
 
@@ -139,7 +180,7 @@ def _insert_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not m:
                 tables.append(None)
                 names.append(None)
-                rows.append([text[:200]])
+                rows.append([text])
                 continue
             listed = [c.strip().strip('`"') for c in m.group(2).split(",")] if m.group(2) else None
             for values in _tuples(m.group(3)):
@@ -150,7 +191,10 @@ def _insert_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
-    """The dump's tables. Statements that cannot be read become the table ``_failed`` (if asked for)."""
+    """The dump's tables, and ``_failed`` if asked for: (table, reason, failures, example) of what could not be read.
+
+    Failures are INSERT statements that cannot be parsed and rows for tables that the dump does not declare.
+    """
     cut = statements(spark, path)
     # One CREATE statement per table.
     schemas: dict[str, list[tuple[str, str]]] = {}
@@ -172,5 +216,8 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -
             values.append(cell.try_cast(kind).alias(column))
         out[name] = rows.where(F.col("table") == name).select(*values)
     if tables is not None and "_failed" in tables:
-        out["_failed"] = rows.where("table IS NULL").select(F.col("row")[0].alias("statement"))
+        lost = rows.where(F.col("table").isNull() | ~F.col("table").isin([*schemas, ""]))
+        reason = F.when(F.col("table").isNull(), "statement").otherwise("undeclared table")
+        example = F.when(F.col("table").isNull(), F.col("row")[0])
+        out["_failed"] = lost.groupBy("table", reason.alias("reason")).agg(F.count("*").alias("failures"), F.min(example).alias("example"))
     return out

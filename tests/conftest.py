@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from statloom.session import ONE_TASK_CONF, local_session  # noqa: E402
+from statloom.session import local_session  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -15,11 +15,3 @@ def spark():
     session = local_session("statloom-tests")
     yield session
     session.stop()
-
-
-@pytest.fixture(params=["one_task", "ranges"])
-def ordering(request, spark):
-    """Run a test with the plain window and with value ranges."""
-    spark.conf.set(ONE_TASK_CONF, "0" if request.param == "ranges" else str(1 << 62))
-    yield request.param
-    spark.conf.unset(ONE_TASK_CONF)

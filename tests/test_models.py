@@ -137,7 +137,7 @@ def test_arima_on_an_autoregression(spark):
     assert all(b >= a - 1e-9 for a, b in zip(widths, widths[1:]))
 
 
-def test_stationarity_separates_walk_from_noise(spark, ordering):
+def test_stationarity_separates_walk_from_noise(spark):
     rng = np.random.default_rng(11)
     noise = rng.normal(size=300)
     assert series.adf(_series(spark, noise)).first()["p_value"] < 0.01

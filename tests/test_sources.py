@@ -99,7 +99,20 @@ def test_sql_dump(spark, tmp_path, tail):
     assert (4 in rows) == bool(tail)
     if tail:
         assert rows[4]["label"] == "cut;\nhere"
-    assert dump.read_dump(spark, str(path), ["_failed"])["_failed"].count() == 1
+    failed = dump.read_dump(spark, str(path), ["_failed"])["_failed"].collect()
+    assert [(r.table, r.reason, r.failures, r.example) for r in failed] == [(None, "statement", 1, "INSERT INTO nonsense")]
+
+
+def test_dump_with_copy_block_and_undeclared_table(spark, tmp_path):
+    path = tmp_path / "pg.sql"
+    path.write_text(
+        "CREATE TABLE a (id int, v text);\nCOPY public.a (id, v) FROM stdin;\n1\tit's;\n2\tb;\nINSERT INTO a VALUES (9, 'data');\n\\.\n\n"
+        "INSERT INTO a VALUES (3, 'x;\ny'); INSERT INTO a VALUES (4, 'z');\nINSERT INTO b VALUES (1), (2);\nINSERT INTO a VALUES (5, NULL);\n"
+    )
+    tables = dump.read_dump(spark, str(path))
+    assert sorted((r.id, r.v) for r in tables["a"].collect()) == [(3, "x;\ny"), (4, "z"), (5, None)]
+    failed = dump.read_dump(spark, str(path), ["_failed"])["_failed"].collect()
+    assert [(r.table, r.reason, r.failures) for r in failed] == [("b", "undeclared table", 2)]
 
 
 def test_workbooks(spark, tmp_path):

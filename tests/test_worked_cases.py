@@ -2,12 +2,14 @@
 
 from datetime import datetime
 
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from statloom.operators import anomaly, basket, business, clean, hypothesis, profile, relational, series, survival
-from statloom.plans.guardrails import check_assumptions, shapiro_wilk
+from statloom.plans.guardrails import check_assumptions, normality
 
 
 def groups(spark, *parts):
@@ -39,7 +41,7 @@ def test_detect_only_missing(spark):
     assert sorted(r["a"] for r in clean.fill_missing(one, ["a"]).collect()) == [1.0, 2.0, 3.0]
 
 
-def test_pareto(spark, ordering):
+def test_pareto(spark):
     df = spark.createDataFrame([("A", 50.0), ("B", 25.0), ("C", 15.0), ("D", 10.0)], "k string, v double")
     table = business.pareto(df, "k", "v")
     assert [(r["label"], r["cumulative_pct"], r["in_80"]) for r in table.orderBy("cumulative_pct").collect()] == [
@@ -52,7 +54,7 @@ def test_pareto_exact_eighty(spark):
     assert [r["label"] for r in business.pareto(df, "k", "v").where("in_80").collect()] == ["A"]
 
 
-def test_kaplan_meier(spark, ordering):
+def test_kaplan_meier(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (3, 1), (4, 0)], "t int, e int")
     curve = survival.kaplan_meier(df, "t", "e")
     rows = curve.orderBy("time").collect()
@@ -66,7 +68,7 @@ def test_survival_not_reached_is_null(spark):
     assert survival.survival_summary(survival.kaplan_meier(df, "t", "e")).first()["median_survival"] is None
 
 
-def test_mann_whitney_exact(spark, ordering):
+def test_mann_whitney_exact(spark):
     r = hypothesis.mann_whitney(groups(spark, ("g1", [1, 2, 3]), ("g2", [4, 5, 6])), "v", "g").first()
     assert (r["u_stat"], r["rank_biserial"], r["median1"], r["median2"]) == (0.0, 1.0, 2.0, 5.0)
     assert r["p_value"] == pytest.approx(0.1)
@@ -111,7 +113,7 @@ def test_multi_item_consequents(spark):
     assert len(rules) == 12
 
 
-def test_gaps_raise_a_flag(spark, ordering):
+def test_gaps_raise_a_flag(spark):
     df = spark.createDataFrame([(datetime(2024, 1, d),) for d in (1, 2, 3, 4, 30)], "day timestamp_ntz")
     assert tuple(series.date_gaps(df, "day").first()) == (5, 1.0, 26.0)
     checks = {r["test"]: r["passed"] for r in check_assumptions(df, "time_series_prophet").collect()}
@@ -130,9 +132,14 @@ def test_profile_of_nan_and_large_keys(spark):
     assert got == {"k": (0, 2), "v": (1, 1)}
 
 
-def test_shapiro_textbook():
-    w, p = shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], dtype=float))
-    assert w == pytest.approx(0.788815, abs=1e-5) and p == pytest.approx(0.006704, abs=1e-5)
+def test_normality_of_known_samples(spark):
+    weights = [148.0, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    rows = [("weights", w) for w in weights] + [("same", 3.0)] * 20 + [("few", 1.0), ("few", 2.0)]
+    got = {r.column: r for r in normality(spark.createDataFrame(rows, "column string, v double")).collect()}
+    scores = [NormalDist().inv_cdf((i - 0.375) / 11.25) for i in range(1, 12)]
+    w = np.corrcoef(scores, weights)[0, 1] ** 2
+    assert abs(got["weights"].w_stat - w) < 1e-7 and 0.002 < got["weights"].p_value < 0.02 and got["weights"].n == 11
+    assert got["same"].p_value == 1.0 and got["few"].p_value == 1.0
 
 
 def test_zscore_of_a_constant_column(spark):
@@ -148,7 +155,7 @@ def test_filter_is_a_case_insensitive_pattern(spark):
     assert [r["f"] for r in relational.filter_contains(df, "f", "^AP").collect()] == ["Apple"]
 
 
-def test_log_rank_two_groups(spark, ordering):
+def test_log_rank_two_groups(spark):
     rows = [(1, 1, "a"), (2, 1, "a"), (3, 0, "a"), (4, 1, "b"), (5, 1, "b"), (6, 0, "b")]
     r = survival.log_rank(spark.createDataFrame(rows, "t int, e int, g string"), "t", "e", "g").orderBy("group").first()
     expected = 3 / 6 + 2 / 5 + 0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from statloom.plans import batch, catalogue, results, validation
 from statloom.plans.confidence import confidence
-from statloom.plans.templates import Template, TemplateFolder
+from statloom.plans.saved import SavedPlans
 
 
 @pytest.fixture(scope="module")
@@ -103,15 +103,18 @@ def test_confidence(spark):
     assert got == [(0.0, 4), (0.5, 3), (1.0, 0)]
 
 
-def test_batch_template_and_log(spark, frames, tmp_path):
-    folder = TemplateFolder(str(tmp_path / "templates"))
-    folder.save(Template("weekly", ["descriptive_stats", "anova", "gone"], selected_columns=["amount", "category", "absent"]))
-    (tmp_path / "templates" / "bad.json").write_text("{")
-    assert [t.name for t in folder.list_all()] == ["weekly"] and folder.load("other") is None
-    run = batch.run_template(frames["small"], folder.load("weekly"))
+def test_batch_saved_plan_and_log(spark, frames, tmp_path):
+    plans = SavedPlans(spark, str(tmp_path / "plans"))
+    assert plans.current().count() == 0
+    plans.put("weekly", [("pareto", {})])
+    plans.put("weekly", [("descriptive_stats", {}), ("anova", {}), ("gone", {"a": 1})], ["amount", "category", "absent"], "each Monday")
+    assert [(r["plan"], r["note"]) for r in plans.current().collect()] == [("weekly", "each Monday")]
+    run = batch.run_saved(frames["small"], plans, "weekly")
     assert [o.analysis_id for o in run.outcomes] == ["descriptive_stats", "anova"] and all(o.success for o in run.outcomes)
     assert {r["analysis_id"]: r["score"] for r in run.scores.collect()}["descriptive_stats"] == 0.9
-    assert folder.delete("weekly") and not folder.exists("weekly")
+    plans.retire("weekly")
+    with pytest.raises(KeyError):
+        plans.steps("weekly")
     results.write_results(run.outcomes, str(tmp_path / "out"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "out/analysis_id=anova/test")).count() == 1
     log = results.ResultsLog(spark, str(tmp_path / "log"))
