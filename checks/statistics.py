@@ -14,6 +14,11 @@ def pearson(spark, sf):
     return rounded(correlation.pearson_pairs(table(spark, sf, "lineitem"), MEASURES))
 
 
+def pearson_constant(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_quantity", F.lit(3.0).alias("same"), "l_tax")
+    return rounded(correlation.pearson_pairs(rows, ["l_quantity", "same", "l_tax"]))
+
+
 def spearman(spark, sf):
     return rounded(correlation.spearman_pairs(table(spark, sf, "lineitem"), MEASURES))
 
@@ -104,7 +109,8 @@ def log_rank(spark, sf):
 
 
 def log_rank_segments(spark, sf):
-    return rounded(survival.log_rank(reorder_times(spark, sf), "duration", "event", "segment"), 5)
+    ranked = survival.log_rank(reorder_times(spark, sf), "duration", "event", "segment")
+    return rounded(ranked.select("group", "observed", "expected"), 5)
 
 
 def pareto_nation(spark, sf):
@@ -218,6 +224,7 @@ def basket_shape(spark, sf):
 
 QUERIES = {
     "correlation_pearson": pearson,
+    "correlation_constant_column": pearson_constant,
     "correlation_spearman": spearman,
     "correlation_spearman_missing": spearman_missing,
     "correlation_top_pairs": top_pairs,
@@ -366,6 +373,14 @@ RULE_COLUMNS = """SELECT array_to_string(ai, ',') AS antecedent, array_to_string
 
 ORACLES = {
     "correlation_pearson": _pearson_sql(MEASURES, "lineitem"),
+    "correlation_constant_column": """SELECT 'l_quantity' AS col1, 'l_tax' AS col2, round(corr(l_quantity, l_tax), 6) AS pearson FROM lineitem
+ UNION ALL SELECT 'l_quantity', 'same', NULL UNION ALL SELECT 'same', 'l_tax', NULL""",
+    "log_rank_segments": """WITH """ + SURVIVAL_SQL + """, t AS (SELECT duration, count(*) AS n, sum(event) AS d FROM surv GROUP BY 1),
+ r AS (SELECT duration, d, sum(n) OVER (ORDER BY duration DESC) AS at_risk FROM t),
+ g AS (SELECT s.segment, r.duration, count(x.segment) AS own FROM (SELECT DISTINCT segment FROM surv) s CROSS JOIN r
+   LEFT JOIN surv x ON x.segment = s.segment AND x.duration >= r.duration GROUP BY 1, 2)
+ SELECT segment AS "group", observed, expected FROM (SELECT g.segment, round(sum(d * own / at_risk::DOUBLE), 5) AS expected FROM g JOIN r USING (duration) GROUP BY 1)
+ JOIN (SELECT segment, sum(event)::DOUBLE AS observed FROM surv GROUP BY 1) USING (segment)""",
     "correlation_spearman": _spearman_sql(MEASURES, "lineitem"),
     "correlation_spearman_missing": """WITH c AS (SELECT CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance,
  CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey END AS nation, c_custkey AS customer FROM customer) """

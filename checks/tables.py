@@ -331,6 +331,14 @@ SUMMARY_CTE = f"""WITH {DIRTY_SQL}, t AS (SELECT count(*) AS n, 4*count(*) - cou
 u AS (SELECT (SELECT n FROM t) - count(*) AS d FROM (SELECT DISTINCT * FROM dirty))"""
 
 ORACLES = {
+    "random_row_sample": "SELECT * FROM customer ORDER BY md5('42|' || c_custkey), c_custkey LIMIT 20",
+    "catalog_summary": """SELECT 'region' AS "table", (SELECT count(*) FROM region) AS "rows", c AS "column", t AS type, o AS ordinal, 0 AS more
+ FROM (VALUES ('r_regionkey', 'int', 1), ('r_name', 'string', 2)) v(c, t, o)
+ UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), c, t, o, 0 FROM (VALUES ('o_orderkey', 'bigint', 1), ('o_custkey', 'bigint', 2),
+ ('o_orderstatus', 'string', 3), ('o_totalprice', 'double', 4), ('o_orderdate', 'timestamp_ntz', 5), ('o_orderpriority', 'string', 6)) v(c, t, o)
+ UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), c, t, o, 3 FROM (VALUES ('l_orderkey', 'bigint', 1), ('l_partkey', 'bigint', 2),
+ ('l_suppkey', 'bigint', 3), ('l_linenumber', 'int', 4), ('l_quantity', 'double', 5), ('l_extendedprice', 'double', 6), ('l_discount', 'double', 7),
+ ('l_tax', 'double', 8)) v(c, t, o)""",
     "pareto_revenue_by_brand": """
 WITH s AS (SELECT p_brand AS label, sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
 r AS (SELECT *, sum(value) OVER (ORDER BY value DESC, label ROWS UNBOUNDED PRECEDING) AS run, sum(value) OVER () AS total FROM s)

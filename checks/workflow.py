@@ -115,6 +115,16 @@ def dump_source(spark, sf):
     return docs.select("doc_id", F.md5("text").alias("text_md5"), "lang", "n_chars")
 
 
+def dump_failures(spark, sf):
+    """A dump of suppliers for a table that it does not declare, with a broken statement a nation."""
+    path = scratch_path(spark, "failures")
+    rows = table(spark, sf, "supplier").select(F.format_string("INSERT INTO undeclared VALUES (%d);", "s_suppkey").alias("value"))
+    broken = table(spark, sf, "nation").select(F.format_string("INSERT INTO broken %d;", "n_nationkey").alias("value"))
+    declared = spark.createDataFrame([("CREATE TABLE declared (id int);",)], "value string")
+    declared.unionAll(rows).unionAll(broken).write.text(path)
+    return dump.read_dump(spark, path, ["_failed"])["_failed"].drop("example")
+
+
 def dump_statements(spark, sf):
     rows = dump.statements(spark, _dump(spark, sf))
     return rows.groupBy(F.upper(F.substring("statement", 1, 12)).alias("kind")).agg(F.count("*").alias("statements")).where(
@@ -316,6 +326,7 @@ QUERIES = {
     "source_sqlite": sqlite_source,
     "source_sql_dump": dump_source,
     "source_dump_statements": dump_statements,
+    "source_dump_failures": dump_failures,
     "source_workbook": workbook_source,
     "sink_results": written_results,
     "sink_detail_table": detail_table,
@@ -370,6 +381,9 @@ ORACLES = {
     "source_csv_robust": """SELECT count(*) FILTER (c_acctbal >= 0) AS rows, round(sum(round(c_acctbal, 2)) FILTER (c_acctbal >= 0), 2) AS balance,
  count(*) FILTER (c_acctbal < 0) AS quarantined FROM customer""",
     "source_sqlite": "SELECT o_orderstatus AS status, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY 1",
+    "source_delimiter": "SELECT CASE WHEN count(*) > 0 THEN '|' ELSE ',' END AS delimiter, 'UTF-8' AS encoding FROM supplier",
+    "source_dump_failures": """SELECT 'undeclared' AS "table", 'undeclared table' AS reason, count(*) AS failures FROM supplier
+ UNION ALL SELECT NULL, 'statement', count(*) FROM nation""",
     "source_sql_dump": "SELECT doc_id, md5(text) AS text_md5, lang, n_chars FROM documents",
     "source_dump_statements": "SELECT 'INSERT INTO ' AS kind, count(*) AS statements FROM documents",
     "source_workbook": "SELECT p_partkey, p_brand, CAST(p_size AS BIGINT) AS p_size, round(p_retailprice, 6) AS p_retailprice FROM part",

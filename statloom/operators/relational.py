@@ -136,8 +136,8 @@ def compare_sources(merged: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def random_rows(df: DataFrame, key: str, rows: int = 20, seed: int = 42) -> DataFrame:
-    """A repeatable random sample: the rows with the smallest hash of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), quoted(key)), quoted(key)).limit(rows)
+    """A repeatable random sample: the rows with the smallest digest of the key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), quoted(key).cast("string"))), quoted(key)).limit(rows)
 
 
 def head_rows(df: DataFrame, order: list[str], rows: int = 5) -> DataFrame:

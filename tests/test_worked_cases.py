@@ -1,14 +1,13 @@
 """Hand-worked inputs with expected values."""
 
 from datetime import datetime
-
 from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.operators import anomaly, basket, business, clean, hypothesis, profile, relational, series, survival
+from statloom.operators import anomaly, basket, business, clean, correlation, hypothesis, profile, regression, relational, series, survival
 from statloom.plans.guardrails import check_assumptions, normality
 
 
@@ -169,3 +168,18 @@ def test_date_strings(spark):
     assert relational.date_columns(df) == ["d"]
     days = [r[0].day for r in df.select(relational.as_timestamp(df, "d")).orderBy(F.col("s")).collect()]
     assert days == [5, 6, 7]
+
+
+def test_degenerate_inputs_give_nulls(spark):
+    rows = spark.createDataFrame([(float(i), 3.0, 2.0 * i, "ab"[i % 2]) for i in range(20)], "x double, same double, y double, g string")
+    pairs = {(r.col1, r.col2): (r.pearson, r.spearman) for r in correlation.correlation_pairs(rows, ["x", "same", "y"]).collect()}
+    assert pairs["x", "same"] == (None, None) and pairs["same", "y"] == (None, None)
+    assert all(abs(v - 1) < 1e-9 for v in pairs["x", "y"])
+    zero = business.pareto(rows.select("g", (rows.x * 0).alias("v")), "g", "v").collect()
+    assert [r.pct for r in zero] == [None, None] and not any(r.in_80 for r in zero)
+    two = rows.limit(2)
+    assert hypothesis.ttest(two, "x", "g").first().p_value is None and hypothesis.pairwise_comparison(two, "x", "g").first().t_stat is None
+    metrics = regression.polynomial_fit(rows, "same", "x")["metrics"].collect()
+    assert len(metrics) == 3 and all(r.r2 is None for r in metrics)
+    names = rows.withColumn("name", F.concat(F.lit("n"), F.col("x")))
+    assert hypothesis.pick_group(names.select("name", "x"), 3, at_least=True) is None
