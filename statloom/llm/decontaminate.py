@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from statloom.llm.text import lower_ascii
 
@@ -98,18 +98,16 @@ def find_leaks(
     is contaminated. Other columns are not looked at.
     """
     found = with_prefix(item_windows(items, window, item_column, item_text_column), docs, text_column)
-    numbered = found.withColumn("__block", F.floor((F.row_number().over(Window.orderBy("prefix", "offset", "words")) - 1) / block))
-    rows = numbered.collect()  # one row a window of the benchmark, in blocks from here on
-    by_block: dict[int, list] = {}
-    for r in rows:
-        by_block.setdefault(r["__block"], []).append((r["words"], r["size"], r["items"], r["prefix"], r["offset"]))
-    schema = "words array<string>, size int, items array<string>, prefix string, offset int"
+    # one row a window of the benchmark, in blocks from here on
+    rows = sorted((r["prefix"], r["offset"], r["words"], r["size"], r["items"]) for r in found.toLocalIterator())
+    blocks = [rows[i : i + block] for i in range(0, len(rows), block)] or [[]]
+    schema = "prefix string, offset int, words array<string>, size int, items array<string>"
     text = F.col(f"`{text_column}`")
     marked: list[DataFrame] = []
-    for number, held in enumerate(by_block.values() if by_block else [[]]):
+    for number, held in enumerate(blocks):
         windows = docs.sparkSession.createDataFrame(held, schema)
-        prefixes = sorted({h[3] for h in held})
-        reach = max([h[1] for h in held], default=1) - 1
+        prefixes = sorted({h[0] for h in held})
+        reach = max([h[3] for h in held], default=1) - 1
 
         at = F.filter(
             F.transform(F.col("__words"), lambda w, i: F.when(w.isin(prefixes), i)) if prefixes else F.array(),

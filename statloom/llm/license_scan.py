@@ -9,6 +9,7 @@ templates and not by the data; texts need no shuffle.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -212,26 +213,27 @@ class LicenseAutomaton:
         for number, own in pieces.items():
             own.sort()
             size = len(self.templates[number])
-            chains: list[tuple[int, int, int, int, int]] = []  # covered, first word, last word, template end, piece
+            chains: list[tuple[int, int, int, int]] = []  # covered, first word, last word, place in the template
             open_from = 0
             for start, inside, length in own:
                 while open_from < len(chains) and chains[open_from][2] < start - max_gap - size:
                     open_from += 1
                 covered, first = length, start
-                for c, f, last, end, _ in chains[open_from:]:
+                for c, f, last, end in chains[open_from:]:
                     if last < start and end < inside and start - last <= max_gap and inside - end <= max_gap:
                         if c + length > covered:
                             covered, first = c + length, f
-                chains.append((covered, first, start + length - 1, inside + length - 1, 0))
-            taken: list[tuple[int, int]] = []
-            for covered, first, last, _, _ in sorted(chains, reverse=True):
+                chains.append((covered, first, start + length - 1, inside + length - 1))
+            taken: list[tuple[int, int]] = []  # disjoint and in order
+            for covered, first, last, _ in sorted(chains, reverse=True):
                 share = min(1.0, covered / size)
                 best = max(best, share)
                 if share < min_coverage:
                     break
-                if taken and any(first <= b and a <= last for a, b in taken[-64:]):
+                at = bisect.bisect(taken, (first, last))
+                if (at and taken[at - 1][1] >= first) or (at < len(taken) and taken[at][0] <= last):
                     continue
-                taken.append((first, last))
+                taken.insert(at, (first, last))
                 spans.append(
                     {
                         "label": self.labels[number],
