@@ -381,15 +381,15 @@ def main_blocks(pages: Sequence[str], extractor: Extractor) -> list[list[str]]:
 
 
 def sample_pages(pages: DataFrame, count: int, longest: int, html_column: str) -> list[str]:
-    """At most ``count`` different pages of at most ``longest`` characters, smallest hashes first."""
+    """At most ``count`` different pages of at most ``longest`` characters, smallest hashes first.
+
+    Hashes are ranked alone, then the chosen pages are read, so tasks send hashes and not pages.
+    """
     html = F.col(f"`{html_column}`")
-    rows = (
-        pages.where(html.isNotNull() & (F.length(html) <= longest))
-        .select(F.xxhash64(html).alias("order"), html.alias("html"))
-        .orderBy("order", "html")
-        .limit(count)
-    )
-    return sorted({r["html"] for r in rows.collect()})
+    usable = pages.where(html.isNotNull() & (F.length(html) <= longest)).select(F.xxhash64(html).alias("order"), html.alias("html"))
+    chosen = [r["order"] for r in usable.select("order").distinct().orderBy("order").limit(count).collect()]
+    rows = usable.where(F.col("order").isin(chosen)).groupBy("order").agg(F.min("html").alias("html"))
+    return sorted(r["html"] for r in rows.collect())
 
 
 def train(pages: DataFrame, count: int = 200, longest: int = 40_000, html_column: str = "html", seed: int = 11) -> Extractor:
