@@ -80,7 +80,8 @@ def prefix_sum(
         *[F.sum(f"_t_{c}").over(whole).alias(out) for out, c in totals.items()],
     )
     local = placed.select("*", *[F.sum(c).over(within).alias(f"_run_{o}") for o, c in sums.items()])
-    match = F.col("_range") == F.col("_r")
+    # null-safe, or the optimiser infers a filter on the totals from the expression behind _range
+    match = F.col("_range").eqNullSafe(F.col("_r"))
     for i, k in enumerate(keys):
         match = match & (F.col(k) == F.col(f"_k_{i}"))
     joined = local.join(offsets, match)
