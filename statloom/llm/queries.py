@@ -36,6 +36,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_line_dedup_whole_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = line_dedup.dedup_lines(docs, max_lines=None, whole_runs=True)
+    return done.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select(
@@ -81,6 +87,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
+    "op6_line_dedup_whole_runs": op6_line_dedup_whole_runs,
     "op7_decontaminate": op7_decontaminate,
     "op8_top_k": op8_top_k,
     "op9_html_extract": op9_html_extract,
@@ -90,6 +97,7 @@ QUERIES = {
 ORACLES = {
     "op5_url_filter": url_filter.verdict_sql("pages"),
     "op6_line_dedup": line_dedup.ORACLE,
+    "op6_line_dedup_whole_runs": line_dedup.RUNS_ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_top_k": topk.ORACLE,
 }
