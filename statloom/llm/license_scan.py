@@ -2,8 +2,9 @@
 
 The automaton recognises every run of consecutive tokens of every template. A text is streamed
 through it once; after each word the state tells the longest run of license tokens that ends there
-(the matching statistic). Long maximal matches are chained per template into spans, in the order of
-both text and template and with bounded gaps. The automaton is a few thousand states, fixed by the
+(the matching statistic). For each template the matches that go on neither way in that template are chained
+into spans, in the order of both text and template and with bounded gaps, so a template that stands within a
+longer run of another one keeps its own match. The automaton is a few thousand states, fixed by the
 templates and not by the data; texts need no shuffle.
 """
 
@@ -175,25 +176,40 @@ class LicenseAutomaton:
                 length += 1
             yield place, state, length
 
+    def occurrences(self, state: int, length: int, min_match: int) -> dict[tuple[int, int], int]:
+        """Template places where the match ends, each with the longest run of words that ends there."""
+        found: dict[tuple[int, int], int] = {}
+        while state and length >= min_match:
+            for place in self.states[state].ends:
+                found.setdefault(place, length)
+            state = self.states[state].link
+            length = self.states[state].length
+        return found
+
     def scan(self, words: Sequence[bytes], min_match: int, max_gap: int, min_coverage: float) -> dict:
         """Phrase places and chained spans of one text."""
         starts: list[int] = []
         found: set[str] = set()
-        matches: list[tuple[int, int, int]] = []
-        held: tuple[int, int, int] | None = None
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        held: dict[tuple[int, int], int] = {}
+        before = -1
+
+        def close(going_on: Mapping[tuple[int, int], int]) -> None:
+            for (number, end), size in held.items():
+                if (number, end + 1) not in going_on and number >= len(self.phrase_labels):
+                    pieces.setdefault(number, []).append((before - size + 1, end - size + 1, size))
+
         for place, state, length in self.statistics(words):
-            if held and not (place == held[0] + 1 and length == held[2] + 1):
-                matches.append(held)
-                held = None
-            if length >= min_match:
-                held = (place, state, length)
+            if held or length >= min_match:
+                ending = self.occurrences(state, length, min_match)
+                close(ending if place == before + 1 else {})
+                held, before = ending, place
             for number, size in self.states[state].phrases:
                 if size <= length:
                     starts.append(place - size + 1)
                     found.add(self.phrase_labels[number])
-        if held:
-            matches.append(held)
-        spans, best = self._chain(matches, max_gap, min_coverage)
+        close({})
+        spans, best = self._chain(pieces, max_gap, min_coverage)
         return {
             "starts": starts,
             "base": sorted(found),
@@ -202,13 +218,8 @@ class LicenseAutomaton:
             "spans": spans,
         }
 
-    def _chain(self, matches: list[tuple[int, int, int]], max_gap: int, min_coverage: float):
+    def _chain(self, pieces: dict[int, list[tuple[int, int, int]]], max_gap: int, min_coverage: float):
         """Best chains of matches in text and template order; looks back over ``max_gap`` words only."""
-        pieces: dict[int, list[tuple[int, int, int]]] = {}
-        for place, state, length in matches:
-            for number, end in self.states[state].ends:
-                if number >= len(self.phrase_labels):
-                    pieces.setdefault(number, []).append((place - length + 1, end - length + 1, length))
         spans, best = [], 0.0
         for number, own in pieces.items():
             own.sort()

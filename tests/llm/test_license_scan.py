@@ -1,3 +1,4 @@
+import random
 import re
 
 from statloom.llm.license_scan import BASE_PHRASES, NOTICES, LicenseAutomaton, scan_licenses
@@ -58,3 +59,35 @@ def test_spans_survive_small_changes(spark):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_notice_within_a_longer_run_of_another_keeps_its_match():
+    automaton = LicenseAutomaton(BASE_PHRASES, NOTICES)
+    for text in (NOTICES[0][1] + ". The author wrote it", NOTICES[0][1] + ' (the "License") and more'):
+        got = automaton.scan(ascii_words(text.encode()), 3, 12, 0.75)
+        assert "apache-2.0" in got["labels"]
+        assert {"label": "apache-2.0", "first_word": 0, "last_word": 7, "covered": 8, "coverage": 1.0} in got["spans"]
+    # the words before go on in another template, too
+    inner = LicenseAutomaton({}, [("long", "one two three four five six seven eight nine ten"), ("short", "three four five")])
+    assert inner.scan(ascii_words(b"one two three four five six"), 3, 12, 0.75)["labels"] == ["short"]
+
+
+def test_pieces_are_the_maximal_runs_of_each_template():
+    chance = random.Random(3)
+    notices = [(str(n), " ".join(chance.choice("abc") for _ in range(12))) for n in range(4)]
+    automaton = LicenseAutomaton({}, notices)
+    automaton._chain = lambda pieces, *_: ([], pieces)
+    for _ in range(200):
+        words = [chance.choice("aabbccx") for _ in range(30)]
+        want = {}
+        for number, (_, text) in enumerate(notices):
+            own = text.split()
+            for i in range(len(words)):
+                for k in range(len(own)):
+                    if i and k and words[i - 1] == own[k - 1]:
+                        continue
+                    size = next(n for n in range(31) if i + n == len(words) or k + n == len(own) or words[i + n] != own[k + n])
+                    if size >= 3:
+                        want.setdefault(number, set()).add((i, k, size))
+        pieces = automaton.scan([w.encode() for w in words], 3, 12, 0.75)["score"]
+        assert {n: set(p) for n, p in pieces.items()} == want and all(len(p) == len(set(p)) for p in pieces.values())
