@@ -33,6 +33,19 @@ FOREST_ROWS = 50
 LOG_MEAN = (-1.2725, 1.0521)
 LOG_SPREAD = (1.0308, -0.26758)
 
+# Ranks of one value that are spread to rows at a time (fixed value).
+PIECE = 4096
+
+
+def rank_pieces(ranked: DataFrame) -> DataFrame:
+    """(column, v, _all, _from, _to): the ranks of each value in pieces of PIECE at most, dealt to all tasks."""
+    begins = F.sequence(F.col("_upto") - F.col("n") + 1, F.col("_upto"), F.lit(PIECE).cast("long"))
+    return (
+        ranked.select("column", "v", "_all", "_upto", F.explode(begins).alias("_from"))
+        .repartition("column", "v", "_from")
+        .select("column", "v", "_all", "_from", F.least(F.col("_from") + (PIECE - 1), F.col("_upto")).alias("_to"))
+    )
+
 
 def normality(values: DataFrame) -> DataFrame:
     """(column, w_stat, p_value, n) of (column, v) rows by the Shapiro-Francia test over all rows.
@@ -43,8 +56,8 @@ def normality(values: DataFrame) -> DataFrame:
     """
     counts = values.where("v is not null").groupBy("column", "v").agg(F.count("*").alias("n"))
     ranked = prefix_sum(counts, ["v"], {"_upto": "n"}, ["column"], {"_all": "n"})
-    rank = F.explode(F.sequence(F.col("_upto") - F.col("n") + 1, F.col("_upto")))
-    scored = ranked.select("column", "v", "_all", rank.alias("_rank")).withColumn(
+    rank = F.explode(F.sequence("_from", "_to"))
+    scored = rank_pieces(ranked).select("column", "v", "_all", rank.alias("_rank")).withColumn(
         "m", normal_quantile((F.col("_rank") - 0.375) / (F.col("_all") + 0.25))
     )
     sums = scored.groupBy("column").agg(

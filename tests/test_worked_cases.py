@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.operators import anomaly, basket, business, clean, correlation, hypothesis, profile, regression, relational, series, survival
-from statloom.plans.guardrails import check_assumptions, normality
+from statloom.plans.guardrails import PIECE, check_assumptions, normality, rank_pieces
 
 
 def groups(spark, *parts):
@@ -183,3 +183,12 @@ def test_degenerate_inputs_give_nulls(spark):
     assert len(metrics) == 3 and all(r.r2 is None for r in metrics)
     names = rows.withColumn("name", F.concat(F.lit("n"), F.col("x")))
     assert hypothesis.pick_group(names.select("name", "x"), 3, at_least=True) is None
+
+
+def test_ranks_of_a_hot_value_come_in_bounded_pieces(spark):
+    rows = [("x", 1.0, 5, 5, 10_000_006), ("x", 2.0, 10_000_000, 10_000_005, 10_000_006), ("x", 3.0, 1, 10_000_006, 10_000_006)]
+    pieces = rank_pieces(spark.createDataFrame(rows, "column string, v double, n long, _upto long, _all long"))
+    got = sorted((r.v, r._from, r._to) for r in pieces.collect())
+    assert all(0 <= to - start < PIECE for _, start, to in got)
+    assert [start for _, start, _ in got] == [1] + [to + 1 for _, _, to in got][:-1] and got[-1][2] == 10_000_006
+    assert {v: sum(to - start + 1 for w, start, to in got if w == v) for v in (1.0, 2.0, 3.0)} == {1.0: 5, 2.0: 10_000_000, 3.0: 1}
