@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statloom.llm import bpe, crf_langid, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, pu_toxicity, topk, url_filter
+from statloom.llm import (
+    bpe,
+    chat_format,
+    conversation_repair,
+    crf_langid,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    pu_toxicity,
+    ranked_search,
+    topk,
+    url_filter,
+)
 from statloom.llm.text import held_out, table
 
 
@@ -101,3 +115,51 @@ ORACLES = {
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_top_k": topk.ORACLE,
 }
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
+    )
+    probe = spark.createDataFrame([(-1, 0, "user", chat_format.PROBE), (-1, 1, "assistant", chat_format.PROBE)], conversations.schema)
+    back = chat_format.read_back(chat_format.format_examples(conversations.unionByName(probe)))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    done = conversation_repair.repair(conversation_repair.damage(conversations))
+    every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    joined = every.join(done, every["conv_id"].eqNullSafe(done["conv_id"]), "left").drop(done["conv_id"])
+    lines = F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"]))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce(F.col("audit"), F.lit("")).alias("audit"),
+        F.sha2(F.coalesce(F.array_join(lines, "\n"), F.lit("")), 256).alias("repaired_sha256"),
+    )
+
+
+QUERIES |= {
+    "op11_chat_format": op11_chat_format,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_conversation_repair": op13_conversation_repair,
+}
+
+ORACLES |= {
+    "op11_chat_format": chat_format.ORACLE,
+    "op12_ranked_search": ranked_search.ORACLE,
+}
