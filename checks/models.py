@@ -153,6 +153,19 @@ def arima_forecast(spark, sf):
     return rounded(series.arima_forecast(best, ["o_orderstatus"]), 2)
 
 
+AR1 = ((1, 0, 0),)
+
+
+def arima_ar1_orders(spark, sf):
+    best = series.arima(_by_status(spark, sf), ["o_orderstatus"], orders=AR1)
+    return rounded(best.drop("forecast"), 3)
+
+
+def arima_ar1_forecast(spark, sf):
+    best = series.arima(_by_status(spark, sf), ["o_orderstatus"], orders=AR1)
+    return rounded(series.arima_forecast(best, ["o_orderstatus"]), 0)
+
+
 def additive(spark, sf):
     return rounded(series.additive_forecast(_daily(spark, sf)).where("is_future"), 2)
 
@@ -244,6 +257,8 @@ QUERIES = {
     "granger": granger,
     "arima_orders": arima_orders,
     "arima_forecast": arima_forecast,
+    "arima_ar1_orders": arima_ar1_orders,
+    "arima_ar1_forecast": arima_ar1_forecast,
     "additive_forecast": additive,
     "additive_summary": additive_summary,
     "additive_components": additive_parts,
@@ -292,7 +307,30 @@ sse AS (SELECT *, syy - b1*s1y - b2*s2y AS sse FROM e)"""
 
 from checks.support import f_tail  # noqa: E402
 
+# AR(1) with a constant by least squares over weekly sums per status; the forecast recursion as in the operator.
+AR1_SQL = """WITH RECURSIVE s AS (
+  SELECT o_orderstatus, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS ds, sum(o_totalprice)::DOUBLE AS y
+  FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY ALL
+), l AS (
+  SELECT *, lag(y) OVER w AS y1, epoch_us(ds) - lag(epoch_us(ds)) OVER w AS gap FROM s WINDOW w AS (PARTITION BY o_orderstatus ORDER BY ds)
+), f AS (
+  SELECT o_orderstatus, regr_intercept(y, y1) AS c, regr_slope(y, y1) AS phi, regr_count(y, y1) AS n,
+    greatest(regr_syy(y, y1) - regr_sxy(y, y1) * regr_sxy(y, y1) / regr_sxx(y, y1), 0) AS rss,
+    arg_max(y, ds) AS y_last, epoch_us(max(ds)) AS last_us, coalesce(median(gap), 86400000000) AS gap
+  FROM l GROUP BY 1 HAVING regr_count(y, y1) >= 7 AND abs(regr_slope(y, y1)) < 0.999
+), r(o_orderstatus, step, m, psi, cum) AS (
+  SELECT o_orderstatus, 1, c + phi * y_last, 1.0::DOUBLE, 1.0::DOUBLE FROM f
+  UNION ALL
+  SELECT r.o_orderstatus, step + 1, c + phi * m, phi * psi, cum + (phi * psi) * (phi * psi) FROM r JOIN f USING (o_orderstatus) WHERE step < 30
+)"""
+
 ORACLES = {
+    "arima_ar1_orders": f"""{AR1_SQL}
+ SELECT o_orderstatus, 1 AS p, 0 AS d, 0 AS q, round(n * (ln(2 * pi() * (rss / n)) + 1) + 6, 3) + 0.0 AS aic, round(sqrt(rss / n), 3) + 0.0 AS rmse FROM f""",
+    "arima_ar1_forecast": f"""{AR1_SQL}
+ SELECT o_orderstatus, step, make_timestamp(last_us + CAST(floor(gap * step) AS BIGINT)) AS ds, round(m, 0) + 0.0 AS yhat,
+   round(m - 1.959963984540054 * sqrt(rss / n * cum), 0) + 0.0 AS yhat_lower, round(m + 1.959963984540054 * sqrt(rss / n * cum), 0) + 0.0 AS yhat_upper
+ FROM r JOIN f USING (o_orderstatus)""",
     "hash_split": f"SELECT c_custkey, {_split('c_custkey')} AS is_test FROM customer",
     "linear_regression": f"""{LINEAR_SQL} SELECT 'l_quantity' AS name, round(ca, 3) AS coefficient FROM w UNION ALL SELECT 'l_discount', round(cb, 3) FROM w
  UNION ALL SELECT '(intercept)', round(c0, 3) FROM w""",

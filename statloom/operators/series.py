@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from statloom.functions.ordered import lagged, weighted_quantiles
 from statloom.functions.special import f_upper
@@ -19,6 +19,9 @@ from statloom.roles import number, quoted, roles
 SUM_WORDS = ["revenue", "sales", "amount", "total", "income", "omzet"]
 FUTURE_DAYS = 90
 ARIMA_STEPS = 30
+#: Order of the long autoregression in the first stage of Hannan–Rissanen.
+LONG_AR = 10
+ORDERS = tuple((p, d, q) for p in range(3) for d in range(2) for q in range(3))
 Z_95 = 1.959963984540054
 Z_80 = 1.2815515655446004
 
@@ -211,23 +214,6 @@ def granger(df: DataFrame, date: str, effect: str, cause: str, max_lag: int = 5)
     return table.withColumn("p_value", f_upper(F.col("f_stat"), F.col("lag"), F.col("dof")))
 
 
-def _residuals(w: np.ndarray, const: float, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    p, q = len(ar), len(ma)
-    u = w[p:] - const
-    for i in range(p):
-        u = u - ar[i] * w[p - 1 - i : len(w) - 1 - i]
-    if q == 0:
-        return u
-    m1, m2 = float(ma[0]), float(ma[1]) if q > 1 else 0.0
-    e1 = e2 = 0.0
-    out = []
-    for x in u.tolist():
-        e = x - m1 * e1 - m2 * e2
-        out.append(e)
-        e1, e2 = e, e1
-    return np.array(out)
-
-
 def _stable(coefficients: np.ndarray) -> bool:
     """Roots of 1 − c₁z − c₂z² … outside the unit circle."""
     if len(coefficients) == 0:
@@ -235,130 +221,196 @@ def _stable(coefficients: np.ndarray) -> bool:
     return bool(np.all(np.abs(np.roots(np.r_[1.0, -coefficients])) < 0.999))
 
 
-def fit_arima(y: np.ndarray, order: tuple[int, int, int], steps: int) -> dict | None:
-    """Conditional least squares by Gauss–Newton; forecast with ψ-weight variances."""
-    p, d, q = order
-    w = np.diff(y, d) if d else y
-    has_const = d == 0
-    n_eff = len(w) - p
-    k = p + q + int(has_const)
-    if n_eff < k + 5:
-        return None
-    beta = np.zeros(k)
-    if has_const:
-        beta[0] = w.mean()
-    c = int(has_const)
-
-    def split(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        ar = b[c : c + p]
-        return (b[0] * (1 - ar.sum()) if has_const else 0.0), ar, b[c + p :]
-
-    def errors(b: np.ndarray) -> np.ndarray | None:
-        const, ar, ma = split(b)
-        if not _stable(ar) or not _stable(-ma):
-            return None
-        return _residuals(w, const, ar, ma)
-
-    e = errors(beta)
-    sse = float(e @ e)
-    for _ in range(25):
-        if k == 0:
-            break
-        jac = np.empty((len(e), k))
-        for j in range(k):
-            h = 1e-5 * max(1.0, abs(beta[j]))
-            moved = beta.copy()
-            moved[j] += h
-            e2 = errors(moved)
-            if e2 is None:
-                moved[j] -= 2 * h
-                h = -h
-                e2 = errors(moved)
-            if e2 is None:
-                return None
-            jac[:, j] = (e2 - e) / h
-        step = np.linalg.lstsq(jac, -e, rcond=None)[0]
-        size, moved_on = 1.0, False
-        while size > 1e-4:
-            trial = errors(beta + size * step)
-            if trial is not None and float(trial @ trial) < sse:
-                gain = sse - float(trial @ trial)
-                beta, e, sse, moved_on = beta + size * step, trial, float(trial @ trial), True
-                break
-            size /= 2
-        if not moved_on or gain < 1e-9 * max(sse, 1e-300):
-            break
-    sigma2 = sse / n_eff
-    aic = n_eff * (math.log(2 * math.pi * max(sigma2, 1e-300)) + 1) + 2 * (k + 1)
-    const, ar, ma = split(beta)
-    past, shocks = list(w), list(e)
-    for _ in range(steps):
-        value = const + sum(ar[i] * past[-1 - i] for i in range(p))
-        value += sum(ma[j] * shocks[-1 - j] for j in range(q) if len(shocks) > j)
-        past.append(value)
-        shocks.append(0.0)
-    mean = np.array(past[len(w) :])
-    psi = np.zeros(steps)
-    psi[0] = 1.0
-    for j in range(1, steps):
-        psi[j] = (ma[j - 1] if j <= q else 0.0) + sum(ar[i] * psi[j - 1 - i] for i in range(min(p, j)))
-    if d:
-        mean = y[-1] + np.cumsum(mean)
-        psi = np.cumsum(psi)
-    sd = np.sqrt(sigma2 * np.cumsum(psi**2))
-    return {"aic": aic, "rmse": math.sqrt(sigma2), "mean": mean, "sd": sd}
-
-
-def arima_fits(series: DataFrame, keys: list[str], steps: int = ARIMA_STEPS) -> DataFrame:
-    """A row per series and order (p 0..2, d 0..1, q 0..2): aic, rmse and the forecast.
-
-    The input holds one row per series and date, so a group is bounded by the calendar; series and
-    orders spread over the cluster.
-    """
-    orders = F.array(
-        *[
-            F.struct(F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q"))
-            for p in range(3)
-            for d in range(2)
-            for q in range(3)
+def _triangle(columns: list[Column]) -> Column:
+    """Sums of all products c_i c_j (i <= j) of the columns, as one array per group."""
+    k = len(columns)
+    return F.array(*[F.sum(columns[i] * columns[j]) for i in range(k) for j in range(i, k)])
+
+
+def _square(flat, k: int) -> np.ndarray:
+    out = np.zeros((k, k))
+    it = iter(flat)
+    for i in range(k):
+        for j in range(i, k):
+            out[i, j] = out[j, i] = next(it)
+    return out
+
+
+def _long_ar(m: int):
+    """First stage of Hannan–Rissanen per series: the long autoregression's coefficients from its Gram."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve(grams: pd.Series) -> pd.Series:
+        out = []
+        for flat in grams:
+            g = _square(flat, m + 2) if flat is not None else None
+            if g is None or g[0, 0] < m + 1 + 5:
+                out.append(None)
+                continue
+            beta, _, _ = _solve(g, list(range(m + 1)), m + 1)
+            out.append(beta.tolist())
+        return pd.Series(out)
+
+    return solve
+
+
+FIT = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("p", T.IntegerType()),
+            T.StructField("q", T.IntegerType()),
+            T.StructField("aic", T.DoubleType()),
+            T.StructField("rmse", T.DoubleType()),
+            T.StructField("mean", T.ArrayType(T.DoubleType())),
+            T.StructField("sd", T.ArrayType(T.DoubleType())),
         ]
     )
-    fanned = series.select(*keys, "ds", "y", F.inline(orders))
-    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields if f.name in keys)
-    schema = (key_types + ", " if key_types else "") + (
-        "p int, d int, q int, aic double, rmse double, "
-        "forecast array<struct<step:int,ds:timestamp_ntz,yhat:double,yhat_lower:double,yhat_upper:double>>"
+)
+
+
+def fit_orders(g: np.ndarray, state: list[float], d: int, pq: list[tuple[int, int]], pmax: int, qmax: int, steps: int) -> list[dict]:
+    """Second stage for every order from one Gram of [1, w₋₁..w₋pmax, ê₋₁..ê₋qmax, w]: each order is
+    the regression on its sub-matrix. ``state`` is (w_T, w_T−1, ê_T, ê_T−1, y_T)."""
+    y, n = pmax + qmax + 1, g[0, 0]
+    w_last, w_before, e_last, e_before, y_last = state
+    out = []
+    for p, q in pq:
+        xs = ([0] if d == 0 else []) + list(range(1, p + 1)) + list(range(pmax + 1, pmax + 1 + q))
+        k = len(xs)
+        if n < k + 5:
+            continue
+        beta, rss, _ = _solve(g, xs, y) if k else (np.zeros(0), float(g[y, y]), None)
+        const = float(beta[0]) if d == 0 else 0.0
+        ar, ma = beta[int(d == 0) : int(d == 0) + p], beta[int(d == 0) + p :]
+        if not _stable(ar) or not _stable(-ma):
+            continue
+        sigma2 = rss / n
+        aic = n * (math.log(2 * math.pi * max(sigma2, 1e-300)) + 1) + 2 * (k + 1)
+        past, shocks = [w_before, w_last], [e_before, e_last]
+        for _ in range(steps):
+            value = const + sum(ar[i] * past[-1 - i] for i in range(p))
+            value += sum(ma[j] * shocks[-1 - j] for j in range(q))
+            past.append(value)
+            shocks.append(0.0)
+        mean = np.array(past[2:])
+        psi = np.zeros(steps)
+        psi[0] = 1.0
+        for j in range(1, steps):
+            psi[j] = (ma[j - 1] if j <= q else 0.0) + sum(ar[i] * psi[j - 1 - i] for i in range(min(p, j)))
+        if d:
+            mean = y_last + np.cumsum(mean)
+            psi = np.cumsum(psi)
+        sd = np.sqrt(sigma2 * np.cumsum(psi**2))
+        out.append({"p": p, "q": q, "aic": aic, "rmse": math.sqrt(sigma2), "mean": mean.tolist(), "sd": sd.tolist()})
+    return out
+
+
+def _second_stage(d: int, pq: list[tuple[int, int]], pmax: int, qmax: int, steps: int):
+    k = pmax + qmax + 2
+
+    @F.pandas_udf(FIT)
+    def fit(grams: pd.Series, states: pd.Series) -> pd.Series:
+        out = []
+        for flat, state in zip(grams, states):
+            if flat is None or state is None:
+                out.append([])
+                continue
+            values = [0.0 if v is None or (isinstance(v, float) and math.isnan(v)) else float(v) for v in state]
+            out.append(fit_orders(_square(flat, k), values, d, pq, pmax, qmax, steps))
+        return pd.Series(out)
+
+    return fit
+
+
+def _join_series(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    cond = [left[k].eqNullSafe(right[k]) for k in keys]
+    joined = left.join(right, cond, "left")
+    for k in keys:
+        joined = joined.drop(right[k])
+    return joined
+
+
+def _fits_at(series: DataFrame, keys: list[str], d: int, pq: list[tuple[int, int]], steps: int, m: int) -> DataFrame:
+    pmax, qmax = max(p for p, _ in pq), max(q for _, q in pq)
+    win = Window.partitionBy(*keys).orderBy("ds")
+    rows = series.select(*keys, "ds", F.col("y").cast("double").alias("y"))
+    rows = rows.withColumn("w", F.col("y") - F.lag("y").over(win) if d else F.col("y"))
+    need = max(pmax, 1, m if qmax else 0)
+    rows = rows.select("*", *[F.lag("w", i).over(win).alias(f"w{i}") for i in range(1, need + 1)])
+    if qmax:
+        first = rows.where(F.col(f"w{m}").isNotNull())
+        v1 = [F.lit(1.0), *[F.col(f"w{i}") for i in range(1, m + 1)], F.col("w")]
+        coef = first.groupBy(*keys).agg(_triangle(v1).alias("g1")).select(*keys, _long_ar(m)("g1").alias("a"))
+        rows = _join_series(rows, coef, keys)
+        fitted = F.col("a")[0] + sum((F.col("a")[i] * F.col(f"w{i}") for i in range(1, m + 1)), F.lit(0.0))
+        rows = rows.withColumn("e", F.col("w") - fitted)
+        rows = rows.select("*", *[F.lag("e", j).over(win).alias(f"e{j}") for j in range(1, qmax + 1)])
+    else:
+        rows = rows.withColumn("e", F.lit(0.0)).withColumn("e1", F.lit(0.0))
+    sample = rows.where(F.col("w").isNotNull())
+    for i in range(1, pmax + 1):
+        sample = sample.where(F.col(f"w{i}").isNotNull())
+    for j in range(1, qmax + 1):
+        sample = sample.where(F.col(f"e{j}").isNotNull())
+    v2 = [F.lit(1.0), *[F.col(f"w{i}") for i in range(1, pmax + 1)], *[F.col(f"e{j}") for j in range(1, qmax + 1)], F.col("w")]
+    grams = sample.groupBy(*keys).agg(_triangle(v2).alias("g2"))
+    micros = F.unix_micros(F.col("ds").cast("timestamp"))
+    state = F.array(F.col("w"), F.col("w1"), F.col("e"), F.col("e1"), F.col("y"))
+    ends = rows.withColumn("gap", micros - F.lag(micros).over(win)).groupBy(*keys).agg(
+        F.max_by(state, F.col("ds")).alias("state"),
+        F.max(micros).alias("last_us"),
+        F.coalesce(F.median("gap"), F.lit(86_400_000_000.0)).alias("gap_us"),
+    )
+    fits = _join_series(ends, grams, keys).select(
+        *keys, "last_us", "gap_us", F.explode(_second_stage(d, pq, pmax, qmax, steps)("g2", "state")).alias("f")
     )
+    return fits.select(*keys, "last_us", "gap_us", F.col("f.p").alias("p"), F.lit(d).alias("d"), F.col("f.q").alias("q"), "f.aic", "f.rmse", "f.mean", "f.sd")
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ds")
-        order = tuple(int(part[c].iloc[0]) for c in "pdq")
-        found = fit_arima(part["y"].to_numpy(dtype=float), order, steps)
-        head = {k: [part[k].iloc[0]] for k in keys}
-        if found is None:
-            return pd.DataFrame({**head, "p": [], "d": [], "q": [], "aic": [], "rmse": [], "forecast": []}) if not keys else part.iloc[0:0].reindex(columns=[*keys, "p", "d", "q", "aic", "rmse", "forecast"])
-        stamps = pd.to_datetime(part["ds"])
-        gap = stamps.diff().median() if len(stamps) > 1 else pd.Timedelta(days=1)
-        future = [
-            {
-                "step": i + 1,
-                "ds": (stamps.iloc[-1] + gap * (i + 1)).to_pydatetime(),
-                "yhat": float(m),
-                "yhat_lower": float(m - Z_95 * s),
-                "yhat_upper": float(m + Z_95 * s),
-            }
-            for i, (m, s) in enumerate(zip(found["mean"], found["sd"]))
-        ]
-        row = {**head, **{c: [v] for c, v in zip("pdq", order)}, "aic": [found["aic"]], "rmse": [found["rmse"]]}
-        return pd.DataFrame({**row, "forecast": [future]})
 
-    return fanned.groupBy(*keys, "p", "d", "q").applyInPandas(fit, schema)
+def arima_fits(
+    series: DataFrame, keys: list[str], steps: int = ARIMA_STEPS, orders: tuple = ORDERS, long_ar: int = LONG_AR
+) -> DataFrame:
+    """A row per series and order (default p 0..2, d 0..1, q 0..2): aic, rmse and the forecast.
+
+    Hannan–Rissanen by Gram sums, all in Spark: per series and difference order, a long
+    autoregression of order ``long_ar`` is fitted from one aggregation of lag products; its
+    residuals stand in for the shocks, and one more aggregation of products of the lags of the
+    series and of those residuals gives every (p, q) as a regression on a sub-matrix. Orders
+    share the sample of the largest lags, so their AIC values compare. The work per series is a
+    window over its dates (one row per date, bounded by the calendar) and two grouped sums; only
+    Gram matrices of a few dozen numbers reach Python. AR orders without MA terms skip the first
+    stage and are ordinary least squares. A non-stationary AR or non-invertible MA part drops the
+    order; a series with fewer than about ``long_ar`` + 2 + 5 points has no MA fits.
+    """
+    keys = list(keys)
+    work = series if keys else series.withColumn("_series", F.lit(0))
+    ks = keys or ["_series"]
+    parts = []
+    for d in sorted({o[1] for o in orders}):
+        pq = [(p, q) for p, dd, q in orders if dd == d]
+        parts.append(_fits_at(work, ks, d, pq, steps, long_ar))
+    fits = parts[0]
+    for part in parts[1:]:
+        fits = fits.unionByName(part)
+    ds_type = series.schema["ds"].dataType.simpleString()
+    at = lambda i: F.timestamp_micros(F.col("last_us") + (F.col("gap_us") * i).cast("long")).cast(ds_type)
+    forecast = F.transform(
+        F.sequence(F.lit(1), F.lit(steps)),
+        lambda i: F.struct(
+            i.alias("step"),
+            at(i).alias("ds"),
+            F.col("mean")[i - 1].alias("yhat"),
+            (F.col("mean")[i - 1] - Z_95 * F.col("sd")[i - 1]).alias("yhat_lower"),
+            (F.col("mean")[i - 1] + Z_95 * F.col("sd")[i - 1]).alias("yhat_upper"),
+        ),
+    )
+    return fits.select(*keys, "p", "d", "q", "aic", "rmse", forecast.alias("forecast"))
 
 
-def arima(series: DataFrame, keys: list[str] | None = None, steps: int = ARIMA_STEPS) -> DataFrame:
+def arima(series: DataFrame, keys: list[str] | None = None, steps: int = ARIMA_STEPS, orders: tuple = ORDERS) -> DataFrame:
     """Best order per series by AIC with its forecast array."""
     keys = keys or []
-    fits = arima_fits(series, keys, steps)
+    fits = arima_fits(series, keys, steps, orders)
     best = fits.groupBy(*keys).agg(
         F.min_by(F.struct("p", "d", "q", "aic", "rmse", "forecast"), F.struct("aic", "p", "d", "q")).alias("b")
     )

@@ -161,3 +161,52 @@ def test_additive_forecast_follows_trend_and_week(spark):
     assert len(ahead) == 90 and np.abs(ahead["trend"] - want).max() < 12
     assert series.forecast_summary(f).first()["trend_direction"] == "up"
     assert (ahead["yhat_upper"] > ahead["yhat_lower"]).all()
+
+
+def _plain_hannan_rissanen(y, d, p, q, m=series.LONG_AR, pmax=2, qmax=2):
+    """Both stages by numpy least squares on the sample the operator uses."""
+    w = np.diff(y, d) if d else np.asarray(y, dtype=float)
+    n = len(w)
+    lags = np.column_stack([np.ones(n - m)] + [w[m - i : n - i] for i in range(1, m + 1)])
+    a = np.linalg.lstsq(lags, w[m:], rcond=None)[0]
+    e = np.full(n, np.nan)
+    e[m:] = w[m:] - lags @ a
+    start = max(pmax, m + qmax)
+    cols = ([np.ones(n - start)] if d == 0 else []) + [w[start - i : n - i] for i in range(1, p + 1)]
+    cols += [e[start - j : n - j] for j in range(1, q + 1)]
+    target = w[start:]
+    if cols:
+        x = np.column_stack(cols)
+        beta = np.linalg.lstsq(x, target, rcond=None)[0]
+        rss = float(((target - x @ beta) ** 2).sum())
+    else:
+        rss = float((target**2).sum())
+    k, size = len(cols), len(target)
+    return size * (np.log(2 * np.pi * rss / size) + 1) + 2 * (k + 1)
+
+
+def test_arima_orders_equal_plain_hannan_rissanen(spark):
+    rng = np.random.default_rng(21)
+    shocks = rng.normal(size=400)
+    y = [5.0]
+    for t in range(1, 400):
+        y.append(1.0 + 0.6 * y[-1] + shocks[t] + 0.4 * shocks[t - 1])
+    fits = series.arima_fits(_series(spark, y), []).collect()
+    assert len(fits) >= 12
+    for row in fits:
+        want = _plain_hannan_rissanen(np.array(y), row["d"], row["p"], row["q"])
+        assert row["aic"] == pytest.approx(want, rel=1e-9), (row["p"], row["d"], row["q"])
+    best = min(fits, key=lambda r: (r["aic"], r["p"], r["d"], r["q"]))
+    assert best["d"] == 0 and best["p"] >= 1 and best["q"] >= 1
+
+
+def test_arima_per_series_keys_and_short_series(spark):
+    rng = np.random.default_rng(22)
+    a = np.cumsum(rng.normal(size=200))
+    frame = pd.DataFrame(
+        {"k": ["a"] * 200 + ["b"] * 6, "ds": list(pd.date_range("2023-01-01", periods=200)) + list(pd.date_range("2023-01-01", periods=6)), "y": list(a) + [1.0] * 6}
+    )
+    df = spark.createDataFrame(frame).withColumn("ds", F.col("ds").cast("timestamp_ntz"))
+    got = {r["k"]: r for r in series.arima(df, ["k"]).collect()}
+    assert set(got) == {"a"}
+    assert got["a"]["forecast"][0]["ds"] == pd.Timestamp("2023-07-20").to_pydatetime()

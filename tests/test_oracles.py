@@ -1,4 +1,4 @@
-"""Registered queries against DuckDB on the smallest tables; the slow iterative ones are left to checks.compare."""
+"""Every registered query with an oracle against DuckDB on the smallest tables."""
 
 import pytest
 
@@ -6,7 +6,6 @@ import __spark_entry__ as entry
 from checks.compare import compare, connect
 from tests.conftest import DATA
 
-SLOW = ("dbscan", "layout", "kmeans", "isolation", "hierarchical", "batch", "results_log", "arima", "guardrail_anova", "quality_sheet")
 ORACLES = entry.oracle_sql()
 QUERIES = entry.queries()
 
@@ -16,7 +15,7 @@ def con():
     return connect(DATA)
 
 
-@pytest.mark.parametrize("name", [n for n in ORACLES if not n.startswith(SLOW)])
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_matches_oracle(spark, con, name):
     ok, note, _ = compare(spark, con, DATA, name, QUERIES[name], ORACLES[name])
     assert ok, note

@@ -133,7 +133,7 @@ def test_profile_of_nan_and_large_keys(spark):
 
 def test_normality_of_known_samples(spark):
     weights = [148.0, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
-    rows = [("weights", w) for w in weights] + [("same", 3.0)] * 20 + [("few", 1.0), ("few", 2.0)]
+    rows = [("weights", float(w)) for w in weights] + [("same", 3.0)] * 20 + [("few", 1.0), ("few", 2.0)]
     got = {r.column: r for r in normality(spark.createDataFrame(rows, "column string, v double")).collect()}
     scores = [NormalDist().inv_cdf((i - 0.375) / 11.25) for i in range(1, 12)]
     w = np.corrcoef(scores, weights)[0, 1] ** 2
