@@ -13,8 +13,8 @@ L all their terms, n a document's terms, df the documents holding a term, tf its
     score    = sum over the item's distinct terms of w * ((10^9 tf) div (1000 tf + 8 m))
 
 Terms are maximal runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased.
-Corpus counts come from one Spark aggregation: every document's distinct terms meet the items'
-vocabulary by a hash join and are summed map-side, so only the vocabulary's counts are shuffled.
+Corpus counts come from one pass: each task counts its documents' terms and the vocabulary's
+document frequencies and sums them before the shuffle, so only the vocabulary's counts move.
 
 The index is shipped only within ``posting_bound`` (term, item) entries. Beyond it the items are
 dealt into blocks by a hash of their id, each within the bound, and the documents stream once per
@@ -59,8 +59,48 @@ def terms(text) -> F.Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(TERM), 0)
 
 
-def corpus_statistics(docs: DataFrame, vocabulary: DataFrame) -> tuple[int, int, DataFrame]:
-    """(N, L, df of the vocabulary's terms) over all documents."""
+STATS_SCHEMA = T.StructType(
+    [T.StructField("term", T.StringType()), T.StructField("df", T.LongType()), T.StructField("words", T.LongType())]
+)
+
+
+def _counter(vocabulary: frozenset[bytes]):
+    """Per task: documents with a term and their terms (one row, term null), and per vocabulary term
+    the documents holding it; the task sums before anything is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_docs = n_words = 0
+        held: Counter = Counter()
+        for batch in batches:
+            for text in byte_texts(batch):
+                words = ascii_words(text)
+                if words:
+                    n_docs += 1
+                    n_words += len(words)
+                    held.update(vocabulary.intersection(words))
+        terms_out = [None, *[t.decode() for t in held]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(terms_out, pa.string()), pa.array([n_docs, *held.values()], pa.int64()), pa.array([n_words] + [0] * len(held), pa.int64())],
+            schema=pa.schema([("term", pa.string()), ("df", pa.int64()), ("words", pa.int64())]),
+        )
+
+    return count
+
+
+def corpus_statistics(docs: DataFrame, vocabulary: DataFrame, bound: int = POSTING_BOUND) -> tuple[int, int, DataFrame]:
+    """(N, L, df of the vocabulary's terms) over all documents, in one pass.
+
+    Within ``bound`` terms the vocabulary goes to every task and each task counts its documents
+    with the same word splitting as the scoring pass; beyond it every document's distinct terms
+    meet the vocabulary by a join, summed map-side.
+    """
+    if vocabulary.count() <= bound:
+        words = frozenset(r["term"].encode() for r in vocabulary.toLocalIterator())
+        parts = docs.select("text").mapInArrow(_counter(words), STATS_SCHEMA)
+        summed = cut_lineage(parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")))
+        totals = summed.where(F.col("term").isNull()).first()
+        held = summed.where(F.col("term").isNotNull() & (F.col("df") > 0)).select("term", "df")
+        return int(totals["df"] or 0), int(totals["words"] or 0), held
     counted = docs.select(terms(F.col("text")).alias("t")).select(F.size("t").alias("n"), F.array_distinct("t").alias("t"))
     totals = counted.where(F.col("n") > 0).agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
     held = counted.select(F.explode("t").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -132,7 +172,7 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 10, posting_bound: int = PO
     postings = item_postings(items.select(F.col("item_id").cast("long").alias("item_id"), "text"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vocabulary = postings.select("term").distinct()
-    n_docs, n_words, df = corpus_statistics(docs, vocabulary)
+    n_docs, n_words, df = corpus_statistics(docs, vocabulary, posting_bound)
     spark = docs.sparkSession
     if n_words == 0:
         return spark.createDataFrame([], HIT_SCHEMA).withColumn("rank", F.lit(1)).select("item_id", "rank", "doc_id", "score")
