@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from statloom.functions.ordered import order_bounds, positions, range_bucket
 from statloom.operators.cluster import projection, standardised
 from statloom.operators.dbscan import _square
-from statloom.session import bucket_count, cut_lineage
+from pyspark import StorageLevel
+
+from statloom.session import bucket_count, cut_lineage, discard
 
 NEIGHBORS = 15
 PERPLEXITY = 30
@@ -105,9 +107,15 @@ def edge_weights(graph: DataFrame, weighting: str) -> DataFrame:
 def neighbor_layout_2d(
     df: DataFrame, columns: list[str], key: str, weighting: str = "uniform", epochs: int = EPOCHS, k: int | None = None
 ) -> DataFrame:
-    """(key, x, y): rows that are near in the columns come to lie near in the plane."""
+    """(key, x, y): rows that are near in the columns come to lie near in the plane.
+
+    ``perplexity`` is t-SNE (``tsne_layout``: Barnes–Hut repulsion over all rows); ``uniform`` pulls
+    along fuzzy neighbour weights and pushes from sampled rows.
+    """
     if weighting not in ("uniform", "perplexity"):
         raise ValueError("weighting is 'uniform' or 'perplexity'")
+    if weighting == "perplexity":
+        return tsne_layout(df, columns, key, k=k)
     d = len(columns)
     rows = standardised(df, columns, [key]).withColumnRenamed(key, "_key")
     numbered = positions(rows.select("_key", "xs"), ["_key"]).withColumn("id", F.col("_pos") - 1).drop("_pos")
@@ -147,3 +155,151 @@ def neighbor_layout_2d(
         )
         place = cut_lineage(place)
     return rows.select("_key", "id").join(place, "id").select(F.col("_key").alias(key), "x", "y")
+
+
+# --- t-SNE with Barnes–Hut repulsion over a quad-tree held as a table -----------------------------
+
+THETA = 0.5
+TSNE_EPOCHS = 40
+EXAGGERATION, EXAGGERATED = 4.0, 10
+CELL_BROADCAST = 2_000_000
+
+
+def _cell_of(x: Column, y: Column, level: Column, origin: tuple[float, float], side: float) -> tuple[Column, Column]:
+    scale = F.pow(F.lit(2.0), level) / side
+    top = F.pow(F.lit(2.0), level) - 1
+    cx = F.least(F.floor((x - origin[0]) * scale), top).cast("long")
+    cy = F.least(F.floor((y - origin[1]) * scale), top).cast("long")
+    return cx, cy
+
+
+def quad_cells(place: DataFrame, depth: int, origin: tuple[float, float], side: float) -> DataFrame:
+    """(l, cx, cy, m, gx, gy): every non-empty cell of levels 1..depth with its mass and centre."""
+    levels = place.select("x", "y", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("l"))
+    cx, cy = _cell_of(F.col("x"), F.col("y"), F.col("l"), origin, side)
+    return (
+        levels.select("l", cx.alias("cx"), cy.alias("cy"), "x", "y")
+        .groupBy("l", "cx", "cy")
+        .agg(F.count(F.lit(1)).alias("m"), F.avg("x").alias("gx"), F.avg("y").alias("gy"))
+    )
+
+
+def repulsion(place: DataFrame, theta: float = THETA, depth: int | None = None) -> DataFrame:
+    """(id, z, rx, ry): Σⱼ q and Σⱼ q² (yᵢ − yⱼ) over all other rows, q = 1 / (1 + |yᵢ − yⱼ|²).
+
+    Barnes–Hut by cell opening: the plane's quad-tree is a table of cells (level, column, row) with
+    mass and centre. Every row starts at the four cells of level 1; a cell is taken whole when its
+    side is below ``theta`` times its distance to the row's point and the point is not inside it,
+    else its four children come next. Cells of the deepest level are always taken, the row's own
+    cell without the row. Each level is one join of open (row, cell) pairs with the cells; the cells
+    table is broadcast within ``CELL_BROADCAST`` rows, else joined by a shuffle whose hot cells
+    adaptive execution splits.
+    """
+    n = place.count()
+    depth = depth or max(2, math.ceil(math.log(max(n, 2), 4)) + 2)
+    box = place.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    origin = (float(box[0]), float(box[2]))
+    side = max(float(box[1]) - origin[0], float(box[3]) - origin[1], 1e-9) * (1 + 1e-9)
+    cells = written = cut_lineage(quad_cells(place, depth, origin, side))
+    if cells.count() <= CELL_BROADCAST:
+        cells = F.broadcast(cells)
+    children = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    frontier = place.select("id", "x", "y", F.lit(1).alias("l"), F.inline(children)).select(
+        "id", "x", "y", "l", F.col("i").cast("long").alias("cx"), F.col("j").cast("long").alias("cy")
+    )
+    parts, held = [], []
+    for level in range(1, depth + 1):
+        met = frontier.join(cells, ["l", "cx", "cy"])
+        own_x, own_y = _cell_of(F.col("x"), F.col("y"), F.col("l"), origin, side)
+        inside = (own_x == F.col("cx")) & (own_y == F.col("cy"))
+        size = side / 2**level
+        dx, dy = F.col("x") - F.col("gx"), F.col("y") - F.col("gy")
+        far = ~inside & (F.lit(size * size) < F.lit(theta * theta) * (dx * dx + dy * dy))
+        met = met.withColumn("take", far | F.lit(level == depth)).withColumn("inside", inside).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(met)
+        taken = met.where("take")
+        mass = F.when(F.col("inside"), F.col("m") - 1).otherwise(F.col("m")).cast("double")
+        cx = F.when(F.col("inside"), (F.col("gx") * F.col("m") - F.col("x")) / F.greatest(mass, F.lit(1.0))).otherwise(F.col("gx"))
+        cy = F.when(F.col("inside"), (F.col("gy") * F.col("m") - F.col("y")) / F.greatest(mass, F.lit(1.0))).otherwise(F.col("gy"))
+        ex, ey = F.col("x") - cx, F.col("y") - cy
+        q = 1.0 / (1.0 + ex * ex + ey * ey)
+        parts.append(taken.select("id", (mass * q).alias("z"), (mass * q * q * ex).alias("rx"), (mass * q * q * ey).alias("ry")))
+        if level < depth:
+            frontier = met.where("not take").select(
+                "id", "x", "y", (F.col("l") + 1).alias("l"), F.inline(children), F.col("cx").alias("px"), F.col("cy").alias("py")
+            ).select("id", "x", "y", "l", (F.col("px") * 2 + F.col("i")).alias("cx"), (F.col("py") * 2 + F.col("j")).alias("cy"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    sums = every.groupBy("id").agg(F.sum("z").alias("z"), F.sum("rx").alias("rx"), F.sum("ry").alias("ry"))
+    out = cut_lineage(place.select("id").join(sums, "id", "left").na.fill(0.0, ["z", "rx", "ry"]))
+    for met in held:
+        met.unpersist()
+    discard(written)
+    return out
+
+
+def affinities(rows: DataFrame, d: int, k: int, n: int, perplexity: float = PERPLEXITY) -> DataFrame:
+    """(u, v, p): symmetric t-SNE affinities (p_j|i + p_i|j) / 2n over the neighbour graph."""
+    graph = neighbor_graph(rows, d, k)
+    lists = graph.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "other"))).alias("near"))
+    ws = _perplexity_weights(perplexity)(F.transform("near", lambda e: e["dist"]))
+    lists = lists.withColumn("ws", ws).withColumn("_t", F.aggregate("ws", F.lit(0.0), lambda a, x: a + x))
+    directed = lists.select("id", "_t", F.inline(F.arrays_zip("near", "ws"))).select(
+        F.col("id").alias("u"), F.col("near.other").alias("v"), (F.col("ws") / F.col("_t")).alias("p")
+    )
+    both = directed.unionByName(directed.select(F.col("v").alias("u"), F.col("u").alias("v"), "p"))
+    return both.groupBy("u", "v").agg((F.sum("p") / (2.0 * n)).alias("p"))
+
+
+def tsne_layout(
+    df: DataFrame, columns: list[str], key: str, epochs: int = TSNE_EPOCHS, theta: float = THETA, k: int | None = None
+) -> DataFrame:
+    """(key, x, y) by t-SNE: perplexity affinities over the neighbour graph pull, Barnes–Hut repulsion
+    over all rows pushes; gradient steps with momentum and early exaggeration from the PCA start.
+
+    Every epoch is one join of the affinity edges with the positions, the quad-tree levels of
+    ``repulsion`` and one join of forces with the positions; positions are written each epoch.
+    """
+    d = len(columns)
+    rows = standardised(df, columns, [key]).withColumnRenamed(key, "_key")
+    numbered = positions(rows.select("_key", "xs"), ["_key"]).withColumn("id", F.col("_pos") - 1).drop("_pos")
+    rows = cut_lineage(numbered)
+    n = rows.count()
+    if n < 3:
+        raise ValueError("a layout needs at least three complete rows")
+    k = min(k or 3 * PERPLEXITY, n - 1)
+    edges = cut_lineage(affinities(rows.select("id", "xs"), d, k, n, min(PERPLEXITY, (n - 1) / 3)))
+    start = projection(rows.withColumn("features", array_to_vector("xs")), ["id"])
+    scale = start.agg(F.stddev_pop("pc1").alias("s")).first()["s"] or 1.0
+    place = cut_lineage(
+        start.select("id", (F.col("pc1") / scale * 1e-2).alias("x"), (F.col("pc2") / scale * 1e-2).alias("y"),
+                     F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
+    )
+    rate = max(n / EXAGGERATION, 50.0)
+    for epoch in range(epochs):
+        boost = EXAGGERATION if epoch < EXAGGERATED else 1.0
+        momentum = 0.5 if epoch < EXAGGERATED else 0.8
+        pushed = repulsion(place.select("id", "x", "y"), theta)
+        z = pushed.agg(F.sum("z")).first()[0] or 1.0
+        at = lambda s: place.select(F.col("id").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
+        met = edges.join(at("u"), "u").join(at("v"), "v")
+        dx, dy = F.col("xu") - F.col("xv"), F.col("yu") - F.col("yv")
+        q = 1.0 / (1.0 + dx * dx + dy * dy)
+        pulled = met.groupBy("u").agg(F.sum(F.col("p") * q * dx).alias("ax"), F.sum(F.col("p") * q * dy).alias("ay"))
+        forces = pushed.join(pulled, pushed["id"] == pulled["u"], "left").select(
+            "id",
+            (4.0 * (boost * F.coalesce(F.col("ax"), F.lit(0.0)) - F.col("rx") / z)).alias("gx"),
+            (4.0 * (boost * F.coalesce(F.col("ay"), F.lit(0.0)) - F.col("ry") / z)).alias("gy"),
+        )
+        moved = place.join(forces, "id").select(
+            "id",
+            (momentum * F.col("vx") - rate * F.col("gx")).alias("vx"),
+            (momentum * F.col("vy") - rate * F.col("gy")).alias("vy"),
+            "x", "y",
+        )
+        before = place
+        place = cut_lineage(moved.select("id", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy"))
+        discard(before)
+        discard(pushed)
+    return rows.select("_key", "id").join(place, "id").select(F.col("_key").alias(key), "x", "y")

@@ -54,6 +54,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``cut_lineage`` wrote under ``df`` once nothing reads it any more."""
+    files = df.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else ""
+    if not folder.rsplit("/", 1)[-1].startswith("round-"):
+        return
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a table written by an operator."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -210,3 +210,41 @@ def test_arima_per_series_keys_and_short_series(spark):
     got = {r["k"]: r for r in series.arima(df, ["k"]).collect()}
     assert set(got) == {"a"}
     assert got["a"]["forecast"][0]["ds"] == pd.Timestamp("2023-07-20").to_pydatetime()
+
+
+def test_barnes_hut_forces_within_five_percent_of_all_pairs(spark):
+    from statloom.operators import layout
+
+    rng = np.random.default_rng(31)
+    pts = np.r_[rng.normal(size=(250, 2)), rng.normal(size=(150, 2)) * 0.2 + 5, [[9.0, 9.0]] * 3]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, x double, y double")
+    got = {r["id"]: r for r in layout.repulsion(df).collect()}
+    d = pts[:, None, :] - pts[None, :, :]
+    q = 1 / (1 + (d**2).sum(-1))
+    np.fill_diagonal(q, 0)
+    z, r = q.sum(1), (q[:, :, None] ** 2 * d).sum(1)
+    gz = np.array([got[i]["z"] for i in range(len(pts))])
+    gr = np.array([[got[i]["rx"], got[i]["ry"]] for i in range(len(pts))])
+    assert np.all(np.abs(gz - z) <= 0.05 * z)
+    assert np.all(np.linalg.norm(gr - r, axis=1) <= 0.05 * np.linalg.norm(r, axis=1) + 1e-9)
+
+
+def test_tsne_keeps_more_neighbours_than_its_pca_start(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from statloom.operators import cluster, layout
+
+    rng = np.random.default_rng(32)
+    pts = np.concatenate([c + rng.normal(size=(30, 10)) for c in rng.normal(size=(5, 10)) * 3])
+    cols = [f"c{i}" for i in range(10)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], ["key", *cols])
+
+    def overlap(xy, k=10):
+        near = np.argsort(((pts[:, None] - pts[None]) ** 2).sum(-1), 1)[:, 1 : k + 1]
+        flat = np.argsort(((xy[:, None] - xy[None]) ** 2).sum(-1), 1)[:, 1 : k + 1]
+        return np.mean([len(set(a) & set(b)) / k for a, b in zip(near, flat)])
+
+    laid = sorted(layout.tsne_layout(df, cols, "key").collect(), key=lambda r: r["key"])
+    rows = cluster.standardised(df, cols, ["key"]).withColumn("features", array_to_vector("xs"))
+    start = sorted(cluster.projection(rows, ["key"]).collect(), key=lambda r: r["key"])
+    assert overlap(np.array([[r["x"], r["y"]] for r in laid])) > overlap(np.array([[r["pc1"], r["pc2"]] for r in start]))
