@@ -12,8 +12,8 @@ ASCII-least audit; ordinary integer minimum over the DAG of (row, inserts so far
 decides everything, and the audit is read back from the winning weight's low digits.
 
 Faults are found by Spark (windows per conversation); the program runs once per conversation in a
-grouped pandas function. Two inserts in a row never pay, so the inserts up to a row are at most
-one more than the rows before it, and a conversation of n rows takes O(n^2) states.
+pandas function over batches of conversations. Two inserts in a row never pay, so the inserts
+up to a row are at most one more than the rows before it, and a conversation of n rows takes O(n^2) states.
 
 Defined cases: rows go by turn (nulls first), then role and text, so ties and repeated rows have one
 order; a null role or text must be filled by the caller (``damage`` uses one space); a row's first
@@ -38,16 +38,6 @@ FULL = {"u": "user", "a": "assistant"}
 SPACE = "[\\x20\\x09-\\x0D]"
 BLANK, DUPLICATE, TRUNCATE = "blank", "duplicate", "truncated"
 
-RESULT = T.StructType(
-    [
-        T.StructField("conv_id", T.LongType()),
-        T.StructField("cost", T.LongType()),
-        T.StructField("audit", T.StringType()),
-        T.StructField("repaired", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))),
-    ]
-)
-
-
 def damage(conversations: DataFrame) -> DataFrame:
     """The contract's damage by crc32('conv_id:turn') % 20: 0 drops the row, 1 empties its text,
     2 removes its '.', '!' and '?', 3 repeats it (same turn), 4 sets role user. Nulls in the key,
@@ -154,24 +144,52 @@ def _replay(roles: list[str], audit: list[str]) -> list[tuple[str, int | None]]:
     return out
 
 
-def _program(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("pos", kind="stable")
-    roles, texts, fault = list(frame["role"]), list(frame["text"]), [f if isinstance(f, str) else None for f in frame["fault"]]
-    cost, audit, kept = best_repair(roles, fault)
-    repaired = [{"role": role, "text": "" if i is None else texts[i]} for role, i in kept]
-    conv = frame["conv_id"].iloc[0]
-    return pd.DataFrame({"conv_id": [None if pd.isna(conv) else int(conv)], "cost": [cost], "audit": [audit], "repaired": [repaired]})
+PROGRAM = T.StructType(
+    [
+        T.StructField("cost", T.LongType()),
+        T.StructField("audit", T.StringType()),
+        T.StructField("kept", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("at", T.IntegerType())]))),
+    ]
+)
+
+
+@F.pandas_udf(PROGRAM)
+def _programs(roles: pd.Series, fault: pd.Series) -> pd.DataFrame:
+    """The program of every conversation of an Arrow batch; texts stay in Spark."""
+    costs, audits, kept = [], [], []
+    for these, faults in zip(roles, fault):
+        cost, audit, rows = best_repair(list(these), [f if isinstance(f, str) else None for f in faults])
+        costs.append(cost)
+        audits.append(audit)
+        kept.append([{"role": role, "at": at} for role, at in rows])
+    return pd.DataFrame({"cost": costs, "audit": audits, "kept": kept})
 
 
 def repair(rows: DataFrame) -> DataFrame:
     """Per conversation of ``rows`` (conv_id, turn, role, text, non-null role and text): gaps, the
     counts of first faults (blank, duplicate, truncated), illegal adjacent role pairs, and the
-    cheapest repair: cost, audit, repaired (array of role and text)."""
+    cheapest repair: cost, audit, repaired (array of role and text).
+
+    One aggregation per conversation gathers the counts and its rows in order; only the roles and
+    faults go to Python, and the repaired texts are picked from the gathered rows by Spark.
+    """
     found = faults(rows)
-    counts = found.groupBy("conv_id").agg(
+    gathered = found.groupBy("conv_id").agg(
         F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).cast("long").alias("gaps"),
         *[F.count(F.when(F.col("fault") == f, 1)).cast("long").alias(f) for f in (BLANK, DUPLICATE, TRUNCATE)],
         F.count(F.when(F.col("illegal"), 1)).cast("long").alias("illegal"),
+        F.array_sort(F.collect_list(F.struct("pos", "role", "text", "fault"))).alias("_rows"),
+    )
+    program = _programs(F.transform("_rows", lambda r: r["role"]), F.transform("_rows", lambda r: r["fault"]))
+    solved = gathered.withColumn("_p", program)
+    repaired = F.transform(
+        "_p.kept",
+        lambda k: F.struct(
+            k["role"].alias("role"),
+            F.when(k["at"].isNull(), F.lit("")).otherwise(F.element_at("_rows", k["at"] + 1)["text"]).alias("text"),
+        ),
+    )
+    return solved.select(
+        "conv_id", "gaps", BLANK, DUPLICATE, TRUNCATE, "illegal",
+        F.col("_p.cost").alias("cost"), F.col("_p.audit").alias("audit"), repaired.alias("repaired"),
     )
-    programs = found.select("conv_id", "pos", "role", "text", "fault").groupBy("conv_id").applyInPandas(_program, RESULT)
-    return counts.join(programs, counts["conv_id"].eqNullSafe(programs["conv_id"])).drop(programs["conv_id"])
