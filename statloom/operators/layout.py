@@ -28,11 +28,52 @@ PROJECTIONS = 8
 WINDOW = 12
 EPOCHS = 12
 NEGATIVES = 5
+DESCENT_ROUNDS = 2
 SEED = 42
 
 
-def neighbor_graph(rows: DataFrame, d: int, k: int, seed: int = SEED) -> DataFrame:
-    """(id, other, dist): about the k nearest rows of every (id, xs) row."""
+def neighbor_graph(rows: DataFrame, d: int, k: int, seed: int = SEED, rounds: int | None = None) -> DataFrame:
+    """(id, other, dist): about the k nearest rows of every (id, xs) row: projection candidates,
+    then ``rounds`` of neighbour descent."""
+    start = projection_graph(rows, d, k, seed)
+    return neighbor_descent(rows, start, d, k, DESCENT_ROUNDS if rounds is None else rounds)
+
+
+def neighbor_descent(rows: DataFrame, graph: DataFrame, d: int, k: int, rounds: int) -> DataFrame:
+    """Refine a k-neighbour graph: a neighbour of a neighbour is a candidate.
+
+    Each round joins the graph with itself through the middle row, over forward edges and the
+    ``k`` nearest reverse edges of each row, so a row meets at most (2k)² candidates however many
+    rows point at it; candidates fetch both vectors by two joins, and every row keeps its ``k``
+    nearest of old and new. A round's graph is written before the next.
+    """
+    graph = cut_lineage(graph)
+    vectors = rows.select("id", "xs")
+    for _ in range(rounds):
+        back = Window.partitionBy("other").orderBy("dist", "id")
+        reverse = graph.withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= k).select(
+            F.col("other").alias("id"), F.col("id").alias("other")
+        )
+        near = graph.select("id", "other").unionByName(reverse).distinct()
+        hop = near.select(F.col("id").alias("a"), F.col("other").alias("b")).join(
+            near.select(F.col("id").alias("b"), F.col("other").alias("c")), "b"
+        ).where("a <> c").select("a", "c").distinct()
+        fresh = hop.join(graph.select(F.col("id").alias("a"), F.col("other").alias("c")), ["a", "c"], "left_anti")
+        measured = (
+            fresh.join(vectors.select(F.col("id").alias("a"), F.col("xs")), "a")
+            .join(vectors.select(F.col("id").alias("c"), F.col("xs").alias("ys")), "c")
+            .select(F.col("a").alias("id"), F.col("c").alias("other"), F.sqrt(_square("xs", "ys", d)).alias("dist"))
+        )
+        rank = Window.partitionBy("id").orderBy("dist", "other")
+        merged = graph.unionByName(measured).withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= k).drop("_k")
+        before = graph
+        graph = cut_lineage(merged)
+        discard(before)
+    return graph
+
+
+def projection_graph(rows: DataFrame, d: int, k: int, seed: int = SEED) -> DataFrame:
+    """(id, other, dist): the k nearest among rows that follow each other along random projections."""
     rng = np.random.default_rng(seed)
     axes = rng.normal(size=(PROJECTIONS, d))
     packed = []

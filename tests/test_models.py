@@ -248,3 +248,25 @@ def test_tsne_keeps_more_neighbours_than_its_pca_start(spark):
     rows = cluster.standardised(df, cols, ["key"]).withColumn("features", array_to_vector("xs"))
     start = sorted(cluster.projection(rows, ["key"]).collect(), key=lambda r: r["key"])
     assert overlap(np.array([[r["x"], r["y"]] for r in laid])) > overlap(np.array([[r["pc1"], r["pc2"]] for r in start]))
+
+
+@pytest.mark.parametrize("partitions", ["3", "17"])
+def test_neighbour_descent_recall_against_brute_force(spark, partitions):
+    from statloom.operators import layout
+
+    rng = np.random.default_rng(33)
+    pts = np.concatenate([c + rng.normal(size=(100, 12)) for c in rng.normal(size=(4, 12)) * 2])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "id long, xs array<double>")
+    k = 10
+    truth = np.argsort(((pts[:, None] - pts[None]) ** 2).sum(-1), 1)[:, 1 : k + 1]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {}
+        for r in layout.neighbor_graph(df, 12, k).collect():
+            got.setdefault(r["id"], set()).add(r["other"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    recall = np.mean([len(got.get(i, set()) & set(t)) / k for i, t in enumerate(truth)])
+    assert recall >= 0.9, recall
+    assert all(len(v) == k for v in got.values()) and len(got) == len(pts)
