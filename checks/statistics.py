@@ -63,6 +63,10 @@ def pairwise(spark, sf):
     return rounded(hypothesis.pairwise_comparison(table(spark, sf, "customer"), "c_acctbal", "c_mktsegment"), 5)
 
 
+def tukey(spark, sf):
+    return rounded(hypothesis.tukey_hsd(table(spark, sf, "customer"), "c_acctbal", "c_mktsegment"), 5)
+
+
 def chi_square(spark, sf):
     return rounded(hypothesis.chi_square(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority"))
 
@@ -233,6 +237,7 @@ QUERIES = {
     "ttest_interval": difference_interval,
     "anova": anova,
     "anova_pairwise": pairwise,
+    "anova_tukey": tukey,
     "chi_square": chi_square,
     "chi_square_yates": chi_square_yates,
     "contingency_heat_map": contingency,
@@ -296,6 +301,44 @@ MOMENTS_SQL = """
 g AS (SELECT c_mktsegment AS grp, count(*) AS n, avg(c_acctbal) AS mean, var_samp(c_acctbal) AS var FROM customer GROUP BY 1)"""
 
 
+def _phi_sql(x: str) -> str:
+    """Φ(x) by the same erfc fit as the operator."""
+    from statloom.functions.special import ERFC_FIT
+
+    z, t = f"(abs({x}) / sqrt(2.0))", f"(1.0 / (1.0 + 0.5 * abs({x}) / sqrt(2.0)))"
+    poly = str(ERFC_FIT[-1])
+    for c in reversed(ERFC_FIT[:-1]):
+        poly = f"({poly} * {t} + {c})"
+    tail = f"(0.5 * {t} * exp(-{z} * {z} + {poly}))"
+    return f"(CASE WHEN {x} >= 0 THEN 1.0 - {tail} ELSE {tail} END)"
+
+
+def _simpson_sql(i: str, last: int) -> str:
+    return f"(CASE WHEN {i} = 0 OR {i} = {last} THEN 1.0 WHEN {i} % 2 = 1 THEN 4.0 ELSE 2.0 END)"
+
+
+TUKEY_SQL = f"""WITH {MOMENTS_SQL},
+e AS (SELECT count(*) AS k, sum(n) - count(*) AS dof, sum(CASE WHEN n > 1 THEN (n - 1) * var ELSE 0 END) / (sum(n) - count(*)) AS mse FROM g),
+pr AS (SELECT x.grp AS group1, y.grp AS group2, x.mean - y.mean AS difference, abs(x.mean - y.mean) / sqrt(mse / 2 * (1.0 / x.n + 1.0 / y.n)) AS q,
+  k::DOUBLE AS k, dof::DOUBLE AS nu FROM g x JOIN g y ON x.grp < y.grp, e),
+o AS (SELECT pr.*, j, -8.0 / sqrt(2.0 * nu) - 25.0 / nu AS lo, 8.0 / sqrt(2.0 * nu) AS hi FROM pr, range(0, 241) t(j)),
+ox AS (SELECT *, lo + j * ((hi - lo) / 240) AS x, (hi - lo) / 240 AS h FROM o),
+inner_terms AS (
+  SELECT group1, group2, j, {_simpson_sql('i', 160)} * exp(-(i * 0.1 - 8.0) * (i * 0.1 - 8.0) / 2) / sqrt(2 * pi())
+    * power(greatest({_phi_sql('(i * 0.1 - 8.0)')} - {_phi_sql('(i * 0.1 - 8.0 - q * exp(x))')}, 0.0), k - 1) AS v
+  FROM ox, range(0, 161) u(i)
+), w AS (SELECT group1, group2, j, sum(v) AS s FROM inner_terms GROUP BY ALL),
+outer_terms AS (
+  SELECT ox.group1, ox.group2, ox.difference, ox.q, ox.nu, {_simpson_sql('ox.j', 240)}
+    * exp(nu / 2 * ln(nu) - lgamma(nu / 2) - (nu / 2 - 1) * ln(2.0) + nu * x - nu * exp(x) * exp(x) / 2)
+    * least(1.0, k * w.s * (0.1 / 3)) * (h / 3) AS v
+  FROM ox JOIN w ON ox.group1 = w.group1 AND ox.group2 = w.group2 AND ox.j = w.j
+)
+SELECT group1, group2, round(difference, 5) + 0.0 AS difference, round(q, 5) + 0.0 AS q_stat, nu::BIGINT AS dof,
+  round(greatest(0.0, least(1.0, 1.0 - sum(v))), 5) + 0.0 AS p_adjusted, 'tukey' AS method, greatest(0.0, least(1.0, 1.0 - sum(v))) < 0.05 AS significant
+FROM outer_terms GROUP BY group1, group2, difference, q, nu"""
+
+
 def _chi_sql(cells: str, yates: bool) -> str:
     gap = "power(greatest(abs(o - e) - 0.5, 0), 2)" if yates else "power(o - e, 2)"
     return f"""WITH cells AS ({cells}),
@@ -400,6 +443,7 @@ ORACLES = {
  f0 AS (SELECT 1 AS id, (ssb/(k-1))/(ssw/(n-k)) AS f, (k-1)::DOUBLE AS d1, (n-k)::DOUBLE AS d2 FROM w), {f_tail("f0")}
  SELECT k AS groups, CAST(n AS BIGINT) AS n, round(ssb, 1) AS ss_between, round(ssw, 1) AS ss_within, round(f, 6) AS f_stat, round(ssb/(ssb+ssw), 6) AS eta_squared,
  round(p, 6) AS p_value, p < 0.05 AS significant FROM w, f0, ft""",
+    "anova_tukey": TUKEY_SQL,
     "anova_pairwise": f"""WITH {MOMENTS_SQL}, pr AS (SELECT x.grp AS group1, y.grp AS group2, x.grp || y.grp AS id, x.mean - y.mean AS difference, x.n + y.n - 2 AS dof,
  sqrt(((x.n-1)*x.var + (y.n-1)*y.var)/(x.n+y.n-2)*(1.0::DOUBLE/x.n + 1.0::DOUBLE/y.n)) AS se FROM g x JOIN g y ON x.grp < y.grp),
  f0 AS (SELECT id, power(difference/se, 2) AS f, 1.0::DOUBLE AS d1, dof::DOUBLE AS d2 FROM pr), {f_tail("f0")}

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from statloom.functions.ordered import prefix_sum, weighted_quantiles
-from statloom.functions.special import chi2_upper, f_upper, normal_two_sided, t_quantile, t_two_sided
+from statloom.functions.special import chi2_upper, f_upper, normal_two_sided, studentized_range_upper, t_quantile, t_two_sided
 from statloom.roles import number, quoted, roles
 
 ALPHA = 0.05
@@ -157,6 +157,40 @@ def pairwise_comparison(df: DataFrame, target: str, group: str) -> DataFrame:
     )
 
 
+def tukey_hsd(df: DataFrame, target: str, group: str) -> DataFrame:
+    """Tukey–Kramer: every pair of groups with the mean difference, q = |difference| / √(MSE/2 ·
+    (1/n₁ + 1/n₂)) over the error mean square of all groups, and p from the studentised range law
+    of k groups with N − k degrees of freedom.
+
+    The rows are folded to one moment row per group first; the pairs are the requested output.
+    """
+    m = group_moments(df, target, group)
+    total = m.agg(
+        F.count("*").alias("k"),
+        F.sum("n").alias("n_all"),
+        F.sum(F.when(F.col("n") > 1, (F.col("n") - 1) * F.col("var")).otherwise(0.0)).alias("ss"),
+    )
+    a = m.select(*[F.col(c).alias(f"{c}1") for c in m.columns])
+    b = m.select(*[F.col(c).alias(f"{c}2") for c in m.columns])
+    pairs = a.join(b, F.col("grp1") < F.col("grp2")).select(
+        "*",
+        total.select("k").scalar().alias("k"),
+        total.select(F.col("n_all") - F.col("k")).scalar().alias("dof"),
+        total.select(F.try_divide(F.col("ss"), F.col("n_all") - F.col("k"))).scalar().alias("mse"),
+    )
+    scale = F.sqrt(F.col("mse") / 2 * (1.0 / F.col("n1") + 1.0 / F.col("n2")))
+    q = F.try_divide(F.abs(F.col("mean1") - F.col("mean2")), F.nullif(scale, F.lit(0.0)))
+    out = pairs.select(
+        F.col("grp1").alias("group1"),
+        F.col("grp2").alias("group2"),
+        (F.col("mean1") - F.col("mean2")).alias("difference"),
+        q.alias("q_stat"),
+        F.col("dof"),
+        studentized_range_upper(q, F.col("k"), F.col("dof")).alias("p_adjusted"),
+    )
+    return out.withColumn("method", F.lit("tukey")).withColumn("significant", F.col("p_adjusted") < ALPHA)
+
+
 def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
     """(row, col, count) of the observed cells."""
     return (

@@ -81,3 +81,31 @@ def test_other_distributions(spark):
     assert r["c"] == pytest.approx(closed, abs=1e-10)
     assert r["z"] == pytest.approx(0.05, abs=1e-10)
     assert r["t"] == pytest.approx(2.776445105, abs=1e-8)
+
+
+def test_studentized_range_against_published_tables(spark):
+    from statloom.functions.special import studentized_range_upper, t_two_sided
+
+    # (q, k, df, upper tail) at the tabulated 5 % and 1 % points, three decimals.
+    points = [
+        (3.877, 3, 10, 0.05), (4.327, 4, 10, 0.05), (4.654, 5, 10, 0.05), (5.599, 10, 10, 0.05), (3.578, 3, 20, 0.05),
+        (3.958, 4, 20, 0.05), (4.232, 5, 20, 0.05), (4.602, 3, 5, 0.05), (5.673, 5, 5, 0.05), (3.399, 3, 60, 0.05),
+        (5.270, 3, 10, 0.01), (6.085, 2, 2, 0.05), (3.314, 3, 100000, 0.05),
+    ]
+    df = spark.createDataFrame(points, "q double, k int, df int, want double")
+    got = df.select("*", studentized_range_upper(F.col("q"), F.col("k"), F.col("df")).alias("p"),
+                    t_two_sided(F.col("q") / 2**0.5, F.col("df")).alias("t")).collect()
+    for r in got:
+        assert abs(r["p"] - r["want"]) < 1e-4, (r["q"], r["k"], r["df"], r["p"])
+        if r["k"] == 2:
+            assert abs(r["p"] - r["t"]) < 1e-6
+
+
+def test_tukey_pairs_of_planted_means(spark):
+    from statloom.operators import hypothesis
+
+    rows = [(g, float(m + (i % 7) - 3)) for g, m in (("a", 0.0), ("b", 0.2), ("c", 6.0)) for i in range(40)]
+    got = {(r["group1"], r["group2"]): r for r in hypothesis.tukey_hsd(spark.createDataFrame(rows, "g string, v double"), "v", "g").collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert not got[("a", "b")]["significant"] and got[("a", "c")]["significant"] and got[("b", "c")]["significant"]
+    assert got[("a", "b")]["dof"] == 117
