@@ -141,7 +141,7 @@ def _anova(df, p):
     target, group = _target_and_group(df, p, 3, at_least=True)
     return {
         "test": hypothesis.anova(df, target, group),
-        "pairwise": hypothesis.pairwise_comparison(df, target, group),
+        "pairwise": hypothesis.tukey_hsd(df, target, group),
         "boxes": describe.group_boxes(df, target, group),
     }, "test", "boxes"
 
