@@ -270,3 +270,40 @@ def test_neighbour_descent_recall_against_brute_force(spark, partitions):
     recall = np.mean([len(got.get(i, set()) & set(t)) / k for i, t in enumerate(truth)])
     assert recall >= 0.9, recall
     assert all(len(v) == k for v in got.values()) and len(got) == len(pts)
+
+
+def test_laplace_bends_meet_their_optimality_conditions():
+    rng = np.random.default_rng(3)
+    n, p = 400, 12
+    x = np.c_[np.ones(n), rng.normal(size=(n, p - 1)) * 0.05]
+    y = x @ np.r_[1.0, 0.0, 0.0, 2.0, 0, 0, 0, 0, 0, 0.5, 0, 0] + rng.normal(size=n) * 0.5
+    z = np.c_[x, y, np.ones(n)]
+    bends = list(range(1, 9))
+    beta, _ = series.laplace_bends(z.T @ z, bends)
+    free = np.linalg.lstsq(x, y, rcond=None)[0]
+    sigma2 = float(((y - x @ free) ** 2).sum()) / n
+    ridge = np.ones(p)
+    ridge[[0, *bends]] = 0.0
+    grad = (x.T @ (x @ beta - y)) / sigma2 + ridge * beta
+    for j in bends:
+        assert (abs(grad[j] + np.sign(beta[j])) if beta[j] != 0 else abs(grad[j]) - 1) < 1e-6
+    assert np.allclose(grad[[0, 9, 10, 11]], 0, atol=1e-6)
+    assert (beta[bends] == 0).sum() >= 2
+
+
+def test_additive_forecast_finds_a_planted_bend(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    days = np.arange(400)
+    y = 10 + 0.05 * days + np.where(days > 196, 0.15 * (days - 196), 0) + rng.normal(size=400) * 0.5
+    seen = {}
+    fit = series.laplace_bends
+
+    def spy(gram, bends, rounds=20000):
+        beta, rmse = fit(gram, bends, rounds)
+        seen["bends"] = beta[bends]
+        return beta, rmse
+
+    monkeypatch.setattr(series, "laplace_bends", spy)
+    out = series.additive_forecast(_series(spark, list(y))).where("not is_future").toPandas()
+    assert int(np.argmax(np.abs(seen["bends"]))) == 15
+    assert float(np.sqrt(((out.y - out.yhat) ** 2).mean())) < 0.6
