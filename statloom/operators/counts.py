@@ -11,8 +11,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from statloom.functions.ordered import weighted_quantiles
+from statloom.functions.ordered import prefix_sum, weighted_quantiles
 from statloom.roles import quoted, roles
+from statloom.session import cut_lineage
 
 DOUBLE_TYPES = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)
 
@@ -76,9 +77,69 @@ def number_counts(df: DataFrame, columns: list[str], keys: list[str] | None = No
     return long.where("number is not null").groupBy(*keys, "column", "number").agg(F.count("*").alias("n"))
 
 
+#: Relative rank error of the sketch that brackets each quantile (1 / accuracy of percentile_approx).
+SKETCH_ACCURACY = 10_000
+
+
 def column_quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles of many columns, a row per column, with the present rows as ``_n``."""
-    return weighted_quantiles(number_counts(df, columns), "number", probabilities, ["column"])
+    """Exact, linearly interpolated quantiles of many columns, a row per column, present rows as ``_n``.
+
+    Brackets: a mergeable sketch (``percentile_approx``, combined map-side) gives for each quantile
+    values a little below and above it; a second pass counts the rows below the bracket and
+    shuffles only the rows inside it, whose running counts place the exact ranks. Should a bracket
+    miss its rank (the sketch's bound makes that rare), that column is answered by the running
+    counts of all its distinct values instead.
+    """
+    chosen = []
+    for name in columns:
+        c = quoted(name).cast("double")
+        chosen.append(F.when(~F.isnan(c), c + F.lit(0.0)).alias(name))
+    long = df.select(*chosen).unpivot([], [quoted(c) for c in columns], "column", "number").where("number is not null")
+    eps = 1.0 / SKETCH_ACCURACY
+    names = list(probabilities)
+    marks = [max(0.0, probabilities[q] - 3 * eps) for q in names] + [min(1.0, probabilities[q] + 3 * eps) for q in names]
+    sketch = long.groupBy("column").agg(
+        F.count("*").alias("_n"), F.percentile_approx("number", marks, SKETCH_ACCURACY).alias("_marks")
+    )
+    brackets = sketch.select(
+        "column", "_n",
+        F.inline(F.array(*[
+            F.struct(F.lit(q).alias("q"), F.col("_marks")[i].alias("lo"), F.col("_marks")[i + len(names)].alias("hi"))
+            for i, q in enumerate(names)
+        ])),
+    )
+    met = long.join(F.broadcast(brackets), "column")
+    below = met.groupBy("column", "q").agg(F.count(F.when(F.col("number") < F.col("lo"), 1)).alias("_below"))
+    inside = (
+        met.where((F.col("number") >= F.col("lo")) & (F.col("number") <= F.col("hi")))
+        .groupBy("column", "q", "number")
+        .agg(F.count("*").alias("n"))
+    )
+    ranked = prefix_sum(inside, ["number"], {"_upto": "n"}, ["column", "q"]).join(below, ["column", "q"])
+    ranked = ranked.join(F.broadcast(brackets.select("column", "q", "_n")), ["column", "q"])
+    share = F.element_at(F.map_from_arrays(F.array(*[F.lit(q) for q in names]), F.array(*[F.lit(float(probabilities[q])) for q in names])), F.col("q"))
+    position = share * (F.col("_n") - 1)
+    upto = F.col("_upto") + F.col("_below")
+    found = []
+    for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+        hit = (rank < upto) & (rank >= upto - F.col("n"))
+        found.append(F.max(F.when(hit, F.col("number"))).alias(f"_{side}"))
+    picked = ranked.groupBy("column", "q").agg(*found, F.max("_n").alias("_n"), F.first(position).alias("_pos"))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor(F.col("_pos")))
+    wide = cut_lineage(picked.groupBy("column").agg(
+        *[F.max(F.when(F.col("q") == q, value)).alias(q) for q in names],
+        *[F.max(F.when(F.col("q") == q, F.col("_lo").isNotNull() & F.col("_hi").isNotNull())).alias(f"_ok_{q}") for q in names],
+        F.max("_n").alias("_n"),
+    ))
+    whole = F.lit(True)
+    for q in names:
+        whole = whole & F.coalesce(F.col(f"_ok_{q}"), F.lit(False))
+    good = wide.where(whole).select("column", *names, "_n")
+    missed = wide.where(~whole).select("column")
+    if missed.isEmpty():
+        return good
+    rest = weighted_quantiles(number_counts(df, columns).join(missed, "column"), "number", probabilities, ["column"])
+    return good.unionByName(rest)
 
 
 def top_values(counts: DataFrame, k: int) -> DataFrame:

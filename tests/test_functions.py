@@ -109,3 +109,20 @@ def test_tukey_pairs_of_planted_means(spark):
     assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
     assert not got[("a", "b")]["significant"] and got[("a", "c")]["significant"] and got[("b", "c")]["significant"]
     assert got[("a", "b")]["dof"] == 117
+
+
+def test_bracketed_quantiles_equal_numpy_with_a_hot_value(spark):
+    from statloom.operators.counts import column_quantiles
+
+    rng = np.random.default_rng(41)
+    a = np.r_[rng.normal(size=4000), np.full(2000, 0.25), [1e12, -1e12]]
+    b = np.r_[rng.integers(0, 5, size=3000).astype(float), [np.nan] * 5]
+    rows = [(float(x), float(b[i]) if i < len(b) else None) for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p75": 0.75, "p999": 0.999, "p100": 1.0}
+    got = {r["column"]: r for r in column_quantiles(df, ["a", "b"], probs).collect()}
+    present = {"a": a, "b": b[~np.isnan(b)]}
+    for name, values in present.items():
+        assert got[name]["_n"] == len(values)
+        for q, p in probs.items():
+            assert got[name][q] == pytest.approx(float(np.quantile(values, p)), rel=1e-12, abs=1e-12), (name, q)
