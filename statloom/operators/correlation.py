@@ -87,16 +87,35 @@ def spearman_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return named.select("k.col1", "k.col2", "spearman")
 
 
+#: A value with at least 1/HEAVY of the rows is ranked by broadcast; heavy rows spread over SALTS keys.
+HEAVY, SALTS = 1000, 1024
+
+
 def _shared_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Spearman of complete columns: one rank table per column, joined to the rows by value."""
+    """Spearman of complete columns: one rank table per column, joined to the rows by value.
+
+    Heavy values (each holding at least 1/``HEAVY`` of the rows, so at most ``HEAVY`` of them)
+    take their rank from a broadcast table; the other rows join the rest of the rank table by a
+    shuffle on the value, where heavy rows carry a salt that matches nothing and so spread over
+    all tasks. No value lands in one task with its rows.
+    """
+    values = [f"v{i}" for i in range(len(columns))]
     rows = df.select(*[(number(c) + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(columns)])
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*values), F.lit(SALTS)) + 1)
     ranked = rows
     for i in range(len(columns)):
-        counts = rows.groupBy(f"v{i}").agg(F.count("*").alias("_c"))
-        table = prefix_sum(counts, [f"v{i}"], {"_upto": "_c"}).select(
-            f"v{i}", (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(f"r{i}")
+        v = f"v{i}"
+        counts = rows.groupBy(v).agg(F.count("*").alias("_c"))
+        table = prefix_sum(counts, [v], {"_upto": "_c"}, totals={"_all": "_c"}).select(
+            v, "_c", "_all", (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias("_r")
         )
-        ranked = ranked.join(table, f"v{i}").drop(f"v{i}")
+        heavy = table.where(F.col("_c") * HEAVY >= F.col("_all")).select(F.col(v).alias("_hv"), F.col("_r").alias("_hr"))
+        light = table.where(F.col("_c") * HEAVY < F.col("_all")).select(F.col(v).alias("_lv"), F.col("_r").alias("_lr"))
+        ranked = ranked.join(F.broadcast(heavy), F.col(v) == F.col("_hv"), "left")
+        salt = F.when(F.col("_hr").isNull(), F.lit(0)).otherwise(F.col("_salt"))
+        ranked = ranked.join(light.withColumn("_ls", F.lit(0)), (F.col(v) == F.col("_lv")) & (salt == F.col("_ls")), "left")
+        ranked = ranked.select(*[c for c in ranked.columns if not c.startswith(("_h", "_l")) and c != v],
+                               F.coalesce("_hr", "_lr").alias(f"r{i}")).where(F.col(f"r{i}").isNotNull())
     pairs = list(combinations(range(len(columns)), 2))
     facts = [
         F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), _corr(F.col(f"r{i}"), F.col(f"r{j}")).alias("spearman"))

@@ -126,3 +126,20 @@ def test_bracketed_quantiles_equal_numpy_with_a_hot_value(spark):
         assert got[name]["_n"] == len(values)
         for q, p in probs.items():
             assert got[name][q] == pytest.approx(float(np.quantile(values, p)), rel=1e-12, abs=1e-12), (name, q)
+
+
+def test_spearman_with_a_value_in_half_the_rows(spark):
+    from statloom.operators import correlation
+
+    rng = np.random.default_rng(42)
+    x = np.r_[np.full(3000, 2.0), rng.normal(size=3000)]
+    y = x * 0.5 + rng.normal(size=6000)
+    z = rng.integers(0, 3, size=6000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, y, z)], "x double, y double, z double")
+    got = {(r["col1"], r["col2"]): r["spearman"] for r in correlation.spearman_pairs(df, ["x", "y", "z"]).collect()}
+    ranks = pd.DataFrame({"x": x, "y": y, "z": z}).rank()
+    want = ranks.corr()
+    for (a, b), rho in got.items():
+        assert rho == pytest.approx(want.loc[a, b], abs=1e-9)
+    plan = correlation._shared_ranks(df, ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
