@@ -324,7 +324,20 @@ AR1_SQL = """WITH RECURSIVE s AS (
   SELECT r.o_orderstatus, step + 1, c + phi * m, phi * psi, cum + (phi * psi) * (phi * psi) FROM r JOIN f USING (o_orderstatus) WHERE step < 30
 )"""
 
+# Standard errors from the centred 2 x 2 system; p of |t| by F(1, dof), and 0 beyond |t| = 8 (below 1e-6 at these sizes).
+LINEAR_P_SQL = f"""{LINEAR_SQL},
+r AS (SELECT sum(power(y - c0 - ca*a - cb*b, 2)) / (count(*) - 3) AS s2, count(*) - 3 AS dof FROM d, w WHERE NOT is_test),
+se AS (SELECT s2, dof, ca, cb, c0, sqrt(s2 * sbb / (n * (saa*sbb - sab*sab))) AS sa, sqrt(s2 * saa / (n * (saa*sbb - sab*sab))) AS sb,
+  sqrt(s2 * (1.0/n + (ma*ma*sbb - 2*ma*mb*sab + mb*mb*saa) / (n * (saa*sbb - sab*sab)))) AS s0 FROM w, r),
+co AS (SELECT 1 AS id, 'l_quantity' AS name, ca AS coefficient, sa AS std_error, dof FROM se
+  UNION ALL SELECT 2, 'l_discount', cb, sb, dof FROM se UNION ALL SELECT 3, '(intercept)', c0, s0, dof FROM se),
+ts AS (SELECT *, coefficient / std_error AS t FROM co),
+f0 AS (SELECT id, t*t AS f, 1.0::DOUBLE AS d1, dof::DOUBLE AS d2 FROM ts WHERE abs(t) <= 8), {f_tail("f0")}
+SELECT name, round(coefficient, 4) + 0.0 AS coefficient, round(std_error, 4) + 0.0 AS std_error, round(t, 4) + 0.0 AS t_value,
+  round(CASE WHEN abs(t) > 8 THEN 0.0 ELSE (SELECT p FROM ft WHERE ft.id = ts.id) END, 4) + 0.0 AS p_value FROM ts"""
+
 ORACLES = {
+    "linear_regression_p_values": LINEAR_P_SQL,
     "arima_ar1_orders": f"""{AR1_SQL}
  SELECT o_orderstatus, 1 AS p, 0 AS d, 0 AS q, round(n * (ln(2 * pi() * (rss / n)) + 1) + 6, 3) + 0.0 AS aic, round(sqrt(rss / n), 3) + 0.0 AS rmse FROM f""",
     "arima_ar1_forecast": f"""{AR1_SQL}
