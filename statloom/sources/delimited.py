@@ -44,9 +44,10 @@ def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     One aggregation over all lines of all files; ``,`` if none splits any line.
     """
     if encoding.startswith("UTF-16"):
-        # a line break is two bytes there, which only the whole-file reader cuts right
-        text = spark.read.option("encoding", encoding).option("multiLine", True).option("sep", "\x01").option("quote", "").csv(path)
-        rows = text.select(F.col(text.columns[0]).alias("value"))
+        from statloom.sources.utf16 import utf16_lines
+
+        # a line break is two bytes there: the files are cut into byte ranges at such breaks
+        rows = utf16_lines(spark, path).select("value")
     else:
         rows = spark.read.text(path)
     # Quoted text may hold any delimiter.
@@ -65,17 +66,22 @@ def read_robust(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine): lines with too many fields go to the quarantine, short lines get nulls.
 
-    Only UTF-16 needs whole-file reading (a line break is two bytes there); other encodings split.
+    UTF-16 files are cut into byte ranges at two-byte line breaks, their records gathered by quote
+    parity and written as UTF-8 parts that hold whole records; those parts are read in parallel.
     """
     encoding = encoding or detect_encoding(spark, path)
     delimiter = delimiter or detect_delimiter(spark, path, encoding)
+    if encoding.startswith("UTF-16"):
+        from statloom.sources.utf16 import as_utf8
+
+        path, encoding = as_utf8(spark, path), "UTF-8-RECORDS"
     base = (
         spark.read.option("header", True)
         .option("sep", delimiter)
-        .option("encoding", encoding)
+        .option("encoding", "UTF-8" if encoding == "UTF-8-RECORDS" else encoding)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", encoding.startswith("UTF-16"))
+        .option("multiLine", encoding == "UTF-8-RECORDS")
     )
     # Schema from the header: types are inferred on rows that have the right width.
     head = base.option("inferSchema", True).csv(path)

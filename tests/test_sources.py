@@ -135,3 +135,23 @@ def test_merge_and_targets(spark):
     wide = spark.createDataFrame([tuple(range(10))], [f"c{i}" for i in range(10)])
     rows = catalog_summary({"wide": wide}).collect()
     assert len(rows) == 8 and {r["more"] for r in rows} == {2} and files.catalog_summary is catalog_summary
+
+
+def test_utf16_in_byte_ranges_with_quoted_line_breaks(spark, tmp_path):
+    import csv
+    import io
+
+    from statloom.sources.delimited import read_robust
+    from statloom.sources.utf16 import utf16_lines, utf16_records
+
+    rows = [["id", "name", "note"]] + [[str(i), f"n{i}", f'one {i}\ntwo "q"' if i % 7 == 0 else f"é {i}"] for i in range(2000)]
+    buffer = io.StringIO()
+    csv.writer(buffer, lineterminator="\r\n").writerows(rows)
+    path = tmp_path / "wide.csv"
+    path.write_bytes(buffer.getvalue().encode("utf-16"))
+    assert utf16_lines(spark, str(path), split=4096).rdd.getNumPartitions() > 10
+    records = [r["record"] for r in utf16_records(spark, str(path), split=4096).orderBy("start").collect()]
+    assert len(records) == len(rows) and records[8].startswith('7,n7,"one 7\ntwo ""q"""')
+    good, bad = read_robust(spark, str(path))
+    got = sorted((r["id"], r["name"], r["note"]) for r in good.collect())
+    assert got == sorted((int(a), b, c) for a, b, c in rows[1:]) and bad.count() == 0
