@@ -27,7 +27,7 @@ COLUMN_TYPES = {
 NOT_COLUMNS = ("PRIMARY", "UNIQUE", "KEY", "INDEX", "CONSTRAINT", "FOREIGN", "FULLTEXT", "CHECK")
 NAME = r"(?:[`\"]?\w+[`\"]?\.)?[`\"]?(\w+)[`\"]?"
 CREATE = re.compile(rf"(?is)^\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\((.*)\)[^)]*$")
-INSERT_PATTERN = r"(?is)^\s*INSERT\s+(?:IGNORE\s+)?INTO\s"
+INSERT_PATTERN = r"(?is)^\s*(?:INSERT\s+(?:IGNORE\s+)?|REPLACE\s+)INTO\s"
 CREATE_PATTERN = r"(?is)^\s*CREATE\s+TABLE\s"
 COPY_PATTERN = r"(?ims)^\s*COPY\s[^;]*\sFROM\s+stdin\s*\z"
 COPY_END = r"(?m)^\\\.[ \t\r]*$"
@@ -147,14 +147,24 @@ def _columns(body: str) -> list[tuple[str, str]]:
     return out
 
 
+def _radix_literal(radix: str, digits: str) -> str:
+    """X'4142' is the text of those bytes (UTF-8, bad bytes replaced); b'101' is the number 5."""
+    if radix in "xX":
+        return bytes.fromhex(digits if len(digits) % 2 == 0 else "0" + digits).decode("utf-8", errors="replace")
+    return str(int(digits, 2)) if digits else "0"
+
+
 def _tuples(values: str) -> Iterator[list[str | None]]:
     """Value lists of ``(..), (..)``; text without its quotes, NULL as None."""
-    token = re.compile(r"""'((?:[^'\\]|\\.|'')*)'|([^\s(),']+)|([(),])""", re.S)
+    token = re.compile(r"""([xXbB])'([0-9A-Fa-f]*)'|'((?:[^'\\]|\\.|'')*)'|([^\s(),']+)|([(),])""", re.S)
     escapes = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
     row: list[str | None] | None = None
     depth = 0
     for m in token.finditer(values):
-        text, word, mark = m.groups()
+        radix, digits, text, word, mark = m.groups()
+        if radix is not None and row is not None and depth == 1:
+            row.append(_radix_literal(radix, digits))
+            continue
         if mark == "(":
             depth += 1
             if depth == 1:
@@ -168,11 +178,12 @@ def _tuples(values: str) -> Iterator[list[str | None]]:
             if text is not None:
                 row.append(re.sub(r"\\(.)", lambda e: escapes.get(e.group(1), e.group(1)), text.replace("''", "'"), flags=re.S))
             else:
-                row.append(None if word.upper() == "NULL" else word)
+                hexadecimal = re.fullmatch(r"0[xX]([0-9A-Fa-f]+)", word)
+                row.append(None if word.upper() == "NULL" else str(int(hexadecimal.group(1), 16)) if hexadecimal else word)
 
 
 def _insert_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shape = re.compile(rf"(?is)^\s*INSERT\s+(?:IGNORE\s+)?INTO\s+{NAME}\s*(?:\(([^)]*)\)\s*)?VALUES\s*(.*)$")
+    shape = re.compile(rf"(?is)^\s*(?:INSERT\s+(?:IGNORE\s+)?|REPLACE\s+)INTO\s+{NAME}\s*(?:\(([^)]*)\)\s*)?VALUES\s*(.*)$")
     for part in batches:
         tables, names, rows = [], [], []
         for text in part["statement"]:

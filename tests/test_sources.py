@@ -155,3 +155,14 @@ def test_utf16_in_byte_ranges_with_quoted_line_breaks(spark, tmp_path):
     good, bad = read_robust(spark, str(path))
     got = sorted((r["id"], r["name"], r["note"]) for r in good.collect())
     assert got == sorted((int(a), b, c) for a, b, c in rows[1:]) and bad.count() == 0
+
+
+def test_dump_hex_bit_literals_and_replace(spark, tmp_path):
+    path = tmp_path / "lit.sql"
+    path.write_text(
+        "CREATE TABLE t (id int, label varchar(10), flags int, code int);\n"
+        "INSERT INTO t VALUES (1, X'4142', b'101', 0x1F), (2, x'', B'0', 7);\n"
+        "REPLACE INTO t VALUES (3, 'c', 1, 2);\n"
+    )
+    rows = sorted(tuple(r) for r in dump.read_dump(spark, str(path))["t"].collect())
+    assert rows == [(1, "AB", 5, 31), (2, "", 0, 7), (3, "c", 1, 2)]
