@@ -14,12 +14,15 @@ PAIRS_PER_PASS = 300
 
 
 def _corr(x: Column, y: Column) -> Column:
-    """Pearson over the rows where both are present; null where either does not vary."""
+    """Pearson over the rows where both are present; null where either does not vary.
+
+    A column that does not vary has a spread of exactly 0 (its running squared deviations never
+    grow, also when partial results are merged), so the division gives null there.
+    """
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
     spread = F.stddev_pop(a) * F.stddev_pop(b)
-    return F.when(varies, F.try_divide(F.covar_pop(a, b), spread))
+    return F.try_divide(F.covar_pop(a, b), spread)
 
 
 def pearson_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
