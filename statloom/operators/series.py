@@ -241,7 +241,8 @@ def _long_ar(m: int):
     def solve(grams: pd.Series) -> pd.Series:
         out = []
         for flat in grams:
-            g = _square(flat, m + 2) if flat is not None else None
+            empty = flat is None or any(v is None or v != v for v in flat)
+            g = None if empty else _square(flat, m + 2)
             if g is None or g[0, 0] < m + 1 + 5:
                 out.append(None)
                 continue
@@ -310,7 +311,7 @@ def _second_stage(d: int, pq: list[tuple[int, int]], pmax: int, qmax: int, steps
     def fit(grams: pd.Series, states: pd.Series) -> pd.Series:
         out = []
         for flat, state in zip(grams, states):
-            if flat is None or state is None:
+            if flat is None or state is None or any(v is None or v != v for v in flat):
                 out.append([])
                 continue
             values = [0.0 if v is None or (isinstance(v, float) and math.isnan(v)) else float(v) for v in state]
@@ -328,41 +329,74 @@ def _join_series(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return joined
 
 
-def _fits_at(series: DataFrame, keys: list[str], d: int, pq: list[tuple[int, int]], steps: int, m: int) -> DataFrame:
-    pmax, qmax = max(p for p, _ in pq), max(q for _, q in pq)
+def _triangle_if(columns: list[Column], keep: Column) -> Column:
+    """``_triangle`` over the rows where ``keep`` holds."""
+    k = len(columns)
+    return F.array(*[F.sum(F.when(keep, columns[i] * columns[j])) for i in range(k) for j in range(i, k)])
+
+
+def _with_order(d: int):
+    """The fit struct with its difference order (a one-argument function, as ``transform`` wants)."""
+
+    def add(f: Column) -> Column:
+        names = ("p", "q", "aic", "rmse", "mean", "sd")
+        return F.struct(f["p"].alias("p"), F.lit(d).alias("d"), *[f[n].alias(n) for n in names[1:]])
+
+    return add
+
+
+def _fits_all(series: DataFrame, keys: list[str], orders: tuple, steps: int, m: int) -> DataFrame:
+    """Every order of every series from two windows and two grouped sums shared by all difference orders."""
+    plan = {d: [(p, q) for p, dd, q in orders if dd == d] for d in sorted({o[1] for o in orders})}
+    most = {d: (max(p for p, _ in pq), max(q for _, q in pq)) for d, pq in plan.items()}
     win = Window.partitionBy(*keys).orderBy("ds")
-    rows = series.select(*keys, "ds", F.col("y").cast("double").alias("y"))
-    rows = rows.withColumn("w", F.col("y") - F.lag("y").over(win) if d else F.col("y"))
-    need = max(pmax, 1, m if qmax else 0)
-    rows = rows.select("*", *[F.lag("w", i).over(win).alias(f"w{i}") for i in range(1, need + 1)])
-    if qmax:
-        first = rows.where(F.col(f"w{m}").isNotNull())
-        v1 = [F.lit(1.0), *[F.col(f"w{i}") for i in range(1, m + 1)], F.col("w")]
-        coef = first.groupBy(*keys).agg(_triangle(v1).alias("g1")).select(*keys, _long_ar(m)("g1").alias("a"))
-        rows = _join_series(rows, coef, keys)
-        fitted = F.col("a")[0] + sum((F.col("a")[i] * F.col(f"w{i}") for i in range(1, m + 1)), F.lit(0.0))
-        rows = rows.withColumn("e", F.col("w") - fitted)
-        rows = rows.select("*", *[F.lag("e", j).over(win).alias(f"e{j}") for j in range(1, qmax + 1)])
-    else:
-        rows = rows.withColumn("e", F.lit(0.0)).withColumn("e1", F.lit(0.0))
-    sample = rows.where(F.col("w").isNotNull())
-    for i in range(1, pmax + 1):
-        sample = sample.where(F.col(f"w{i}").isNotNull())
-    for j in range(1, qmax + 1):
-        sample = sample.where(F.col(f"e{j}").isNotNull())
-    v2 = [F.lit(1.0), *[F.col(f"w{i}") for i in range(1, pmax + 1)], *[F.col(f"e{j}") for j in range(1, qmax + 1)], F.col("w")]
-    grams = sample.groupBy(*keys).agg(_triangle(v2).alias("g2"))
     micros = F.unix_micros(F.col("ds").cast("timestamp"))
-    state = F.array(F.col("w"), F.col("w1"), F.col("e"), F.col("e1"), F.col("y"))
-    ends = rows.withColumn("gap", micros - F.lag(micros).over(win)).groupBy(*keys).agg(
-        F.max_by(state, F.col("ds")).alias("state"),
-        F.max(micros).alias("last_us"),
-        F.coalesce(F.median("gap"), F.lit(86_400_000_000.0)).alias("gap_us"),
+    need = max(max(pm, 1, m if qm else 0) + d for d, (pm, qm) in most.items())
+    rows = series.select(*keys, "ds", F.col("y").cast("double").alias("y")).select(
+        "*", *[F.lag("y", i).over(win).alias(f"y{i}") for i in range(1, need + 1)], (micros - F.lag(micros).over(win)).alias("_gap")
     )
-    fits = _join_series(ends, grams, keys).select(
-        *keys, "last_us", "gap_us", F.explode(_second_stage(d, pq, pmax, qmax, steps)("g2", "state")).alias("f")
+
+    def level(i: int) -> Column:
+        return F.col("y") if i == 0 else F.col(f"y{i}")
+
+    def w(d: int, i: int) -> Column:
+        return level(i) if d == 0 else level(i) - level(i + 1)
+
+    moving = [d for d, (_, qm) in most.items() if qm]
+    if moving:
+        grams = rows.groupBy(*keys).agg(
+            *[_triangle_if([F.lit(1.0), *[w(d, i) for i in range(1, m + 1)], w(d, 0)], w(d, m).isNotNull()).alias(f"_g1_{d}") for d in moving]
+        )
+        coef = grams.select(*keys, *[_long_ar(m)(f"_g1_{d}").alias(f"_a{d}") for d in moving])
+        rows = _join_series(rows, coef, keys)
+        for d in moving:
+            a = F.col(f"_a{d}")
+            rows = rows.withColumn(f"_e{d}", w(d, 0) - (a[0] + sum((a[i] * w(d, i) for i in range(1, m + 1)), F.lit(0.0))))
+        rows = rows.select("*", *[F.lag(f"_e{d}", j).over(win).alias(f"_e{d}_{j}") for d in moving for j in range(1, most[d][1] + 1)])
+
+    def e(d: int, j: int) -> Column:
+        if not most[d][1]:
+            return F.lit(0.0)
+        return F.col(f"_e{d}") if j == 0 else F.col(f"_e{d}_{j}")
+
+    sums, states = [], []
+    for d, (pm, qm) in most.items():
+        keep = w(d, 0).isNotNull() & w(d, max(pm, 1)).isNotNull()
+        if qm:
+            keep = keep & e(d, qm).isNotNull()
+        v2 = [F.lit(1.0), *[w(d, i) for i in range(1, pm + 1)], *[e(d, j) for j in range(1, qm + 1)], w(d, 0)]
+        sums.append(_triangle_if(v2, keep).alias(f"_g2_{d}"))
+        states.append(F.max_by(F.array(w(d, 0), w(d, 1), e(d, 0), e(d, 1), F.col("y")), F.col("ds")).alias(f"_st{d}"))
+    ends = rows.groupBy(*keys).agg(
+        *sums, *states, F.max(micros).alias("last_us"), F.coalesce(F.median("_gap"), F.lit(86_400_000_000.0)).alias("gap_us")
     )
-    return fits.select(*keys, "last_us", "gap_us", F.col("f.p").alias("p"), F.lit(d).alias("d"), F.col("f.q").alias("q"), "f.aic", "f.rmse", "f.mean", "f.sd")
+    found = []
+    for d, pq in plan.items():
+        pm, qm = most[d]
+        fitted = _second_stage(d, pq, pm, qm, steps)(f"_g2_{d}", f"_st{d}")
+        found.append(F.transform(fitted, _with_order(d)))
+    fits = ends.select(*keys, "last_us", "gap_us", F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("f"))
+    return fits.select(*keys, "last_us", "gap_us", "f.p", "f.d", "f.q", "f.aic", "f.rmse", "f.mean", "f.sd")
 
 
 def arima_fits(
@@ -374,8 +408,9 @@ def arima_fits(
     autoregression of order ``long_ar`` is fitted from one aggregation of lag products; its
     residuals stand in for the shocks, and one more aggregation of products of the lags of the
     series and of those residuals gives every (p, q) as a regression on a sub-matrix. Orders
-    share the sample of the largest lags, so their AIC values compare. The work per series is a
-    window over its dates (one row per date, bounded by the calendar) and two grouped sums; only
+    share the sample of the largest lags, so their AIC values compare. The work per series is two
+    windows over its dates (one row per date, bounded by the calendar) and two grouped sums, shared
+    by both difference orders; only
     Gram matrices of a few dozen numbers reach Python. AR orders without MA terms skip the first
     stage and are ordinary least squares. A non-stationary AR or non-invertible MA part drops the
     order; a series with fewer than about ``long_ar`` + 2 + 5 points has no MA fits.
@@ -383,13 +418,7 @@ def arima_fits(
     keys = list(keys)
     work = series if keys else series.withColumn("_series", F.lit(0))
     ks = keys or ["_series"]
-    parts = []
-    for d in sorted({o[1] for o in orders}):
-        pq = [(p, q) for p, dd, q in orders if dd == d]
-        parts.append(_fits_at(work, ks, d, pq, steps, long_ar))
-    fits = parts[0]
-    for part in parts[1:]:
-        fits = fits.unionByName(part)
+    fits = _fits_all(work, ks, orders, steps, long_ar)
     ds_type = series.schema["ds"].dataType.simpleString()
     at = lambda i: F.timestamp_micros(F.col("last_us") + (F.col("gap_us") * i).cast("long")).cast(ds_type)
     forecast = F.transform(
