@@ -202,8 +202,13 @@ def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def contingency_grid(df: DataFrame, first: str, second: str) -> DataFrame:
-    """The full grid with zeros, through a pivot (Spark bounds the number of pivot columns)."""
-    wide = contingency(df, first, second).groupBy("row").pivot("col").agg(F.sum("count"))
+    """The full grid with zeros, through a pivot. Beyond Spark's pivot limit of column values (a
+    key-like column) the grid is the observed cells alone, so the analysis never fails on width."""
+    observed = contingency(df, first, second)
+    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    if observed.select("col").distinct().limit(limit + 1).count() > limit:
+        return observed
+    wide = observed.groupBy("row").pivot("col").agg(F.sum("count"))
     columns = [c for c in wide.columns if c != "row"]
     long = wide.na.fill(0).unpivot(["row"], [quoted(c) for c in columns], "col", "count")
     return long
@@ -306,20 +311,40 @@ def mann_whitney(df: DataFrame, target: str, group: str, method: str = "auto") -
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("grp") == F.col("_s.a"), F.col("n")).otherwise(0)).alias("n1"),
     )
-    ranked = prefix_sum(by_value, ["v"], {"_upto": "n"})
+    # One running count serves the ranks and both medians: n1 runs beside n.
+    ranked = prefix_sum(by_value, ["v"], {"_upto": "n", "_u1": "n1"}, totals={"_t": "n", "_t1": "n1"})
     rank = F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2.0
     n_d = F.col("n").cast("double")
+    sides = {"1": (F.col("_u1"), F.col("n1"), F.col("_t1")), "2": (F.col("_upto") - F.col("_u1"), F.col("n") - F.col("n1"), F.col("_t") - F.col("_t1"))}
+    middles = []
+    for side, (upto, count, total) in sides.items():
+        position = 0.5 * (total - 1)
+        for end, place in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+            hit = (count > 0) & (place < upto) & (place >= upto - count)
+            middles.append(F.max(F.when(hit, F.col("v"))).alias(f"_{end}{side}"))
     sums = ranked.agg(
         F.sum("n1").alias("n1"),
         F.sum(F.col("n") - F.col("n1")).alias("n2"),
         F.sum(F.col("n1") * rank).alias("_r1"),
         F.sum(n_d**3 - n_d).alias("_ties"),
         F.max("n").alias("_widest"),
+        *middles,
+    )
+
+    def median(side: str, size: Column) -> Column:
+        position = 0.5 * (size - 1)
+        lo, hi = F.col(f"_lo{side}"), F.col(f"_hi{side}")
+        return lo + (hi - lo) * (position - F.floor(position))
+
+    m1, m2 = median("1", F.col("n1")), median("2", F.col("n2"))
+    first, second = F.col("_s.a").cast("string"), F.col("_s.b").cast("string")
+    sums = sums.withColumn("_s", names.scalar()).withColumn(
+        "_m",
+        F.struct(
+            F.struct(F.when(F.col("n1") > 0, first).otherwise(second).alias("grp"), F.when(F.col("n1") > 0, m1).otherwise(m2).alias("median")).alias("a"),
+            F.struct(F.when(F.col("n2") > 0, second).otherwise(first).alias("grp"), F.when(F.col("n2") > 0, m2).otherwise(m1).alias("median")).alias("b"),
+        ),
     )
-    medians = weighted_quantiles(counts.select("grp", "v", "n"), "v", {"median": 0.5}, ["grp"])
-    both = medians.agg(
-        F.min(F.struct("grp", "median")).alias("a"), F.max(F.struct("grp", "median")).alias("b")
-    ).select(F.struct("a", "b"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
@@ -330,7 +355,7 @@ def mann_whitney(df: DataFrame, target: str, group: str, method: str = "auto") -
         raise ValueError(f"unknown method {method!r}")
     small = (F.least("n1", "n2") <= EXACT_GROUP) & (F.col("_widest") == 1)
     exact = {"auto": small, "exact": F.lit(True), "normal": F.lit(False)}[method]
-    base = sums.withColumn("_m", both.scalar()).select(
+    base = sums.select(
         F.col("_m.a.grp").cast("string").alias("group1"),
         F.col("_m.b.grp").cast("string").alias("group2"),
         "n1",

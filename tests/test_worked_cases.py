@@ -192,3 +192,14 @@ def test_ranks_of_a_hot_value_come_in_bounded_pieces(spark):
     assert all(0 <= to - start < PIECE for _, start, to in got)
     assert [start for _, start, _ in got] == [1] + [to + 1 for _, _, to in got][:-1] and got[-1][2] == 10_000_006
     assert {v: sum(to - start + 1 for w, start, to in got if w == v) for v in (1.0, 2.0, 3.0)} == {1.0: 5, 2.0: 10_000_000, 3.0: 1}
+
+
+def test_contingency_grid_past_the_pivot_limit(spark):
+    old = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", "5")
+    try:
+        df = spark.createDataFrame([(str(i), "x" if i % 2 else "y") for i in range(20)], "k string, g string")
+        assert hypothesis.contingency_grid(df, "g", "k").count() == 20
+        assert hypothesis.contingency_grid(df, "k", "g").count() == 40
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", old)
