@@ -375,7 +375,54 @@ PART_Z = """z AS (SELECT p_partkey AS id, (p_size - avg(p_size) OVER ())/stddev_
 KD_SQL = f"""WITH {PART_Z}, r AS (SELECT a.id, sqrt(power(a.x-b.x, 2) + power(a.y-b.y, 2)) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY power(a.x-b.x, 2) + power(a.y-b.y, 2)) AS k FROM z a, z b),
 kd AS (SELECT dist AS kd FROM r WHERE k = 5)"""
 
+def _poly_sql(coefficients: tuple[float, ...], x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _quantile_sql(p: str) -> str:
+    """The normal quantile by the same rational approximation as the operator."""
+    from statloom.functions.special import QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D
+
+    r, q = f"(({p} - 0.5) * ({p} - 0.5))", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    middle = f"({_poly_sql(QUANTILE_A, r)} * ({p} - 0.5) / {_poly_sql(QUANTILE_B, r)})"
+    tail = f"({_poly_sql(QUANTILE_C, q)} / {_poly_sql(QUANTILE_D, q)})"
+    return f"(CASE WHEN {p} < 0.02425 THEN {tail} WHEN {p} > 0.97575 THEN -{tail} ELSE {middle} END)"
+
+
+def _upper_sql(z: str) -> str:
+    """P(Z > z) by the erfc fit."""
+    from statloom.functions.special import ERFC_FIT
+
+    a = f"(abs({z}) / sqrt(2.0))"
+    t = f"(1.0 / (1.0 + 0.5 * {a}))"
+    poly = repr(ERFC_FIT[-1])
+    for c in reversed(ERFC_FIT[:-1]):
+        poly = f"({poly} * {t} + {c!r})"
+    tail = f"(0.5 * {t} * exp(-{a} * {a} + {poly}))"
+    return f"(CASE WHEN {z} > 0 THEN {tail} ELSE 1 - {tail} END)"
+
+
+def _shapiro_francia_sql(table_name: str, columns: list[str]) -> str:
+    from statloom.plans.guardrails import ALPHA, LOG_MEAN, LOG_SPREAD
+
+    values = " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v FROM {table_name} WHERE {c} IS NOT NULL" for c in columns)
+    p = "((rk - 0.375) / (n + 0.25))"
+    return f"""WITH v AS ({values}),
+r AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) AS rk, count(*) OVER (PARTITION BY col) AS n FROM v),
+m AS (SELECT col, v, n, {_quantile_sql(p)} AS m FROM r),
+w AS (SELECT col, max(n) AS n, covar_pop(v, m) AS vm, var_pop(v) AS vv, var_pop(m) AS mm FROM m GROUP BY col),
+ws AS (SELECT *, least(coalesce(vm * vm / nullif(vv * mm, 0), 1.0), 1.0) AS w_stat FROM w),
+z AS (SELECT *, (ln(greatest(1 - w_stat, 1e-300)) - ({LOG_MEAN[0]} + {LOG_MEAN[1]} * (ln(ln(n)) - ln(n))))
+  / ({LOG_SPREAD[0]} + {LOG_SPREAD[1]} * (ln(ln(n)) + 2 / ln(n))) AS z FROM ws),
+pv AS (SELECT *, CASE WHEN n >= 5 AND w_stat < 1 THEN {_upper_sql('z')} ELSE 1.0 END AS p FROM z)
+SELECT 'shapiro_francia' AS test, col AS "column", round(w_stat, 4) + 0.0 AS stat, round(p, 4) + 0.0 AS p_value, p >= {ALPHA} AS passed FROM pv"""
+
+
 ORACLES = {
+    "guardrail_correlation": _shapiro_francia_sql("part", ["p_size", "p_retailprice"]),
     "source_csv": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer",
     "source_tsv": "SELECT l_returnflag, count(*) AS rows, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1",
     "source_csv_robust": """SELECT count(*) FILTER (c_acctbal >= 0) AS rows, round(sum(round(c_acctbal, 2)) FILTER (c_acctbal >= 0), 2) AS balance,
