@@ -405,10 +405,18 @@ def _upper_sql(z: str) -> str:
     return f"(CASE WHEN {z} > 0 THEN {tail} ELSE 1 - {tail} END)"
 
 
-def _shapiro_francia_sql(table_name: str, columns: list[str]) -> str:
+def _shapiro_francia_sql(table_name: str, columns: list[str], by: tuple[str, str] | None = None) -> str:
+    """Per column, or per group ``by`` = (group, value) of at least five rows: W' and p, unrounded p kept."""
     from statloom.plans.guardrails import ALPHA, LOG_MEAN, LOG_SPREAD
 
-    values = " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v FROM {table_name} WHERE {c} IS NOT NULL" for c in columns)
+    if by:
+        group, value = by
+        values = (
+            f"SELECT {group}::VARCHAR AS col, {value}::DOUBLE AS v FROM {table_name} WHERE {value} IS NOT NULL AND {group} IN "
+            f"(SELECT {group} FROM {table_name} WHERE {group} IS NOT NULL GROUP BY 1 HAVING count(*) >= 5)"
+        )
+    else:
+        values = " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v FROM {table_name} WHERE {c} IS NOT NULL" for c in columns)
     p = "((rk - 0.375) / (n + 0.25))"
     return f"""WITH v AS ({values}),
 r AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) AS rk, count(*) OVER (PARTITION BY col) AS n FROM v),
@@ -418,10 +426,26 @@ ws AS (SELECT *, least(coalesce(vm * vm / nullif(vv * mm, 0), 1.0), 1.0) AS w_st
 z AS (SELECT *, (ln(greatest(1 - w_stat, 1e-300)) - ({LOG_MEAN[0]} + {LOG_MEAN[1]} * (ln(ln(n)) - ln(n))))
   / ({LOG_SPREAD[0]} + {LOG_SPREAD[1]} * (ln(ln(n)) + 2 / ln(n))) AS z FROM ws),
 pv AS (SELECT *, CASE WHEN n >= 5 AND w_stat < 1 THEN {_upper_sql('z')} ELSE 1.0 END AS p FROM z)
-SELECT 'shapiro_francia' AS test, col AS "column", round(w_stat, 4) + 0.0 AS stat, round(p, 4) + 0.0 AS p_value, p >= {ALPHA} AS passed FROM pv"""
+SELECT 'shapiro_francia' AS test, col AS "column", round(w_stat, 4) + 0.0 AS stat, {"p" if by else "round(p, 4) + 0.0"} AS p_value, p >= {ALPHA} AS passed FROM pv"""
+
+
+def _anova_guard_sql() -> str:
+    """Groups of five rows or more whose Shapiro-Francia p is below ALPHA, and Levene's test, as the checks report them."""
+    from checks.statistics import ORACLES as STATISTICS
+    from statloom.plans.guardrails import ALPHA
+
+    levene = STATISTICS["levene"].replace(
+        "SELECT k AS groups, round(f, 6) AS w_stat, round(p, 6) AS p_value FROM w, f0, ft", "SELECT k AS groups, f AS w_stat, p AS p_value FROM w, f0, ft"
+    )
+    groups = _shapiro_francia_sql("customer", [], by=("c_mktsegment", "c_acctbal"))
+    return f"""SELECT 'shapiro_francia' AS test, 'c_acctbal' AS "column", bad::DOUBLE AS stat, NULL::DOUBLE AS p_value, false AS passed
+FROM (SELECT count(*) AS k, count(*) FILTER (WHERE p_value < {ALPHA}) AS bad FROM ({groups}) sf) t WHERE k >= 2 AND bad > 0
+UNION ALL
+SELECT 'levene', 'c_acctbal', round(w_stat, 4) + 0.0, round(p_value, 4) + 0.0, p_value >= {ALPHA} FROM ({levene}) lv WHERE groups >= 2 AND p_value IS NOT NULL"""
 
 
 ORACLES = {
+    "guardrail_anova": _anova_guard_sql(),
     "guardrail_correlation": _shapiro_francia_sql("part", ["p_size", "p_retailprice"]),
     "source_csv": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer",
     "source_tsv": "SELECT l_returnflag, count(*) AS rows, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1",
