@@ -444,7 +444,22 @@ UNION ALL
 SELECT 'levene', 'c_acctbal', round(w_stat, 4) + 0.0, round(p_value, 4) + 0.0, p_value >= {ALPHA} FROM ({levene}) lv WHERE groups >= 2 AND p_value IS NOT NULL"""
 
 
+def _linear_guard_sql() -> str:
+    """Normality of the target, VIF without a constant above the limit, and the rows per feature."""
+    from statloom.plans.guardrails import ROWS_PER_FEATURE, VIF_LIMIT
+
+    sf = _shapiro_francia_sql("lineitem", ["l_extendedprice"])
+    return f"""{sf}
+UNION ALL
+SELECT 'vif', c, round(round(vif, 2), 4) + 0.0, NULL::DOUBLE, false FROM (
+  SELECT unnest(['l_quantity', 'l_discount']) AS c, 1 / (1 - power(sum(l_quantity * l_discount) / sqrt(sum(l_quantity * l_quantity) * sum(l_discount * l_discount)), 2)) AS vif
+  FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL) WHERE vif > {VIF_LIMIT}
+UNION ALL
+SELECT 'sample_size', 'l_extendedprice', n::DOUBLE, NULL::DOUBLE, false FROM (SELECT count(l_extendedprice) AS n FROM lineitem) WHERE n < {2 * ROWS_PER_FEATURE}"""
+
+
 ORACLES = {
+    "guardrail_linear": _linear_guard_sql(),
     "guardrail_anova": _anova_guard_sql(),
     "guardrail_correlation": _shapiro_francia_sql("part", ["p_size", "p_retailprice"]),
     "source_csv": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer",
