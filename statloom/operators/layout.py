@@ -9,15 +9,17 @@ equi-joins and one aggregation of forces.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from statloom.functions.ordered import order_bounds, positions, range_bucket
 from statloom.operators.cluster import projection, standardised
-from statloom.operators.dbscan import _square
 from pyspark import StorageLevel
 
 from statloom.session import bucket_count, cut_lineage, discard
@@ -29,6 +31,7 @@ WINDOW = 12
 EPOCHS = 12
 NEGATIVES = 5
 DESCENT_ROUNDS = 2
+TOGETHER = 64
 SEED = 42
 
 
@@ -39,13 +42,49 @@ def neighbor_graph(rows: DataFrame, d: int, k: int, seed: int = SEED, rounds: in
     return neighbor_descent(rows, start, d, k, DESCENT_ROUNDS if rounds is None else rounds)
 
 
+def measured(met: DataFrame, d: int) -> DataFrame:
+    """(id, other, dist) of rows (asking: id, limit, xs; near: other, ys): every asking row with every
+    other row of the list that is no farther than its limit (null: any distance)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asking, near = batch.column(0), batch.column(1)
+            asked, listed = asking.flatten(), near.flatten()
+            ids, others = (c.field(0).to_numpy(zero_copy_only=False) for c in (asked, listed))
+            limits = pc.fill_null(asked.field(1), math.inf).to_numpy(zero_copy_only=False)
+            xs, ys = (v.flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for v in (asked.field(2), listed.field(1)))
+            sides = [np.concatenate([[0], np.cumsum(pc.list_value_length(c).to_numpy(zero_copy_only=False))]) for c in (asking, near)]
+            for a, a_end, b, b_end in zip(sides[0], sides[0][1:], sides[1], sides[1][1:]):
+                square = np.zeros((a_end - a, b_end - b))
+                for i in range(d):  # column by column, so that sums are added in one order everywhere
+                    gap = xs[a:a_end, i, None] - ys[None, b:b_end, i]
+                    square += gap * gap
+                dist = np.sqrt(square)
+                own, other = np.nonzero((dist <= limits[a:a_end, None]) & (ids[a:a_end, None] != others[None, b:b_end]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[a + own], pa.int64()), pa.array(others[b + other], pa.int64()), pa.array(dist[own, other])],
+                    names=["id", "other", "dist"],
+                )
+
+    return met.select("asking", "near").mapInArrow(run, "id long, other long, dist double")
+
+
+def nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """The k nearest others of each id; a pair that stands several times (at one distance) counts once."""
+    rank = Window.partitionBy("id").orderBy("dist", "other")
+    ranked = pairs.withColumn("_k", F.dense_rank().over(rank)).where(F.col("_k") <= k)
+    return ranked.dropDuplicates(["id", "other"]).select("id", "other", "dist")
+
+
 def neighbor_descent(rows: DataFrame, graph: DataFrame, d: int, k: int, rounds: int) -> DataFrame:
     """Refine a k-neighbour graph: a neighbour of a neighbour is a candidate.
 
     Each round joins the graph with itself through the middle row, over forward edges and the
     ``k`` nearest reverse edges of each row, so a row meets at most (2k)² candidates however many
-    rows point at it; candidates fetch both vectors by two joins, and every row keeps its ``k``
-    nearest of old and new. A round's graph is written before the next.
+    rows point at it. A middle row gets the vectors of its at most 2k neighbours once, the rows that
+    point at it meet that list ``TOGETHER`` at a time, and only candidates within a row's present
+    k-th distance leave: what is shuffled grows with the edges, not with the candidates. Every row
+    keeps its ``k`` nearest of old and new. A round's graph is written before the next.
     """
     graph = cut_lineage(graph)
     vectors = rows.select("id", "xs")
@@ -54,21 +93,26 @@ def neighbor_descent(rows: DataFrame, graph: DataFrame, d: int, k: int, rounds:
         reverse = graph.withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= k).select(
             F.col("other").alias("id"), F.col("id").alias("other")
         )
-        near = graph.select("id", "other").unionByName(reverse).distinct()
-        hop = near.select(F.col("id").alias("a"), F.col("other").alias("b")).join(
-            near.select(F.col("id").alias("b"), F.col("other").alias("c")), "b"
-        ).where("a <> c").select("a", "c").distinct()
-        fresh = hop.join(graph.select(F.col("id").alias("a"), F.col("other").alias("c")), ["a", "c"], "left_anti")
-        measured = (
-            fresh.join(vectors.select(F.col("id").alias("a"), F.col("xs")), "a")
-            .join(vectors.select(F.col("id").alias("c"), F.col("xs").alias("ys")), "c")
-            .select(F.col("a").alias("id"), F.col("c").alias("other"), F.sqrt(_square("xs", "ys", d)).alias("dist"))
+        near = cut_lineage(graph.select("id", "other").unionByName(reverse).distinct())
+        lists = (
+            near.join(vectors.select(F.col("id").alias("other"), F.col("xs").alias("ys")), "other")
+            .groupBy(F.col("id").alias("middle"))
+            .agg(F.collect_list(F.struct("other", "ys")).alias("near"))
+        )
+        limits = graph.groupBy("id").agg(F.when(F.count("*") >= k, F.max("dist")).alias("limit"))
+        of_middle = Window.partitionBy("middle").orderBy("id")
+        asking = (
+            near.withColumnRenamed("other", "middle")
+            .join(vectors.join(limits, "id", "left"), "id")
+            .withColumn("part", F.floor((F.row_number().over(of_middle) - 1) / TOGETHER))
+            .groupBy("middle", "part")
+            .agg(F.collect_list(F.struct("id", "limit", "xs")).alias("asking"))
         )
-        rank = Window.partitionBy("id").orderBy("dist", "other")
-        merged = graph.unionByName(measured).withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= k).drop("_k")
+        found = measured(asking.join(lists, "middle"), d)
         before = graph
-        graph = cut_lineage(merged)
+        graph = cut_lineage(nearest(graph.unionByName(found), k))
         discard(before)
+        discard(near)
     return graph
 
 
@@ -90,12 +134,11 @@ def projection_graph(rows: DataFrame, d: int, k: int, seed: int = SEED) -> DataF
         "_range", range_bucket(F.col("_bounds"), F.struct(*order), buckets)
     )
     ahead = Window.partitionBy("t", "_range").orderBy("s", "id").rowsBetween(1, WINDOW)
-    followers = F.collect_list(F.struct(F.col("id").alias("o"), F.col("xs").alias("ys"))).over(ahead)
-    met = placed.select("id", "xs", followers.alias("_f")).select("id", "xs", F.inline("_f"))
-    pairs = met.select("id", "o", F.sqrt(_square("xs", "ys", d)).alias("dist")).groupBy("id", "o").agg(F.min("dist").alias("dist"))
-    both = pairs.unionByName(pairs.select(F.col("o").alias("id"), F.col("id").alias("o"), "dist")).distinct()
-    rank = Window.partitionBy("id").orderBy("dist", "o")
-    return both.withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= k).select("id", F.col("o").alias("other"), "dist")
+    followers = F.collect_list(F.struct(F.col("id").alias("other"), F.col("xs").alias("ys"))).over(ahead)
+    asking = F.array(F.struct("id", F.lit(None).cast("double").alias("limit"), "xs"))
+    pairs = measured(placed.select(asking.alias("asking"), followers.alias("near")), d)
+    both = pairs.select(F.inline(F.array(F.struct("id", "other", "dist"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), "dist"))))
+    return nearest(both, k)
 
 
 def _perplexity_weights(perplexity: float):

@@ -307,3 +307,32 @@ def test_additive_forecast_finds_a_planted_bend(spark, monkeypatch):
     out = series.additive_forecast(_series(spark, list(y))).where("not is_future").toPandas()
     assert int(np.argmax(np.abs(seen["bends"]))) == 15
     assert float(np.sqrt(((out.y - out.yhat) ** 2).mean())) < 0.6
+
+
+def test_descent_meets_every_candidate_within_the_limit(spark):
+    import numpy as np
+
+    from statloom.operators import layout
+
+    d, k = 3, 4
+    xs = np.random.default_rng(3).normal(size=(90, d))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(xs)], "id long, xs array<double>")
+    start = {i: [(i + s) % 90 for s in (1, 2, 3, 30)] for i in range(90)}
+    gap = lambda a, b: float(np.sqrt(((xs[a] - xs[b]) ** 2).sum()))
+    graph = spark.createDataFrame([(i, o, gap(i, o)) for i, near in start.items() for o in near], "id long, other long, dist double")
+    back = {o: sorted((gap(i, o), i) for i, near in start.items() if o in near)[:k] for o in range(90)}
+    near = {i: {*start[i], *(a for _, a in back[i])} for i in range(90)}
+    want = {}
+    for i in range(90):
+        seen = ({c for b in near[i] for c in near[b]} | {*start[i]}) - {i}
+        want[i] = {o for _, o in sorted((gap(i, o), o) for o in seen)[:k]}
+    got = {}
+    for r in layout.neighbor_descent(df, graph, d, k, 1).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    assert got == want
+    # a row meets a whole list in one step: no row per candidate holds a vector
+    met = spark.createDataFrame(
+        [([(1, None, [0.0]), (2, 1.5, [1.0])], [(2, [1.0]), (3, [3.0])])],
+        "asking array<struct<id:long,limit:double,xs:array<double>>>, near array<struct<other:long,ys:array<double>>>",
+    )
+    assert sorted(map(tuple, layout.measured(met, 1).collect())) == [(1, 2, 1.0), (1, 3, 3.0)]
