@@ -8,9 +8,9 @@ statement; statements that share a line are split where they are.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from statloom.functions.ordered import prefix_sum
@@ -33,6 +33,29 @@ COPY_PATTERN = r"(?ims)^\s*COPY\s[^;]*\sFROM\s+stdin\s*\z"
 COPY_END = r"(?m)^\\\.[ \t\r]*$"
 
 
+# Rows and characters that a Python step holds at once, beside the one text it reads.
+HELD_ROWS, HELD_CHARS = 256, 1_000_000
+
+
+def _small_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[str]]:
+    """The texts of each Arrow batch, made one by one as they are read."""
+    for batch in batches:
+        yield (text.as_py() for text in batch.column(0))
+
+
+def _gathered(items: Iterator, size: Callable = len) -> Iterator[list]:
+    """Items in lists that end at HELD_ROWS items or HELD_CHARS characters."""
+    found, held = [], 0
+    for item in items:
+        found.append(item)
+        held += size(item)
+        if len(found) >= HELD_ROWS or held >= HELD_CHARS:
+            yield found
+            found, held = [], 0
+    if found:
+        yield found
+
+
 def clean_statement(c: Column) -> Column:
     """A statement without comments, settings, locks and COPY heads before it; the rest is left alone."""
     head = F.regexp_replace(c, r"(?s)\A(?:\s|--[^\n]*(?:\n|\z)|#[^\n]*(?:\n|\z)|/\*.*?\*/;?)+", "")
@@ -116,11 +139,12 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     special = F.col("value").rlike(COPY_PATTERN) | F.col("value").rlike(COPY_END) | (_quotes(F.col("value")) % 2 == 1)
     whole = _stitched(pieces) if pieces.where(special).limit(1).count() else pieces.select("value")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            yield pd.DataFrame({"value": [s for text in part["value"] for s in _split(text)]}, dtype=object)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _small_texts(batches):
+            for found in _gathered(s for text in texts for s in _split(text)):
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["value"])
 
-    split = whole.mapInPandas(cut, "value string")
+    split = whole.mapInArrow(cut, "value string")
     cleaned = split.select(F.regexp_replace(clean_statement(F.col("value")), r";\s*\z", "").alias("statement"))
     return cleaned.where("statement <> ''")
 
@@ -182,23 +206,27 @@ def _tuples(values: str) -> Iterator[list[str | None]]:
                 row.append(None if word.upper() == "NULL" else str(int(hexadecimal.group(1), 16)) if hexadecimal else word)
 
 
-def _insert_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_inserts(texts: Iterator[str]) -> Iterator[tuple[str | None, list[str] | None, list[str | None]]]:
+    """(table, names, row) of every value list; a statement that cannot be read is a row without a table."""
     shape = re.compile(rf"(?is)^\s*(?:INSERT\s+(?:IGNORE\s+)?|REPLACE\s+)INTO\s+{NAME}\s*(?:\(([^)]*)\)\s*)?VALUES\s*(.*)$")
-    for part in batches:
-        tables, names, rows = [], [], []
-        for text in part["statement"]:
-            m = shape.match(text)
-            if not m:
-                tables.append(None)
-                names.append(None)
-                rows.append([text])
-                continue
-            listed = [c.strip().strip('`"') for c in m.group(2).split(",")] if m.group(2) else None
-            for values in _tuples(m.group(3)):
-                tables.append(m.group(1))
-                names.append(listed)
-                rows.append(values)
-        yield pd.DataFrame({"table": tables, "names": names, "row": rows})
+    for text in texts:
+        m = shape.match(text)
+        if not m:
+            yield None, None, [text]
+            continue
+        listed = [c.strip().strip('`"') for c in m.group(2).split(",")] if m.group(2) else None
+        for values in _tuples(m.group(3)):
+            yield m.group(1), listed, values
+
+
+def _insert_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for texts in _small_texts(batches):
+        for found in _gathered(_read_inserts(texts), lambda r: sum(map(len, filter(None, r[2])))):
+            tables, names, rows = zip(*found)
+            lists = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tables, pa.string()), pa.array(names, lists), pa.array(rows, lists)], names=["table", "names", "row"]
+            )
 
 
 def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
@@ -213,7 +241,7 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -
         m = CREATE.match(r["statement"])
         if m:
             schemas[m.group(1)] = _columns(m.group(2))
-    rows = cut.where(F.col("statement").rlike(INSERT_PATTERN)).mapInPandas(
+    rows = cut.where(F.col("statement").rlike(INSERT_PATTERN)).mapInArrow(
         _insert_rows, "table string, names array<string>, row array<string>"
     )
     out: dict[str, DataFrame] = {}

@@ -166,3 +166,16 @@ def test_dump_hex_bit_literals_and_replace(spark, tmp_path):
     )
     rows = sorted(tuple(r) for r in dump.read_dump(spark, str(path))["t"].collect())
     assert rows == [(1, "AB", 5, 31), (2, "", 0, 7), (3, "c", 1, 2)]
+
+
+def test_dump_steps_hold_few_rows_at_once():
+    import pyarrow as pa
+
+    many = "INSERT INTO t VALUES " + ", ".join(f"({i}, 'x')" for i in range(5_000))
+    wide = [f"INSERT INTO t VALUES ({i}, '{'y' * 300_000}')" for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array([many, *wide, "INSERT INTO t VALUE"])], names=["statement"])
+    parts = list(dump._insert_rows(iter([batch])))
+    rows = [r for part in parts for r in part.column(2).to_pylist()]
+    assert len(rows) == 5_009 and rows[4_999] == ["4999", "x"] and rows[-1] == ["INSERT INTO t VALUE"]
+    assert max(part.num_rows for part in parts) <= dump.HELD_ROWS
+    assert max(sum(len(c or "") for r in part.column(2).to_pylist() for c in r) for part in parts) < dump.HELD_CHARS + 400_000
