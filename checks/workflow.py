@@ -105,7 +105,10 @@ def _dump(spark, sf) -> str:
         F.lit("INSERT INTO `documents` VALUES ("), F.col("doc_id"), F.lit(",'"), value, F.lit("','"), F.col("lang"), F.lit("',"), F.col("n_chars"), F.lit(");")
     )
     head = "-- dump\nSET NAMES utf8;\nCREATE TABLE `documents` (\n  `doc_id` bigint unsigned NOT NULL,\n  `text` longtext,\n  `lang` enum('en','fr') DEFAULT 'en',\n  `n_chars` int(11),\n  PRIMARY KEY (`doc_id`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8;\n"
-    lines = table(spark, sf, "documents").repartition(4).select(insert.alias("value"))
+    # a file for each split of the table, and four at least
+    lines = table(spark, sf, "documents").select(insert.alias("value"))
+    if lines.rdd.getNumPartitions() < 4:
+        lines = lines.repartition(4)
     lines.mapInPandas(_with_header(head), "value string").write.text(path)
     return path
 

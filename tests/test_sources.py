@@ -179,3 +179,14 @@ def test_dump_steps_hold_few_rows_at_once():
     assert len(rows) == 5_009 and rows[4_999] == ["4999", "x"] and rows[-1] == ["INSERT INTO t VALUE"]
     assert max(part.num_rows for part in parts) <= dump.HELD_ROWS
     assert max(sum(len(c or "") for r in part.column(2).to_pylist() for c in r) for part in parts) < dump.HELD_CHARS + 400_000
+
+
+def test_dump_has_a_file_for_each_split(spark, tmp_path):
+    from checks import workflow
+
+    docs = spark.range(900).selectExpr("id AS doc_id", "concat('a;', id) AS text", "'en' AS lang", "2L AS n_chars")
+    docs.repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    path = workflow._dump(spark, str(tmp_path))
+    assert len(spark.read.text(path).inputFiles()) > 4
+    assert workflow.dump_statements(spark, str(tmp_path)).first()["statements"] == 900
+    assert workflow.dump_source(spark, str(tmp_path)).count() == 900
