@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from statloom.functions.ordered import prefix_sum
 from statloom.roles import number, quoted, roles
+from statloom.session import cut_lineage, discard
 
 PAIRS_PER_PASS = 300
 
@@ -100,7 +101,8 @@ def _shared_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     Heavy values (each holding at least 1/``HEAVY`` of the rows, so at most ``HEAVY`` of them)
     take their rank from a broadcast table; the other rows join the rest of the rank table by a
     shuffle on the value, where heavy rows carry a salt that matches nothing and so spread over
-    all tasks. No value lands in one task with its rows.
+    all tasks. No value lands in one task with its rows. Value counts and rank tables are written
+    once, as each is read several times.
     """
     values = [f"v{i}" for i in range(len(columns))]
     rows = df.select(*[(number(c) + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(columns)])
@@ -108,17 +110,23 @@ def _shared_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     ranked = rows
     for i in range(len(columns)):
         v = f"v{i}"
-        counts = rows.groupBy(v).agg(F.count("*").alias("_c"))
-        table = prefix_sum(counts, [v], {"_upto": "_c"}, totals={"_all": "_c"}).select(
-            v, "_c", "_all", (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias("_r")
+        counts = cut_lineage(rows.groupBy(v).agg(F.count("*").alias("_c")))
+        table = cut_lineage(
+            prefix_sum(counts, [v], {"_upto": "_c"}, totals={"_all": "_c"}).select(
+                v, "_c", "_all", (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias("_r")
+            )
         )
+        discard(counts)
         heavy = table.where(F.col("_c") * HEAVY >= F.col("_all")).select(F.col(v).alias("_hv"), F.col("_r").alias("_hr"))
         light = table.where(F.col("_c") * HEAVY < F.col("_all")).select(F.col(v).alias("_lv"), F.col("_r").alias("_lr"))
         ranked = ranked.join(F.broadcast(heavy), F.col(v) == F.col("_hv"), "left")
-        salt = F.when(F.col("_hr").isNull(), F.lit(0)).otherwise(F.col("_salt"))
-        ranked = ranked.join(light.withColumn("_ls", F.lit(0)), (F.col(v) == F.col("_lv")) & (salt == F.col("_ls")), "left")
+        rank = F.col("_hr")
+        if light.limit(1).count():  # a column of heavy values alone needs no shuffle of the rows
+            salt = F.when(F.col("_hr").isNull(), F.lit(0)).otherwise(F.col("_salt"))
+            ranked = ranked.join(light.withColumn("_ls", F.lit(0)), (F.col(v) == F.col("_lv")) & (salt == F.col("_ls")), "left")
+            rank = F.coalesce("_hr", "_lr")
         ranked = ranked.select(*[c for c in ranked.columns if not c.startswith(("_h", "_l")) and c != v],
-                               F.coalesce("_hr", "_lr").alias(f"r{i}")).where(F.col(f"r{i}").isNotNull())
+                               rank.alias(f"r{i}")).where(F.col(f"r{i}").isNotNull())
     pairs = list(combinations(range(len(columns)), 2))
     facts = [
         F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), _corr(F.col(f"r{i}"), F.col(f"r{j}")).alias("spearman"))

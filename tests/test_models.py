@@ -336,3 +336,13 @@ def test_descent_meets_every_candidate_within_the_limit(spark):
         "asking array<struct<id:long,limit:double,xs:array<double>>>, near array<struct<other:long,ys:array<double>>>",
     )
     assert sorted(map(tuple, layout.measured(met, 1).collect())) == [(1, 2, 1.0), (1, 3, 3.0)]
+
+
+def test_heavy_columns_are_ranked_without_a_shuffle_of_the_rows(spark):
+    from statloom.operators import correlation
+
+    df = spark.range(4000).selectExpr("cast(id % 7 AS double) AS a", "cast(id * id % 11 AS double) AS b")
+    got = correlation.spearman_pairs(df, ["a", "b"])
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("Join ") == 2
+    want = df.toPandas().rank().corr().loc["a", "b"]
+    assert abs(got.first()["spearman"] - want) < 1e-12
