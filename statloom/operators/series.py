@@ -12,6 +12,7 @@ from statloom.functions.ordered import lagged, weighted_quantiles
 from statloom.functions.special import f_upper
 from statloom.operators.relational import as_timestamp, date_columns
 from statloom.roles import number, quoted, roles
+from statloom.session import cut_lineage, discard
 
 # Words that mark a column to be summed per date (fixed values).
 SUM_WORDS = ["revenue", "sales", "amount", "total", "income", "omzet"]
@@ -79,13 +80,15 @@ def _days(ts: Column) -> Column:
 def date_gaps(df: DataFrame, date: str) -> DataFrame:
     """(n, median_gap, max_gap) in days between sorted rows; repeated dates give gaps of 0."""
     days = df.select(_days(as_timestamp(df, date)).alias("d")).where("d is not null")
-    counted = days.groupBy("d").agg(F.count("*").alias("n"))
+    # both tables are read several times below
+    counted = cut_lineage(days.groupBy("d").agg(F.count("*").alias("n")))
     steps = lagged(counted, ["d"], ["d"], 1, ["n"])
     gaps = steps.select((F.col("d_l0") - F.col("d_l1")).alias("gap"), F.lit(1).cast("long").alias("n")).where(
         "gap is not null"
     )
     repeats = counted.where("n > 1").select(F.lit(0.0).alias("gap"), (F.col("n") - 1).alias("n"))
-    table = gaps.unionByName(repeats).groupBy("gap").agg(F.sum("n").alias("n"))
+    table = cut_lineage(gaps.unionByName(repeats).groupBy("gap").agg(F.sum("n").alias("n")))
+    discard(counted)
     q = weighted_quantiles(table, "gap", {"median_gap": 0.5, "max_gap": 1.0})
     return q.select((F.col("_n") + 1).alias("n"), "median_gap", "max_gap")
 

@@ -13,6 +13,7 @@ from statloom.operators.hypothesis import levene
 from statloom.operators.regression import vif
 from statloom.operators.series import date_gaps
 from statloom.roles import normalise_params, number, quoted, roles
+from statloom.session import cut_lineage
 
 CHECK_SCHEMA = "test string, column string, stat double, p_value double, passed boolean, message string"
 COLUMNS = ["test", "column", "stat", "p_value", "passed", "message"]
@@ -228,7 +229,7 @@ def check_series(df: DataFrame, p: dict) -> list[DataFrame]:
     date = p.get("date_column") or (date_columns(df) or [None])[0]
     if not date:
         return []
-    gaps = date_gaps(df, date)
+    gaps = cut_lineage(date_gaps(df, date))  # one row for both checks
     few = F.col("n") < SERIES_ROWS
     return [
         _check(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statloom.operators.profile import profile_report
 from statloom.plans.catalogue import NAMES, Outcome, metric_rows
+from statloom.session import cut_lineage
 
 
 def detail_table(outcome: Outcome, rows: int | None = None) -> DataFrame | None:
@@ -55,13 +56,13 @@ def write_profile(df: DataFrame, path: str, format: str = "parquet", mode: str =
 def quality_sheet(checks: DataFrame) -> DataFrame:
     """(analysis_id, status, details) plus an overall row, from (analysis_id, check columns) rows.
 
-    Checks are a handful of rows per analysis.
+    Checks are a handful of rows per analysis; they are computed once for the rows and the overall one.
     """
     failed = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.concat(F.lit("- "), "message"))))
     per = checks.groupBy("analysis_id").agg(
         F.coalesce(F.bool_and("passed"), F.lit(True)).alias("ok"), failed.alias("lines")
     )
-    sheet = per.select(
+    sheet = cut_lineage(per).select(
         "analysis_id",
         F.when(F.col("ok"), "passed").otherwise("warning").alias("status"),
         F.when(F.col("ok"), "all assumptions met").otherwise(F.array_join("lines", "\n")).alias("details"),

@@ -346,3 +346,14 @@ def test_heavy_columns_are_ranked_without_a_shuffle_of_the_rows(spark):
     assert str(got._jdf.queryExecution().optimizedPlan()).count("Join ") == 2
     want = df.toPandas().rank().corr().loc["a", "b"]
     assert abs(got.first()["spearman"] - want) < 1e-12
+
+
+def test_quality_sheet_computes_its_checks_once(spark):
+    from statloom.plans import results
+
+    checks = spark.range(4).selectExpr("concat('m', id % 2) AS analysis_id", "id <> 3 AS passed", "concat('note ', id) AS message")
+    sheet = results.quality_sheet(checks)
+    assert "Range" not in str(sheet._jdf.queryExecution().optimizedPlan())
+    assert sorted(map(tuple, sheet.collect())) == [
+        ("(overall)", "1 warnings", ""), ("m0", "passed", "all assumptions met"), ("m1", "warning", "- note 3"),
+    ]
