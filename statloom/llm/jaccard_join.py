@@ -17,7 +17,9 @@ Steps, with what they shuffle:
    groups of near copies early; what it misses is left to step 3, which is exact.
 3. Prefix tokens of every text are sent to their token once. Tokens of one group alone are dropped. In the
    rest, sets meet those fronts of other groups that positions and sizes allow.
-4. The pairs that pass all bounds are compared in full; links join groups.
+4. Parities of hashed tokens, about a bit a token, bound how much the sets of a pair differ; the pairs
+   left fetch their prefixes under the further orders.
+5. The pairs that pass all bounds are compared in full; links join groups. Tables are deleted once read.
 
 Pairs inside a group are never needed: what is asked for is which documents are linked, directly or
 through others.
@@ -25,7 +27,7 @@ through others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statloom.llm.text import byte_texts, small_batches
 from statloom.operators.dbscan import connected_components
-from statloom.session import cut_lineage
+from statloom.session import cut_lineage, discard
 
 MIN_HASHES = 8
 ORDERS = 3
@@ -78,20 +80,40 @@ def prefix(tokens: np.ndarray, order: int, frequent: np.ndarray, counts: np.ndar
     return tokens[np.lexsort((mixed(tokens, 101 + order), weight))[: prefix_length(len(tokens), percent)]]
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """Whether an odd number of tokens falls on each bit; as many bits as tokens at least, a power of two."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    return np.packbits((np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """How many tokens two sets cannot share at least, both sides counted, by their parities.
+
+    A longer row of bits folds to the shorter one's length, as positions are the tokens' low bits.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def signed(tokens: np.ndarray) -> pa.Array:
     return pa.array(tokens.view(np.int64), pa.int64())
 
 
 def summaries(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """(id, row, cls, n, hashes) of each text; row is a hash of id and text, cls is the set's hash, hashes its least token under MIN_HASHES orders."""
+    """(id, row, cls, n, hashes, bits) of each text; row is a hash of id and text, cls is the set's hash, hashes its least token under MIN_HASHES orders, bits its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            classes, sizes, hashes = [], [], []
+            classes, sizes, hashes, bits = [], [], [], []
             for data in byte_texts(batch, text_column):
                 tokens = shingle_set(data, shingle)
                 classes.append(xxhash.xxh3_64_intdigest(tokens.tobytes()))
                 sizes.append(len(tokens))
+                bits.append(parities(tokens))
                 hashes.append([int(mixed(tokens, k + 2).min().view(np.int64)) for k in range(MIN_HASHES)] if len(tokens) else [])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -100,13 +122,14 @@ def summaries(docs: DataFrame, id_column: str, text_column: str, shingle: int) -
                     signed(np.array(classes, np.uint64)),
                     pa.array(sizes, pa.int64()),
                     pa.array(hashes, pa.list_(pa.int64())),
+                    pa.array(bits, pa.binary()),
                 ],
-                names=["id", "row", "cls", "n", "hashes"],
+                names=["id", "row", "cls", "n", "hashes", "bits"],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
     row = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
-    return docs.select(id_column, text_column, row.alias("row")).mapInArrow(run, f"id {kind}, row long, cls long, n long, hashes array<long>")
+    return docs.select(id_column, text_column, row.alias("row")).mapInArrow(run, f"id {kind}, row long, cls long, n long, hashes array<long>, bits binary")
 
 
 def sampled_tokens(docs: DataFrame, text_column: str, shingle: int, rate: int) -> DataFrame:
@@ -206,6 +229,20 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def within_reach(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb, ta, tb) whose parities leave room for the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            keep = []
+            for na, nb, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                needed = -(-percent * (na + nb) // (100 + percent))
+                keep.append(na + nb - least_difference(ta, tb) >= 2 * needed)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long")
+
+
 def passing(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb, ta, tb) whose prefixes share enough under every further order."""
 
@@ -305,16 +342,20 @@ def candidate_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> Dat
         & (F.col("ny") - F.col("iy") >= shares)
     )
     # rows of a token's main group never meet each other
-    pairs = larger.where("not in_main").join(smaller, "token").where(fits).select("x", "y", "nx", "ny").unionAll(
+    found = larger.where("not in_main").join(smaller, "token").where(fits).select("x", "y", "nx", "ny").unionAll(
         larger.where("in_main").join(smaller.where("not y_main"), "token").where(fits).select("x", "y", "nx", "ny")
     )
     first = F.col("x") < F.col("y")
-    return pairs.select(
-        F.least("x", "y").alias("a"),
-        F.greatest("x", "y").alias("b"),
-        F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
-        F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"),
-    ).distinct()
+    pairs = cut_lineage(
+        found.select(
+            F.least("x", "y").alias("a"),
+            F.greatest("x", "y").alias("b"),
+            F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
+            F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"),
+        ).distinct()
+    )
+    discard(rows)
+    return pairs
 
 
 def near_duplicates(
@@ -341,7 +382,8 @@ def near_duplicates(
     the result; ``broadcast_rows`` bounds the ids that are broadcast, more are joined by a shuffle.
     """
     found = cut_lineage(summaries(docs, id_column, text_column, shingle))
-    classes = found.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("id"), F.first("hashes").alias("hashes"))
+    facts = [F.first(c).alias(c) for c in ("hashes", "bits")]
+    classes = cut_lineage(found.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("id"), *facts))
     frequent, counts = frequent_tokens(sampled_tokens(docs, text_column, shingle, sample_rate), frequent_from, frequent_most)
     options = (id_column, text_column, shingle, percent, frequent, counts, broadcast_rows)
 
@@ -351,13 +393,24 @@ def near_duplicates(
         members = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         return cut_lineage(whole_sets(docs, classes.join(members, "cls", "left_semi"), firsts, *options))
 
-    early = cut_lineage(linked(with_sets(seeds, sets_of(seeds, False)), percent).distinct())
+    def kept(test: Callable[[DataFrame, int], DataFrame], pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs that pass; they and the sets have been read then."""
+        passed = cut_lineage(test(with_sets(pairs, sets), percent).distinct())
+        discard(pairs)
+        discard(sets)
+        return passed
+
+    early = kept(linked, seeds, sets_of(seeds, False))
     nodes = early.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     groups = cut_lineage(connected_components(nodes, early).select(F.col("node").alias("cls"), F.col("component").alias("group")))
 
-    pairs = cut_lineage(candidate_pairs(prefix_tokens(docs, text_column, shingle, percent, frequent, counts), groups, percent))
-    agreed = cut_lineage(passing(with_sets(pairs, sets_of(pairs, True)), percent).distinct())
-    late = linked(with_sets(agreed, sets_of(agreed, False)), percent)
+    pairs = candidate_pairs(prefix_tokens(docs, text_column, shingle, percent, frequent, counts), groups, percent)
+    discard(groups)
+    members = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    bits = cut_lineage(classes.join(members, "cls", "left_semi").select("cls", F.col("bits").alias("tokens")))
+    close = kept(within_reach, pairs, bits)
+    agreed = kept(passing, close, sets_of(close, True))
+    late = kept(linked, agreed, sets_of(agreed, False))
 
     links = cut_lineage(early.unionAll(late).distinct())
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()

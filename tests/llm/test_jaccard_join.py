@@ -106,3 +106,17 @@ def test_sets():
     assert len(shingle_set(b"", 5)) == 0 and len(shingle_set(b"a b", 5)) == 1 and len(shingle_set(b"a b c d e f", 5)) == 2
     assert list(shingle_set(b"A\tb\nc  d E", 5)) == list(shingle_set(b"a b c d e", 5))
     assert [prefix_length(n, 75) for n in (1, 2, 4, 100)] == [1, 1, 2, 26]
+
+
+def test_parities_never_rule_out_a_similar_pair():
+    chance = np.random.default_rng(8)
+    ruled_out = 0
+    for n in (1, 40, 63, 64, 65, 128, 500, 1500):
+        tokens = np.unique(chance.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+        for kept in (0.4, 0.8, 1.0):
+            a, b = tokens[:n], np.concatenate([tokens[: int(n * kept)], tokens[n : n + n // 5]])
+            apart = jaccard_join.least_difference(jaccard_join.parities(a), jaccard_join.parities(b))
+            assert apart <= len(np.setxor1d(a, b))
+            needed = -(-75 * (len(a) + len(b)) // 175)
+            ruled_out += len(a) + len(b) - apart < 2 * needed
+    assert ruled_out >= 6
