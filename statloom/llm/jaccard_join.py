@@ -14,12 +14,15 @@ Steps, with what they shuffle:
 1. Each text is read to its set's hash, size and min-hashes. Equal sets are one class from here on.
 2. Classes that agree in several min-hashes with the most typical class of a bucket are compared with
    that class: one pair a class and bucket, not all pairs. Links join them to groups. This finds the large
-   groups of near copies early; what it misses is left to step 3, which is exact.
-3. Prefix tokens of every text are sent to their token once. Tokens of one group alone are dropped. In the
-   rest, sets meet those fronts of other groups that positions and sizes allow.
-4. Parities of hashed tokens, about a bit a token, bound how much the sets of a pair differ; the pairs
+   groups of near copies early; what it misses is left to step 4, which is exact.
+3. Prefix tokens of every text are sent to their token once. For each token, sets outside its largest group
+   meet the one set of that group that has the token foremost: a pair a row at most. Links join groups, so
+   that few near copies are left that would meet every set of a large group one by one.
+4. Tokens of one group alone are dropped. In the rest, sets meet those fronts of other groups that
+   positions and sizes allow.
+5. Parities of hashed tokens, about a bit a token, bound how much the sets of a pair differ; the pairs
    left fetch their prefixes under the further orders.
-5. The pairs that pass all bounds are compared in full; links join groups. Tables are deleted once read.
+6. The pairs that pass all bounds are compared in full; links join groups. Tables are deleted once read.
 
 Pairs inside a group are never needed: what is asked for is which documents are linked, directly or
 through others.
@@ -40,6 +43,7 @@ from statloom.session import cut_lineage, discard
 
 MIN_HASHES = 8
 ORDERS = 3
+LEADER_ROUNDS = 1
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -296,23 +300,26 @@ def seed_pairs(classes: DataFrame, percent: int, agreeing: int = 2) -> DataFrame
     )
 
 
-def candidate_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb) of classes in different groups that can be similar by size and first shared token.
+def needed(n: Column, m: Column, percent: int) -> Column:
+    """How many tokens sets of these sizes must share."""
+    return F.ceil(percent * (n + m) / (100 + percent))
+
+
+def size_and_position() -> tuple[Column, Column]:
+    return F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def meeting_rows(postings: DataFrame, percent: int) -> DataFrame:
+    """(token, cls, place, front) of the tokens that several classes have, one of them in its front.
 
     If the first token that two sets share is at place i of n and j of m, they share at most
     min(n - i, m - j) tokens. So of the smaller set only the first tokens, n - needed(n, n) of them,
-    can be the first shared one ("front" rows); the larger set's whole prefix meets these alone. Near
-    copies that differ by too much to link meet behind their fronts only, and make no pairs however many
-    they are.
+    can be the first shared one ("front" rows); the larger set's whole prefix meets these alone.
     """
-
-    def needed(n: Column, m: Column) -> Column:
-        return F.ceil(percent * (n + m) / (100 + percent))
-
-    size, position = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    placed = postings.select("token", "cls", "place", (size - position >= needed(size, size)).alias("front"))
+    size, position = size_and_position()
+    placed = postings.select("token", "cls", "place", (size - position >= needed(size, size, percent)).alias("front"))
     by_token = Window.partitionBy("token")
-    met = (
+    return (
         placed.select(
             "*",
             F.min("cls").over(by_token).alias("least"),
@@ -323,17 +330,59 @@ def candidate_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> Dat
         .select("token", "cls", "place", "front")
         .distinct()
     )
-    rows = cut_lineage(met.join(groups, "cls", "left").select("token", "cls", "place", "front", F.coalesce("group", "cls").alias("group")))
+
+
+def grouped_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows with the group of their class; a class that links with none so far is its own group."""
+    return cut_lineage(rows.join(groups, "cls", "left").select("token", "cls", "place", "front", F.coalesce("group", "cls").alias("group")))
+
+
+def open_rows(rows: DataFrame) -> DataFrame:
+    """The rows of tokens in several groups, with n, at and whether they are in the token's largest group."""
+    size, position = size_and_position()
     sizes = rows.groupBy("token", "group").count()
     main = sizes.groupBy("token").agg(
         F.max(F.struct("count", "group")).alias("largest"), F.count("*").alias("groups")
     ).where("groups > 1").select("token", F.col("largest.group").alias("main"))
-    open_rows = rows.join(main, "token").select("*", size.alias("n"), position.alias("at"), (F.col("group") == F.col("main")).alias("in_main"))
-    larger = open_rows.select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("group").alias("gx"), "in_main")
-    smaller = open_rows.where("front").select(
+    return rows.join(main, "token").select("*", size.alias("n"), position.alias("at"), (F.col("group") == F.col("main")).alias("in_main"))
+
+
+def ordered_pairs(found: DataFrame) -> DataFrame:
+    """(a, b, na, nb) of the pairs (x, y, nx, ny), each once."""
+    first = F.col("x") < F.col("y")
+    return cut_lineage(
+        found.select(
+            F.least("x", "y").alias("a"),
+            F.greatest("x", "y").alias("b"),
+            F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
+            F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"),
+        ).distinct()
+    )
+
+
+def leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): a class and, for each of its tokens, the class of the token's largest group that has it foremost.
+
+    That is a pair a row at most.
+    """
+    opened = open_rows(rows)
+    leaders = opened.where("in_main").groupBy("token").agg(F.min(F.struct("at", "cls", "n")).alias("leader"))
+    found = opened.where("not in_main").join(leaders, "token").where(similar_size(F.col("n"), F.col("leader.n"), percent))
+    return ordered_pairs(found.select(F.col("leader.cls").alias("x"), F.col("cls").alias("y"), F.col("leader.n").alias("nx"), F.col("n").alias("ny")))
+
+
+def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of classes in different groups that can be similar by size and first shared token.
+
+    The rows are those of ``meeting_rows`` with their groups. Near copies that differ by too much to link
+    meet behind their fronts only, and make no pairs however many they are.
+    """
+    opened = open_rows(rows)
+    larger = opened.select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("group").alias("gx"), "in_main")
+    smaller = opened.where("front").select(
         "token", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("group").alias("gy"), F.col("in_main").alias("y_main")
     )
-    shares = needed(F.col("nx"), F.col("ny"))
+    shares = needed(F.col("nx"), F.col("ny"), percent)
     fits = (
         (F.col("gx") != F.col("gy"))
         & (F.col("ny") <= F.col("nx"))
@@ -345,17 +394,7 @@ def candidate_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> Dat
     found = larger.where("not in_main").join(smaller, "token").where(fits).select("x", "y", "nx", "ny").unionAll(
         larger.where("in_main").join(smaller.where("not y_main"), "token").where(fits).select("x", "y", "nx", "ny")
     )
-    first = F.col("x") < F.col("y")
-    pairs = cut_lineage(
-        found.select(
-            F.least("x", "y").alias("a"),
-            F.greatest("x", "y").alias("b"),
-            F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
-            F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"),
-        ).distinct()
-    )
-    discard(rows)
-    return pairs
+    return ordered_pairs(found)
 
 
 def near_duplicates(
@@ -400,22 +439,34 @@ def near_duplicates(
         discard(sets)
         return passed
 
+    def bits_of(pairs: DataFrame) -> DataFrame:
+        members = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        return cut_lineage(classes.join(members, "cls", "left_semi").select("cls", F.col("bits").alias("tokens")))
+
+    def groups_of(links: DataFrame) -> DataFrame:
+        nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return connected_components(nodes, links).select(F.col("node").alias("cls"), F.col("component").alias("group"))
+
     early = kept(linked, seeds, sets_of(seeds, False))
-    nodes = early.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    groups = cut_lineage(connected_components(nodes, early).select(F.col("node").alias("cls"), F.col("component").alias("group")))
-
-    pairs = candidate_pairs(prefix_tokens(docs, text_column, shingle, percent, frequent, counts), groups, percent)
-    discard(groups)
-    members = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    bits = cut_lineage(classes.join(members, "cls", "left_semi").select("cls", F.col("bits").alias("tokens")))
-    close = kept(within_reach, pairs, bits)
+    rows = grouped_rows(meeting_rows(prefix_tokens(docs, text_column, shingle, percent, frequent, counts), percent), groups_of(early))
+    for _ in range(LEADER_ROUNDS):
+        leads = leader_pairs(rows, percent)
+        near = kept(within_reach, leads, bits_of(leads))
+        met = kept(linked, near, sets_of(near, False))
+        if not met.limit(1).count():
+            break
+        early, before = cut_lineage(early.unionAll(met).distinct()), rows
+        rows = grouped_rows(before.drop("group"), groups_of(early))
+        discard(before)
+
+    pairs = candidate_pairs(rows, percent)
+    discard(rows)
+    close = kept(within_reach, pairs, bits_of(pairs))
     agreed = kept(passing, close, sets_of(close, True))
     late = kept(linked, agreed, sets_of(agreed, False))
 
     links = cut_lineage(early.unionAll(late).distinct())
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    joined = connected_components(nodes, links).select(F.col("node").alias("cls"), F.col("component").alias("group"))
-    named = cut_lineage(classes.select("cls", "id").join(joined, "cls", "left").select("cls", "id", F.coalesce("group", "cls").alias("group")))
+    named = cut_lineage(classes.select("cls", "id").join(groups_of(links), "cls", "left").select("cls", "id", F.coalesce("group", "cls").alias("group")))
     least = named.groupBy("group").agg(F.min("id").alias("least"))
     component = named.join(least, "group").select("cls", "least")
     return found.join(component, "cls", "left").select(
