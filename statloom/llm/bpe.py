@@ -13,14 +13,17 @@ import base64
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from statloom.llm.text import small_batches
 
+ID = "i"  # ids are packed as C integers
 SCHEMA = "n_tokens long, ids array<int>, ids_sha256 string, decoded string, decoded_sha256 string"
 
 
@@ -43,7 +46,7 @@ class PrefixVocabulary:
                 by_ending.setdefault(token[-3:], {1, 2}).add(len(token))
         self.lengths_by_ending = {end: tuple(sorted(found, reverse=True)) for end, found in by_ending.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}  # by left * 2^32 + right
 
     def halves(self, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None if it is one byte or no merge makes it."""
@@ -58,10 +61,10 @@ class PrefixVocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their bytes are encoded together."""
-        key = (left, right)
+        key = left << 32 | right
         known = self._apart.get(key)
         if known is None:
-            if len(self._apart) >= 500_000:
+            if len(self._apart) >= 250_000:
                 self._apart.clear()
             known = self._apart[key] = self._stays(left, right)
         return known
@@ -115,7 +118,7 @@ def extend_table(vocabulary: PrefixVocabulary, data: bytes, offset: int, last: l
                     last.append(token)
                     break
                 continue
-            stays = pairs((last[at - length], token))
+            stays = pairs(last[at - length] << 32 | token)
             if stays is None:
                 stays = vocabulary.reachable(token) and vocabulary.apart(last[at - length], token)
             if stays:
@@ -198,16 +201,25 @@ def latin_pattern(pattern: str) -> str:
 
 
 class Codec:
-    """Encodes texts piece by piece; pieces and their beginnings recur, so short ones are remembered."""
+    """Encodes texts piece by piece; pieces and their beginnings recur, so short ones are remembered.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000):
+    A worker process keeps its codec while later jobs run in it, so what is remembered stays small: ids are
+    packed, and of pieces and beginnings there are two halves. When the newer half is full it becomes the
+    older one, whose entries are forgotten unless they are met again.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 200_000):
         self.vocabulary = PrefixVocabulary(ranks)
         self.pieces = regex.compile(pattern).findall
         self.latin_pieces = re.compile(latin_pattern(pattern)).findall
         self.beyond_latin = re.compile(f"[^\\x00-{chr(LATIN_END - 1)}]").search
-        self.remembered = remembered
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.half = max(1, remembered // 2)
+        self.known: dict[str, bytes] = {}  # ids of a piece, packed
+        self.known_before: dict[str, bytes] = {}
         self.last_of: dict[bytes, int] = {}  # last token of each beginning of a piece met so far
+        self.last_of_before: dict[bytes, int] = {}
+        self.packed = {rank: array(ID, [rank]).tobytes() for rank in ranks.values()}  # of pieces that are tokens
+        self.written = {rank: str(rank) for rank in ranks.values()}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Tokens of one piece; a piece that is a token stays whole."""
@@ -216,18 +228,21 @@ class Codec:
             return [rank]
         if len(piece) > 64:
             return PrefixEncoder(self.vocabulary, piece).tokens()
-        last, stored = [-1], self.last_of.get
+        if len(self.last_of) >= self.half:
+            self.last_of_before, self.last_of = self.last_of, {}
+        last, newer, older = [-1], self.last_of, self.last_of_before
         for end in range(1, len(piece)):
-            token = stored(piece[:end])
+            token = newer.get(piece[:end])
             if token is None:
-                break
+                token = older.get(piece[:end])
+                if token is None:
+                    break
+                newer[piece[:end]] = token
             last.append(token)
         fresh = len(last)
         extend_table(self.vocabulary, piece, 0, last, len(piece))
-        if len(self.last_of) >= self.remembered:
-            self.last_of.clear()
         for end in range(fresh, len(piece)):
-            self.last_of[piece[:end]] = last[end]
+            newer[piece[:end]] = last[end]
         out, at, bytes_of = [], len(piece), self.vocabulary.bytes_of
         while at:
             out.append(last[at])
@@ -237,21 +252,35 @@ class Codec:
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
-    def _encode_new(self, piece: str) -> tuple[int, str, bytes]:
-        ids = self.encode_piece(piece.encode())
-        entry = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+    def _encode_new(self, piece: str) -> bytes:
+        entry = self.known.get(piece) or self.known_before.get(piece)
+        if entry is None:
+            ids = self.encode_piece(piece.encode())
+            entry = self.packed[ids[0]] if len(ids) == 1 else array(ID, ids).tobytes()
         if len(piece) <= 64:
-            if len(self.known) >= self.remembered:
-                self.known.clear()
+            if len(self.known) >= self.half:
+                self.known_before, self.known = self.known, {}
             self.known[piece] = entry
         return entry
 
-    def encode(self, text: str) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids joined by commas, decoded bytes) of each piece of the text."""
+    def _encode_pieces(self, text: str) -> list[bytes]:
         known, new = self.known.get, self._encode_new
         split = self.pieces if self.beyond_latin(text) else self.latin_pieces
         return [known(p) or new(p) for p in split(text)]
 
+    def encode_ids(self, text: str) -> list[int]:
+        """The ids of the text."""
+        return array(ID, b"".join(self._encode_pieces(text))).tolist()
+
+    def joined(self, ids: Sequence[int]) -> str:
+        """The ids in decimal, joined by commas."""
+        return ",".join(map(self.written.__getitem__, ids))
+
+    def encode(self, text: str) -> list[tuple[int, str, bytes]]:
+        """(number of ids, ids joined by commas, decoded bytes) of each piece of the text."""
+        each = [array(ID, entry) for entry in self._encode_pieces(text)]
+        return [(len(ids), self.joined(ids), self.decode(ids)) for ids in each]
+
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -292,11 +321,11 @@ def encode_texts(
         for batch in small_batches(batches, 128):
             counts, ids, id_hashes, texts, text_hashes = [], [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                pieces = codec.encode(text or "")
-                joined = ",".join([p[1] for p in pieces])
-                decoded = b"".join([p[2] for p in pieces])
-                counts.append(sum([p[0] for p in pieces]))
-                ids.append(([int(i) for i in joined.split(",")] if joined else []) if keep_ids else None)
+                found = codec.encode_ids(text or "")
+                joined = codec.joined(found)
+                decoded = codec.decode(found)
+                counts.append(len(found))
+                ids.append(np.array(found, np.int32) if keep_ids else None)
                 id_hashes.append(hashlib.sha256(joined.encode()).hexdigest())
                 texts.append(decoded.decode("utf-8", "replace") if keep_ids else None)
                 text_hashes.append(hashlib.sha256(decoded).hexdigest())

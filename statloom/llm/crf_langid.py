@@ -117,6 +117,25 @@ def emissions(model: CrfModel, f: Features, rows: np.ndarray | None = None) -> n
     return out
 
 
+def word_scores(model: CrfModel, buffers: list[bytes], most: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the words of all texts in a row, and how many words each text has.
+
+    Features take many times a text's bytes, so they are made for texts of ``most`` bytes together at a time.
+    """
+    scores, lengths, begin = [], [], 0
+    while begin < len(buffers):
+        end, held = begin, 0
+        while end < len(buffers) and (end == begin or held + len(buffers[end]) <= most):
+            held += len(buffers[end])
+            end += 1
+        f = features_of(b"  " + b"  ".join(buffers[begin:end]) + b"  ")
+        borders = np.cumsum([2] + [len(b) + 2 for b in buffers[begin:end]])
+        lengths.append(np.diff(np.searchsorted(f.starts, borders)))
+        scores.append(emissions(model, f))
+        begin = end
+    return np.concatenate(scores), np.concatenate(lengths)
+
+
 def forward_backward(model: CrfModel, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word posteriors and expected transitions of equally long sequences, scores (T, sequences, K)."""
     T, n, K = scores.shape
@@ -331,11 +350,8 @@ def label_texts(docs: DataFrame, model: CrfModel, id_column: str = "doc_id", tex
                 known = np.array([bool(HAS_LETTER(t or "")) for t in texts.slice(begin, end - begin).to_pylist()])
                 shares = np.zeros((end - begin, K))
                 if K:
-                    joined = b"  " + b"  ".join(buffers) + b"  "
-                    f = features_of(joined)
-                    borders = np.cumsum([2] + [len(b) + 2 for b in buffers])
-                    lengths = np.diff(np.searchsorted(f.starts, borders))
-                    shares = mean_posteriors(model, emissions(model, f), lengths)
+                    scores, lengths = word_scores(model, buffers)
+                    shares = mean_posteriors(model, scores, lengths)
                     known &= lengths > 0
                 best = shares.argmax(1) if K else np.zeros(end - begin, int)
                 known = known & (K > 0)

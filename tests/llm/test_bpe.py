@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -70,3 +71,28 @@ def test_table_of_texts(spark, small):
         rows = got.select("doc_id", "n_tokens", "ids_sha256", "decoded", "decoded_sha256").collect()
         assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
     assert encode_texts(docs.limit(0), PATH, public_tokenizers.PATTERN, keep_others=True).count() == 0
+
+
+def test_what_is_remembered_stays_small():
+    """A worker keeps its codec while later jobs run in it."""
+    chance = random.Random(5)
+    words = ["".join(chance.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(40_000)]
+    codec, text = Codec(RANKS, public_tokenizers.PATTERN), " ".join(words)
+    tracemalloc.start()
+    found = codec.encode(text)
+    assert [int(i) for _, ids, _ in found for i in ids.split(",")] == LIBRARY.encode_ordinary(text)
+    del found
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 32_000_000
+
+
+def test_pieces_met_again_stay_remembered():
+    codec, encoded = Codec(RANKS, public_tokenizers.PATTERN, 200), []
+    whole = codec.encode_piece
+    codec.encode_piece = lambda piece: encoded.append(piece) or whole(piece)
+    for i in range(2000):
+        text = f" zqxjkv {chr(97 + i % 26)}zq{chr(97 + i // 26 % 26)}xj{chr(97 + i // 676)}"
+        assert [int(i) for _, ids, _ in codec.encode(text) for i in ids.split(",")] == LIBRARY.encode_ordinary(text)
+        assert len(codec.known) <= 200
+    assert encoded.count(b" zqxjkv") == 1

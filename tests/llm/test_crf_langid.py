@@ -1,7 +1,21 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from statloom.llm.crf_langid import CrfModel, fit, forward_backward, label_texts, mean_posteriors, train
+from statloom.llm.crf_langid import (
+    CrfModel,
+    emissions,
+    features_of,
+    fit,
+    forward_backward,
+    label_texts,
+    letters_of,
+    mean_posteriors,
+    train,
+    word_scores,
+)
 from statloom.llm.queries import QUERIES
 from statloom.llm.text import held_out, table
 
@@ -48,3 +62,22 @@ def test_odd_rows(spark):
     assert label_texts(docs.limit(0), model).count() == 0 and fit([]).languages == []
     kept = label_texts(docs, model, keep=True)
     assert kept.columns == ["doc_id", "text", "lang", "lang_pred", "score", "shares"]
+
+
+def test_features_are_not_held_for_all_texts_at_once(spark, monkeypatch):
+    """Peak memory of labelling 2 MB of texts; the same scores as from features of all texts together."""
+    model = fit([("en", "the cat sat on the mat a while"), ("fr", "le chat est sur la table à midi")] * 3, steps=2)
+    texts = ["the cat sat à la table a " * 400, "", "a", " b ", "12 !"] * 190
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "__text"])
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, function, schema: function)
+    label = label_texts(docs, model)
+    tracemalloc.start()
+    rows = [r for part in label(iter([batch])) for r in part.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90_000_000 and len(rows) == len(texts) and rows[1]["lang_pred"] == "und"
+    buffers = [letters_of(t) for t in texts]
+    f = features_of(b"  " + b"  ".join(buffers) + b"  ")
+    scores, lengths = word_scores(model, buffers, most=5000)
+    assert np.array_equal(scores, emissions(model, f)) and lengths.tolist() == [len(b.split()) for b in buffers]
