@@ -9,6 +9,8 @@ k-th score.
 Queries also go in blocks. A query block is sent to every shard of candidate blocks and meets one
 block row at a time, so memory is bounded by one block of either side; the k-th scores found so far
 stay with the task. What leaves a task is at most k rows a query. Scores are integers throughout.
+Vectors travel in the narrowest integers that hold a block's values. The copies for the shards are
+shuffled, never broadcast: Spark sizes them before they are copied and would take them for small.
 """
 
 from __future__ import annotations
@@ -45,6 +47,13 @@ def stack(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed(matrix: np.ndarray) -> bytes:
+    """The matrix in the narrowest integers of two, four or eight bytes that hold all its values."""
+    low, high = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return matrix.astype(kind).tobytes()
+
+
 def make_blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
     """(part, size, dims, ids, vectors) rows of up to ``size`` vectors each, from (key, id, vector) rows."""
 
@@ -55,7 +64,7 @@ def make_blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             matrix = stack(held)
-            values = [[number], [len(ids)], [matrix.shape[1]], [np.array(ids, np.int64).tobytes()], [matrix.tobytes()]]
+            values = [[number], [len(ids)], [matrix.shape[1]], [np.array(ids, np.int64).tobytes()], [packed(matrix)]]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(values, kinds)], names=["part", "size", "dims", "ids", "vectors"]
@@ -80,7 +89,8 @@ def make_blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
 
 def unpack(size: int, dims: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pairs = np.frombuffer(ids, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1], np.frombuffer(vectors, np.int64).reshape(len(pairs), dims)
+    kind = f"i{len(vectors) // (len(pairs) * dims)}" if dims else "i8"
+    return pairs[:, 0], pairs[:, 1], np.frombuffer(vectors, kind).reshape(len(pairs), dims).astype(np.int64)
 
 
 def inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -193,7 +203,7 @@ def top_k(
         for one in running.values():
             yield one.hits()
 
-    met = candidate_rows.join(query_rows, "shard").select("q_block", "q", "c")
+    met = candidate_rows.join(query_rows.hint("merge"), "shard").select("q_block", "q", "c")
     hits = met.mapInArrow(search, HIT_SCHEMA)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return (

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from statloom.llm.topk import Search, top_k
+from statloom.llm.topk import Search, packed, top_k, unpack
 
 
 def brute(queries, rows, k):
@@ -43,3 +43,22 @@ def test_blocks_below_the_bound_are_skipped():
     search = Search(np.zeros(1, np.int64), np.array([-1]), np.full((1, 4), 10, np.int64), 10)
     search.visit(np.arange(1024), vectors, 64)
     assert search.scored == 64 and list(search.found[0]) == list(range(10))
+
+
+def test_copies_for_the_shards_are_not_broadcast(spark):
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"  # small tables would be broadcast
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
+    got = top_k(frame.where("vec_id % 100 = 0"), frame)
+    assert len(got.collect()) == 30
+    plan = str(got._jdf.queryExecution().executedPlan())
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_blocks_hold_values_of_any_width():
+    for most in (3, 2**15 - 1, 2**15, 2**31 - 1, 2**31, 2**62 - 1):
+        matrix = np.array([[0, most], [-most - 1, 5]], np.int64)
+        data = packed(matrix)
+        assert len(data) == 4 * (2 if most < 2**15 else 4 if most < 2**31 else 8)
+        keys, ids, back = unpack(2, 2, np.array([7, 1, 8, 2], np.int64).tobytes(), data)
+        assert back.dtype == np.int64 and (back == matrix).all() and list(keys) == [7, 8] and list(ids) == [1, 2]
+    assert unpack(1, 0, np.array([7, 1], np.int64).tobytes(), packed(np.zeros((1, 0), np.int64)))[2].shape == (1, 0)
