@@ -10,19 +10,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from statloom.functions.ordered import order_bounds, positions, range_bucket
 from statloom.operators.cluster import projection, standardised
-from pyspark import StorageLevel
-
-from statloom.session import bucket_count, cut_lineage, discard
+from statloom.session import bucket_count, cut_lineage, discard, spread
 
 NEIGHBORS = 15
 PERPLEXITY = 30
@@ -42,6 +42,24 @@ def neighbor_graph(rows: DataFrame, d: int, k: int, seed: int = SEED, rounds: in
     return neighbor_descent(rows, start, d, k, DESCENT_ROUNDS if rounds is None else rounds)
 
 
+def possible(xs: np.ndarray, ys: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of both sides, all those within the limits among them.
+
+    Squares by one matrix product are off by far less than the margin; what is not a number passes.
+    """
+    a, b = (xs * xs).sum(1)[:, None], (ys * ys).sum(1)[None, :]
+    return np.nonzero(~(a + b - 2.0 * (xs @ ys.T) > (limits * limits)[:, None] + 1e-9 * (a + b)))
+
+
+def distances(xs: np.ndarray, ys: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Distances of the columns ``own`` of xs and ``other`` of ys, where each row is a dimension."""
+    square = np.zeros(len(own))
+    for x, y in zip(np.ascontiguousarray(xs), np.ascontiguousarray(ys)):  # sums are added in one order everywhere
+        gap = x[own] - y[other]
+        square += gap * gap
+    return np.sqrt(square)
+
+
 def measured(met: DataFrame, d: int) -> DataFrame:
     """(id, other, dist) of rows (asking: id, limit, xs; near: other, ys): every asking row with every
     other row of the list that is no farther than its limit (null: any distance)."""
@@ -55,14 +73,14 @@ def measured(met: DataFrame, d: int) -> DataFrame:
             xs, ys = (v.flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for v in (asked.field(2), listed.field(1)))
             sides = [np.concatenate([[0], np.cumsum(pc.list_value_length(c).to_numpy(zero_copy_only=False))]) for c in (asking, near)]
             for a, a_end, b, b_end in zip(sides[0], sides[0][1:], sides[1], sides[1][1:]):
-                square = np.zeros((a_end - a, b_end - b))
-                for i in range(d):  # column by column, so that sums are added in one order everywhere
-                    gap = xs[a:a_end, i, None] - ys[None, b:b_end, i]
-                    square += gap * gap
-                dist = np.sqrt(square)
-                own, other = np.nonzero((dist <= limits[a:a_end, None]) & (ids[a:a_end, None] != others[None, b:b_end]))
+                own, other = possible(xs[a:a_end], ys[b:b_end], limits[a:a_end])
+                differ = ids[a + own] != others[b + other]
+                own, other = own[differ], other[differ]
+                dist = distances(xs[a:a_end].T, ys[b:b_end].T, own, other)
+                near_enough = dist <= limits[a + own]
+                own, other, dist = own[near_enough], other[near_enough], dist[near_enough]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a + own], pa.int64()), pa.array(others[b + other], pa.int64()), pa.array(dist[own, other])],
+                    [pa.array(ids[a + own], pa.int64()), pa.array(others[b + other], pa.int64()), pa.array(dist)],
                     names=["id", "other", "dist"],
                 )
 
@@ -116,6 +134,27 @@ def neighbor_descent(rows: DataFrame, graph: DataFrame, d: int, k: int, rounds:
     return graph
 
 
+def followers(placed: DataFrame, d: int) -> DataFrame:
+    """(id, other, dist) of each row and the next ``WINDOW`` rows of its (t, _range), in the order of the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, d))]
+        for batch in batches:
+            old = len(held[0])
+            fresh = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            fresh.append(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+            t, of, ids, xs = (np.concatenate(both) for both in zip(held, fresh))
+            for ahead in range(1, WINDOW + 1):
+                own = np.arange(max(0, old - ahead), max(0, len(ids) - ahead))
+                own = own[(t[own] == t[own + ahead]) & (of[own] == of[own + ahead])]
+                columns = [pa.array(ids[own]), pa.array(ids[own + ahead]), pa.array(distances(xs.T, xs.T, own, own + ahead))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "other", "dist"])
+            held = [v[-WINDOW:] for v in (t, of, ids, xs)]
+
+    rows = placed.select(F.col("t").cast("long"), F.col("_range").cast("long"), F.col("id").cast("long"), "xs")
+    return rows.mapInArrow(run, "id long, other long, dist double")
+
+
 def projection_graph(rows: DataFrame, d: int, k: int, seed: int = SEED) -> DataFrame:
     """(id, other, dist): the k nearest among rows that follow each other along random projections."""
     rng = np.random.default_rng(seed)
@@ -133,10 +172,7 @@ def projection_graph(rows: DataFrame, d: int, k: int, seed: int = SEED) -> DataF
     placed = scored.withColumn("_bounds", bounds.scalar()).withColumn(
         "_range", range_bucket(F.col("_bounds"), F.struct(*order), buckets)
     )
-    ahead = Window.partitionBy("t", "_range").orderBy("s", "id").rowsBetween(1, WINDOW)
-    followers = F.collect_list(F.struct(F.col("id").alias("other"), F.col("xs").alias("ys"))).over(ahead)
-    asking = F.array(F.struct("id", F.lit(None).cast("double").alias("limit"), "xs"))
-    pairs = measured(placed.select(asking.alias("asking"), followers.alias("near")), d)
+    pairs = followers(placed.repartition("t", "_range").sortWithinPartitions("t", "_range", "s", "id"), d)
     both = pairs.select(F.inline(F.array(F.struct("id", "other", "dist"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), "dist"))))
     return nearest(both, k)
 
@@ -241,9 +277,10 @@ def neighbor_layout_2d(
     return rows.select("_key", "id").join(place, "id").select(F.col("_key").alias(key), "x", "y")
 
 
-# --- t-SNE with Barnes–Hut repulsion over a quad-tree held as a table -----------------------------
+# --- t-SNE with Barnes–Hut repulsion over a quad-tree ---------------------------------------------
 
 THETA = 0.5
+POINTS_AT_ONCE = 1024
 TSNE_EPOCHS = 40
 EXAGGERATION, EXAGGERATED = 4.0, 10
 CELL_BROADCAST = 2_000_000
@@ -268,19 +305,141 @@ def quad_cells(place: DataFrame, depth: int, origin: tuple[float, float], side:
     )
 
 
+def tree_depth(n: int) -> int:
+    return max(2, math.ceil(math.log(max(n, 2), 4)) + 2)
+
+
+class QuadTree:
+    """The quad-tree over points in numpy: per level the non-empty cells in the order of their codes.
+
+    A cell's code interleaves the bits of its column and row, so its children follow each other one
+    level down. Same cells, masses and centres as ``quad_cells``.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int):
+        self.depth = depth
+        self.origin = (float(x.min()), float(y.min()))
+        self.side = max(float(x.max()) - self.origin[0], float(y.max()) - self.origin[1], 1e-9) * (1 + 1e-9)
+        codes = self.codes(x, y)
+        order = np.argsort(codes, kind="stable")
+        codes, x, y = codes[order], x[order], y[order]
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        for level in range(1, depth + 1):
+            own = codes >> 2 * (depth - level)
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            mass = np.diff(np.r_[first, len(own)])
+            centre = [np.add.reduceat(v, first) / mass for v in (x, y)]
+            self.levels.append((own[first], mass.astype(np.float64), *centre))
+
+    def codes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Codes of the points' cells of the deepest level."""
+        scale, top = 2.0**self.depth / self.side, 2**self.depth - 1
+        out = np.zeros(len(x), np.int64)
+        for shift, v, o in ((1, x, self.origin[0]), (0, y, self.origin[1])):
+            cell = np.minimum(np.floor((v - o) * scale), top).astype(np.int64)
+            for bit in range(self.depth):
+                out |= (cell >> bit & 1) << 2 * bit + shift
+        return out
+
+    def pushes(self, x: np.ndarray, y: np.ndarray, theta: float) -> tuple[np.ndarray, ...]:
+        """z, rx and ry of ``repulsion`` for some of the tree's points."""
+        z, rx, ry = (np.zeros(len(x)) for _ in range(3))
+        codes = self.codes(x, y)
+        cell = np.tile(np.arange(len(self.levels[0][0])), len(x))
+        row = np.repeat(np.arange(len(x)), len(self.levels[0][0]))
+        for level, (code, mass, gx, gy) in enumerate(self.levels, 1):
+            inside = codes[row] >> 2 * (self.depth - level) == code[cell]
+            size = self.side / 2**level
+            dx, dy = x[row] - gx[cell], y[row] - gy[cell]
+            take = ~inside & (size * size < theta * theta * (dx * dx + dy * dy))
+            if level == self.depth:
+                take[:] = True
+            own, at, within = row[take], cell[take], inside[take]
+            m = mass[at] - within
+            centre = [np.where(within, (g[at] * mass[at] - v[own]) / np.maximum(m, 1.0), g[at]) for g, v in ((gx, x), (gy, y))]
+            ex, ey = x[own] - centre[0], y[own] - centre[1]
+            q = 1.0 / (1.0 + ex * ex + ey * ey)
+            for total, part in ((z, m * q), (rx, m * q * q * ex), (ry, m * q * q * ey)):
+                total += np.bincount(own, part, len(x))
+            if level < self.depth:
+                row, cell, parents = row[~take], cell[~take], self.levels[level][0] >> 2
+                first = np.searchsorted(parents, code[cell])
+                many = np.searchsorted(parents, code[cell], "right") - first
+                row = np.repeat(row, many)
+                cell = np.arange(len(row)) - np.repeat(np.cumsum(many) - many - first, many)
+        return z, rx, ry
+
+
+def near_points(place: DataFrame, n: int, depth: int) -> tuple[Broadcast, int] | None:
+    """(id, x, y) of all rows as arrays for every task; None where rows or cells are more than ``CELL_BROADCAST``."""
+    if not 0 < n <= CELL_BROADCAST:
+        return None
+    held = place.select("id", "x", "y").toArrow()
+    points = tuple(held.column(c).to_numpy() for c in ("id", "x", "y"))
+    cells = sum(min(4**level, n) for level in range(1, depth + 1))
+    if cells > CELL_BROADCAST:  # at most so many; fewer where points lie close
+        cells = sum(len(level[0]) for level in QuadTree(*points[1:], depth).levels)
+    return (place.sparkSession.sparkContext.broadcast(points), depth) if cells <= CELL_BROADCAST else None
+
+
+def near_repulsion(place: DataFrame, points: Broadcast, depth: int, theta: float) -> DataFrame:
+    """``repulsion`` where every task holds the whole quad-tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for batch in batches:
+            tree = tree or QuadTree(*points.value[1:], depth)
+            for start in range(0, batch.num_rows, POINTS_AT_ONCE):
+                part = batch.slice(start, POINTS_AT_ONCE)
+                x, y = (part.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+                sums = [pa.array(v) for v in tree.pushes(x, y, theta)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *sums], names=["id", "z", "rx", "ry"])
+
+    return spread(place.select("id", "x", "y")).mapInArrow(run, "id long, z double, rx double, ry double")
+
+
+def near_attraction(edges: DataFrame, points: Broadcast) -> DataFrame:
+    """(id, ax, ay): Σᵥ p q (yᵤ − yᵥ), summed within batches, where every task holds all points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs = None
+        for batch in batches:
+            if xs is None:
+                ids, *values = points.value
+                xs = [np.empty(len(ids)) for _ in values]
+                for to, v in zip(xs, values):
+                    to[ids] = v
+            u, v, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "p"))
+            dx, dy = (c[u] - c[v] for c in xs)
+            own, at = np.unique(u, return_inverse=True)
+            pq = p / (1.0 + dx * dx + dy * dy)
+            sums = [pa.array(np.bincount(at, pq * gap, len(own))) for gap in (dx, dy)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), *sums], names=["id", "ax", "ay"])
+
+    return edges.select("u", "v", "p").mapInArrow(run, "id long, ax double, ay double")
+
+
 def repulsion(place: DataFrame, theta: float = THETA, depth: int | None = None) -> DataFrame:
     """(id, z, rx, ry): Σⱼ q and Σⱼ q² (yᵢ − yⱼ) over all other rows, q = 1 / (1 + |yᵢ − yⱼ|²).
 
-    Barnes–Hut by cell opening: the plane's quad-tree is a table of cells (level, column, row) with
-    mass and centre. Every row starts at the four cells of level 1; a cell is taken whole when its
-    side is below ``theta`` times its distance to the row's point and the point is not inside it,
-    else its four children come next. Cells of the deepest level are always taken, the row's own
-    cell without the row. Each level is one join of open (row, cell) pairs with the cells; the cells
-    table is broadcast within ``CELL_BROADCAST`` rows, else joined by a shuffle whose hot cells
-    adaptive execution splits.
+    Barnes–Hut by cell opening: every row starts at the four cells of level 1; a cell is taken whole
+    when its side is below ``theta`` times its distance to the row's point and the point is not
+    inside it, else its four children come next. Cells of the deepest level are always taken, the
+    row's own cell without the row. Within ``CELL_BROADCAST`` points and cells each task holds the
+    quad-tree and opens its rows' cells in numpy; beyond, see ``far_repulsion``.
     """
     n = place.count()
-    depth = depth or max(2, math.ceil(math.log(max(n, 2), 4)) + 2)
+    depth = depth or tree_depth(n)
+    held = near_points(place, n, depth)
+    return near_repulsion(place, *held, theta) if held else far_repulsion(place, theta, depth)
+
+
+def far_repulsion(place: DataFrame, theta: float, depth: int) -> DataFrame:
+    """``repulsion`` with the quad-tree as a table of cells (level, column, row) with mass and centre.
+
+    Each level is one join of open (row, cell) pairs with the cells; the cells table is broadcast
+    within ``CELL_BROADCAST`` rows, else joined by a shuffle whose hot cells adaptive execution splits.
+    """
     box = place.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     origin = (float(box[0]), float(box[2]))
     side = max(float(box[1]) - origin[0], float(box[3]) - origin[1], 1e-9) * (1 + 1e-9)
@@ -323,6 +482,29 @@ def repulsion(place: DataFrame, theta: float = THETA, depth: int | None = None)
     return out
 
 
+def near_forces(place: DataFrame, edges: DataFrame, points: Broadcast, depth: int, theta: float) -> DataFrame:
+    """``place`` with (z, rx, ry) of ``repulsion`` and the attraction (ax, ay): one shuffle of sums by row."""
+    names = ["x", "y", "vx", "vy", "z", "rx", "ry", "ax", "ay"]
+    parts = [place, near_repulsion(place, points, depth, theta), near_attraction(edges, points)]
+    every = reduce(
+        DataFrame.union, [p.select("id", *[F.col(c) if c in p.columns else F.lit(0.0).alias(c) for c in names]) for p in parts]
+    )
+    return cut_lineage(every.groupBy("id").agg(*[F.sum(c).alias(c) for c in names]))
+
+
+def far_forces(place: DataFrame, edges: DataFrame, theta: float, depth: int) -> DataFrame:
+    """Like ``near_forces``, by joins of edges and forces with the positions."""
+    pushed = far_repulsion(place.select("id", "x", "y"), theta, depth)
+    at = lambda s: place.select(F.col("id").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
+    met = edges.join(at("u"), "u").join(at("v"), "v")
+    dx, dy = F.col("xu") - F.col("xv"), F.col("yu") - F.col("yv")
+    q = 1.0 / (1.0 + dx * dx + dy * dy)
+    pulled = met.groupBy(F.col("u").alias("id")).agg(F.sum(F.col("p") * q * dx).alias("ax"), F.sum(F.col("p") * q * dy).alias("ay"))
+    out = cut_lineage(place.join(pushed, "id").join(pulled, "id", "left").na.fill(0.0, ["ax", "ay"]))
+    discard(pushed)
+    return out
+
+
 def affinities(rows: DataFrame, d: int, k: int, n: int, perplexity: float = PERPLEXITY) -> DataFrame:
     """(u, v, p): symmetric t-SNE affinities (p_j|i + p_i|j) / 2n over the neighbour graph."""
     graph = neighbor_graph(rows, d, k)
@@ -342,8 +524,9 @@ def tsne_layout(
     """(key, x, y) by t-SNE: perplexity affinities over the neighbour graph pull, Barnes–Hut repulsion
     over all rows pushes; gradient steps with momentum and early exaggeration from the PCA start.
 
-    Every epoch is one join of the affinity edges with the positions, the quad-tree levels of
-    ``repulsion`` and one join of forces with the positions; positions are written each epoch.
+    Where every task can hold the points, an epoch is one shuffle of the forces' sums by row; else one
+    join of the affinity edges with the positions, the quad-tree levels of ``far_repulsion`` and one
+    join of forces with the positions. Sums or positions are written each epoch.
     """
     d = len(columns)
     rows = standardised(df, columns, [key]).withColumnRenamed(key, "_key")
@@ -353,7 +536,8 @@ def tsne_layout(
     if n < 3:
         raise ValueError("a layout needs at least three complete rows")
     k = min(k or 3 * PERPLEXITY, n - 1)
-    edges = cut_lineage(affinities(rows.select("id", "xs"), d, k, n, min(PERPLEXITY, (n - 1) / 3)))
+    edges = affinities(rows.select("id", "xs"), d, k, n, min(PERPLEXITY, (n - 1) / 3))
+    edges = cut_lineage(edges.repartitionByRange(bucket_count(df.sparkSession), "u", "v").sortWithinPartitions("u"))
     start = projection(rows.withColumn("features", array_to_vector("xs")), ["id"])
     scale = start.agg(F.stddev_pop("pc1").alias("s")).first()["s"] or 1.0
     place = cut_lineage(
@@ -364,26 +548,17 @@ def tsne_layout(
     for epoch in range(epochs):
         boost = EXAGGERATION if epoch < EXAGGERATED else 1.0
         momentum = 0.5 if epoch < EXAGGERATED else 0.8
-        pushed = repulsion(place.select("id", "x", "y"), theta)
-        z = pushed.agg(F.sum("z")).first()[0] or 1.0
-        at = lambda s: place.select(F.col("id").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
-        met = edges.join(at("u"), "u").join(at("v"), "v")
-        dx, dy = F.col("xu") - F.col("xv"), F.col("yu") - F.col("yv")
-        q = 1.0 / (1.0 + dx * dx + dy * dy)
-        pulled = met.groupBy("u").agg(F.sum(F.col("p") * q * dx).alias("ax"), F.sum(F.col("p") * q * dy).alias("ay"))
-        forces = pushed.join(pulled, pushed["id"] == pulled["u"], "left").select(
-            "id",
-            (4.0 * (boost * F.coalesce(F.col("ax"), F.lit(0.0)) - F.col("rx") / z)).alias("gx"),
-            (4.0 * (boost * F.coalesce(F.col("ay"), F.lit(0.0)) - F.col("ry") / z)).alias("gy"),
-        )
-        moved = place.join(forces, "id").select(
+        held = near_points(place, n, tree_depth(n))
+        forces = near_forces(place, edges, *held, theta) if held else far_forces(place, edges, theta, tree_depth(n))
+        z = forces.agg(F.sum("z")).first()[0] or 1.0
+        moved = forces.select(
             "id",
-            (momentum * F.col("vx") - rate * F.col("gx")).alias("vx"),
-            (momentum * F.col("vy") - rate * F.col("gy")).alias("vy"),
+            (momentum * F.col("vx") - rate * 4.0 * (boost * F.col("ax") - F.col("rx") / z)).alias("vx"),
+            (momentum * F.col("vy") - rate * 4.0 * (boost * F.col("ay") - F.col("ry") / z)).alias("vy"),
             "x", "y",
         )
-        before = place
-        place = cut_lineage(moved.select("id", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy"))
+        place, before = moved.select("id", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy"), place
         discard(before)
-        discard(pushed)
+        if held:
+            held[0].destroy()
     return rows.select("_key", "id").join(place, "id").select(F.col("_key").alias(key), "x", "y")

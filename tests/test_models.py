@@ -357,3 +357,52 @@ def test_quality_sheet_computes_its_checks_once(spark):
     assert sorted(map(tuple, sheet.collect())) == [
         ("(overall)", "1 warnings", ""), ("m0", "passed", "all assumptions met"), ("m1", "warning", "- note 3"),
     ]
+
+
+def test_tasks_that_hold_the_quad_tree_open_the_same_cells_as_joins(spark, monkeypatch):
+    from statloom.operators import layout
+
+    rng = np.random.default_rng(41)
+    pts = np.r_[rng.normal(size=(300, 2)), rng.normal(size=(200, 2)) * 0.01 + 3, [[9.0, -9.0]] * 4]
+    df = spark.createDataFrame([(3 * i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, x double, y double")
+    near = layout.repulsion(df)
+    assert "Join" not in str(near._jdf.queryExecution().optimizedPlan())  # no join a level
+    monkeypatch.setattr(layout, "CELL_BROADCAST", 20)
+    far = layout.repulsion(df)
+    got, want = (np.array(sorted(map(tuple, t.collect()))) for t in (near, far))
+    assert (got[:, 0] == want[:, 0]).all() and len(got) == len(pts)
+    assert np.allclose(got, want, rtol=1e-11, atol=1e-11)
+
+
+def test_layout_is_the_same_when_no_task_can_hold_the_points(spark, monkeypatch):
+    from statloom.operators import layout
+
+    rng = np.random.default_rng(42)
+    pts = np.concatenate([c + rng.normal(size=(20, 3)) for c in (0, 4)])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "key long, a double, b double, c double")
+    lay = lambda: np.array(sorted(map(tuple, layout.tsne_layout(df, list("abc"), "key", epochs=2, k=6).collect())))
+    near = lay()
+    monkeypatch.setattr(layout, "CELL_BROADCAST", 20)
+    assert np.allclose(near, lay(), rtol=1e-9, atol=1e-12)
+
+
+def test_followers_cross_batches_but_not_ranges(spark):
+    from statloom.operators import layout
+
+    xs = np.random.default_rng(43).normal(size=(120, 3))
+    rows = [(i % 2, i // 60, 1000 - i, xs[i].tolist(), float(i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "t int, _range int, id long, xs array<double>, s double").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, layout.followers(df.sortWithinPartitions("t", "_range", "s"), 3).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = []
+    for t in (0, 1):
+        for r in (0, 1):
+            line = [i for i in range(120) if i % 2 == t and i // 60 == r]
+            for place, i in enumerate(line):
+                want += [(1000 - i, 1000 - j, float(np.sqrt(((xs[i] - xs[j]) ** 2).sum()))) for j in line[place + 1 : place + 1 + layout.WINDOW]]
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], rtol=1e-12)
